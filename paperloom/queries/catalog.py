@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.queries import chunking
+from paperloom.queries import chunking, documents, tables
 from paperloom.queries.base import ORACLE, QUERIES, Query
 
-__all__ = ["chunking", "oracle_sql", "queries"]
+__all__ = ["chunking", "documents", "tables", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Query]:
