@@ -97,18 +97,15 @@ def _list_page(spark, sf):
     with_ctes(
         base.CHUNKS,
         base.DIM,
-        select="""
-SELECT document_id, row_number() OVER (ORDER BY publish_date DESC NULLS LAST,
-  CASE WHEN publish_date IS NULL THEN updated_at END DESC NULLS LAST, document_id) AS place
-FROM dim ORDER BY place LIMIT 200""",
+        select=f"""
+SELECT document_id, strftime(publish_date, '%Y-%m-%d') AS publish_date, strftime(updated_at, '{STAMP}') AS updated_at
+FROM dim ORDER BY dim.publish_date DESC NULLS LAST,
+  CASE WHEN dim.publish_date IS NULL THEN dim.updated_at END DESC NULLS LAST, document_id""",
     ),
 )
 def _sort_documents(spark, sf):
-    """The first page of a sorted listing with its order made visible."""
-    top = marts.sort_documents(base.documents_dim(spark, sf)).limit(200)
-    ids = top.select("document_id").agg(F.collect_list("document_id").alias("ids"))
-    return ids.select(F.posexplode("ids").alias("at", "document_id")).select(
-        "document_id", (F.col("at") + 1).cast("long").alias("place")
+    return marts.sort_documents(base.documents_dim(spark, sf)).select(
+        "document_id", F.col("publish_date").cast("string").alias("publish_date"), dates.utc_stamp("updated_at").alias("updated_at")
     )
 
 

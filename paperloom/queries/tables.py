@@ -154,12 +154,11 @@ def _delete_orphans(spark, sf):
 
 @query(
     "not_in_customers",
-    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
 )
 def _not_in(spark, sf):
-    return not_in(table(spark, sf, "customer"), table(spark, sf, "orders"), "c_custkey", "o_custkey").select(
-        "c_custkey", "c_name"
-    )
+    dear = table(spark, sf, "orders").where("o_totalprice > 400000")
+    return not_in(table(spark, sf, "customer"), dear, "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
 _WITH_NULL_SQL = """
