@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import fixed
 from paperloom.functions import dates, json
+from paperloom.functions.text import let
+from paperloom.operators.marts import event_items
 
 
-def _side(df: DataFrame, key: str, result: str, side: str) -> DataFrame:
-    return df.select(key, json.parse(result).alias(f"{side}_body"), F.col(result).alias(f"{side}_raw"))
+def _side(df: DataFrame, key: str, result: str, side: str, names: list[str]) -> DataFrame:
+    return df.select(key, json.scalars(result, names).alias(side))
 
 
 def compare_classification(a: DataFrame, b: DataFrame, sample: DataFrame | None = None, result: str = "llm_result") -> DataFrame:
     """Types and dates of both runs per document, disagreements first."""
-    rows = _side(a, "document_id", result, "a").join(_side(b, "document_id", result, "b"), "document_id")
+    names = ["document_type", "publish_date"]
+    rows = _side(a, "document_id", result, "a", names).join(_side(b, "document_id", result, "b", names), "document_id")
     if sample is not None:
         rows = sample.join(rows, "document_id")
     extra = [] if sample is None else [c for c in sample.columns if c != "document_id"]
@@ -23,10 +26,10 @@ def compare_classification(a: DataFrame, b: DataFrame, sample: DataFrame | None
         rows.select(
             "document_id",
             *extra,
-            json.scalar("a_body", "$.document_type").alias("a_type"),
-            json.scalar("a_body", "$.publish_date").alias("a_date"),
-            json.scalar("b_body", "$.document_type").alias("b_type"),
-            json.scalar("b_body", "$.publish_date").alias("b_date"),
+            F.col("a.document_type").alias("a_type"),
+            F.col("a.publish_date").alias("a_date"),
+            F.col("b.document_type").alias("b_type"),
+            F.col("b.publish_date").alias("b_date"),
         )
         .withColumn("type_match", F.col("a_type") == F.col("b_type"))
         .orderBy(F.col("type_match").asc_nulls_first(), "document_id")
@@ -53,12 +56,11 @@ def compare_text_length(
     preview: int = fixed.PREVIEW_CHARS,
 ) -> DataFrame:
     """Relative length difference of extracted texts; a zero length gives NULL."""
-    left = _side(a.where(F.col(status) == ""), key, result, "a")
-    right = _side(b.where(F.col(status) == ""), key, result, "b")
+    names = ["extracted_markdown"]
+    left = _side(a.where(F.col(status) == ""), key, result, "a", names)
+    right = _side(b.where(F.col(status) == ""), key, result, "b", names)
     texts = left.join(right, key).select(
-        key,
-        json.scalar("a_body", "$.extracted_markdown").alias("a_text"),
-        json.scalar("b_body", "$.extracted_markdown").alias("b_text"),
+        key, F.col("a.extracted_markdown").alias("a_text"), F.col("b.extracted_markdown").alias("b_text")
     )
     ratio = F.abs(F.length("a_text") - F.length("b_text")) / F.nullif(F.length("a_text"), F.lit(0))
     return texts.select(
@@ -77,9 +79,13 @@ def event_counts(df: DataFrame, side: str, result: str = "llm_result") -> DataFr
 
     Both counts come from the array inside the row, so nothing is exploded.
     """
-    events = json.items(json.parse(result), "$.events")
-    valid = F.size(F.filter(events, lambda e: dates.safe_date(json.scalar(e, "$.event_date")).isNotNull()))
-    rows = df.select("document_id", F.col(result).alias(f"{side}_raw"), F.size(events).alias("n"), valid.alias("v"))
+
+    def counted(events: Column) -> Column:
+        valid = F.filter(events, lambda e: dates.safe_date(e["event_date"]).isNotNull())
+        return F.struct(F.size(events).alias("n"), F.size(valid).alias("v"))
+
+    counts = let(event_items(result), counted)
+    rows = df.select("document_id", F.col(result).alias(f"{side}_raw"), counts.alias("c")).select("*", "c.n", "c.v")
     return (
         rows.where("n > 0")
         .groupBy("document_id", f"{side}_raw")

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from paperloom import fixed
 from paperloom.functions import dates, json
-from paperloom.functions.text import _col, last_segment, ws_trim
+from paperloom.functions.text import _col, let
 from paperloom.operators.relational import ordered_text
 from paperloom.sources.state import delete_orphans, skip_unchanged, upsert
 
@@ -155,17 +155,22 @@ def with_event_prompt(staged: DataFrame, documents: DataFrame) -> DataFrame:
 
 def result_problem(result: Column | str, spec: ResultSpec) -> Column:
     """NULL for a result that follows ``spec``, else what is wrong with it."""
-    body = json.parse(result)
-    found = F.when(body.isNull(), F.lit("malformed"))
-    for name in spec.required:
-        found = found.when(json.scalar(body, f"$.{name}").isNull(), F.lit(f"missing {name}"))
-    for name, allowed in spec.enums.items():
-        value = json.scalar(body, f"$.{name}")
-        found = found.when(value.isNotNull() & ~value.isin(*allowed), F.lit(f"unknown {name}"))
-    for name in spec.arrays:
-        present = F.try_variant_get(body, f"$.{name}", "variant").isNotNull()
-        found = found.when(present & json.items(body, f"$.{name}").isNull(), F.lit(f"no array {name}"))
-    return found
+    result = _col(result)
+    names = list(dict.fromkeys([*spec.required, *spec.enums])) or ["_"]
+
+    def check(body: Column, values: Column) -> Column:
+        found = F.when(body.isNull(), F.lit("malformed"))
+        for name in spec.required:
+            found = found.when(values[name].isNull(), F.lit(f"missing {name}"))
+        for name, allowed in spec.enums.items():
+            found = found.when(values[name].isNotNull() & ~values[name].isin(*allowed), F.lit(f"unknown {name}"))
+        for name in spec.arrays:
+            present = F.try_variant_get(body, f"$.{name}", "variant").isNotNull()
+            found = found.when(present & json.items(body, f"$.{name}").isNull(), F.lit(f"no array {name}"))
+        return found
+
+    pair = F.struct(json.parse(result).alias("body"), json.scalars(result, names).alias("values"))
+    return let(pair, lambda p: check(p["body"], p["values"]))
 
 
 def validate_result(df: DataFrame, spec: ResultSpec, result: str = "llm_result") -> DataFrame:
@@ -174,14 +179,11 @@ def validate_result(df: DataFrame, spec: ResultSpec, result: str = "llm_result")
 
 def parse_classification(generated: DataFrame, result: str = "llm_result", status: str = "status") -> DataFrame:
     """Type and publish date of successful results; no or a bad date means the update date."""
-    body = json.parse(result)
     return (
         generated.where(F.col(status) == "")
-        .withColumn("document_type", json.scalar(body, "$.document_type"))
-        .withColumn(
-            "publish_date",
-            F.coalesce(dates.safe_date(json.scalar(body, "$.publish_date")), F.to_date("updated_at")),
-        )
+        .withColumn("_body", json.scalars(result, ["document_type", "publish_date"]))
+        .withColumn("document_type", F.col("_body.document_type"))
+        .withColumn("publish_date", F.coalesce(dates.safe_date("_body.publish_date"), F.to_date("updated_at")))
         .select(
             "document_id",
             "uri",

@@ -27,14 +27,14 @@ from paperloom.operators.relational import top_per_group
 
 def stage_texts(generated: DataFrame, result: str = "llm_result", status: str = "status") -> DataFrame:
     """Typed projection of extraction results; failed and empty results are dropped."""
-    body = json.parse(result)
+    text = json.scalars(result, ["extracted_markdown"])["extracted_markdown"]
     return (
         generated.where(F.col(status) == "")
         .select(
             "uri",
             stored_document_id("metadata").alias("document_id"),
             percent_decode(meta_value("metadata", "original-filename")).alias("original_filename"),
-            json.scalar(body, "$.extracted_markdown").alias("extracted_markdown"),
+            text.alias("extracted_markdown"),
             F.col(result).alias("llm_result"),
             F.col(status).alias("status"),
             "content_type",
@@ -165,6 +165,11 @@ def document_cards(documents: DataFrame) -> DataFrame:
 # --- events ----------------------------------------------------------------------------
 
 
+def event_items(result: Column | str) -> Column:
+    """Events of a model result: array of structs of strings, NULL without an event array."""
+    return json.objects(result, "events", ["event_date", "event_time", "event_title", "event_description"])
+
+
 def extract_events(generated: DataFrame, extracted_at: Column, result: str = "llm_result") -> DataFrame:
     """Typed events out of model results, the most detailed of equal events kept.
 
@@ -172,14 +177,12 @@ def extract_events(generated: DataFrame, extracted_at: Column, result: str = "ll
     gives the same rows as dropping them afterwards and shuffles less. Equal lengths are
     settled by the description itself.
     """
-    events = generated.select(
-        "document_id", F.explode(json.items(json.parse(result), "$.events")).alias("e")
-    ).select(
+    events = generated.select("document_id", F.explode(event_items(result)).alias("e")).select(
         "document_id",
-        json.scalar("e", "$.event_date").alias("event_date_str"),
-        json.scalar("e", "$.event_time").alias("event_time_str"),
-        json.scalar("e", "$.event_title").alias("event_title"),
-        json.scalar("e", "$.event_description").alias("event_description"),
+        F.col("e.event_date").alias("event_date_str"),
+        F.col("e.event_time").alias("event_time_str"),
+        "e.event_title",
+        "e.event_description",
     )
     valid = events.where(dates.safe_date("event_date_str").isNotNull() & not_blank("event_title")).withColumn(
         "clock", F.coalesce("event_time_str", F.lit(""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom import fixed
 from paperloom.functions import dates
 from paperloom.operators import compare, infer, marts
+from paperloom.operators.chunking import chunk_documents
 from paperloom.operators.infer import CLASSIFICATION, EVENT_ITEM, EVENTS, EXTRACTION
 from paperloom.queries import base
 from paperloom.queries.base import STAMP, query, strip_sql, table, with_ctes
@@ -181,12 +182,12 @@ def _infer_embed(spark, sf):
     "incremental_embed",
     with_ctes(
         base.CHUNKS,
-        select="SELECT document_id, chunk_index, chunk_id, true AS has_vector FROM chunks",
+        select="SELECT document_id, chunk_index, md5(document_id || ':' || chunk_index) AS chunk_id, true AS has_vector FROM chunks",
     ),
 )
 def _incremental_embed(spark, sf):
     """Vectors of a shorter earlier table plus the chunks it lacked, without its orphans."""
-    all_chunks = base.chunks(spark, sf)
+    all_chunks = chunk_documents(base.staged(spark, sf), unique_ids=True, id_separator=":")
     earlier = all_chunks.where("size < 1500").unionByName(
         all_chunks.where("chunk_index = 0").withColumn("chunk_id", F.md5(F.concat("chunk_id", F.lit("gone"))))
     )
@@ -226,8 +227,9 @@ def _validate_events(spark, sf):
     from paperloom.functions import json
 
     ids = event_results(spark, sf).where(infer.result_problem("llm_result", EVENTS).isNull())
-    kind = json.scalar(json.parse("llm_result"), "$.events[0].event_title")
-    exploded = ids.select(kind.alias("event_type"), F.explode(json.items(json.parse("llm_result"), "$.events")).alias("e"))
+    exploded = ids.select(marts.event_items("llm_result").alias("items")).select(
+        F.get("items", 0)["event_title"].alias("event_type"), F.explode("items").alias("e")
+    )
     faulty = infer.result_problem(F.to_json("e"), EVENT_ITEM).isNotNull()
     return exploded.groupBy("event_type").agg(F.count("*").alias("n_items"), F.count_if(faulty).alias("n_faulty"))
 

@@ -181,9 +181,9 @@ def _distinct_documents(spark, sf):
     with_ctes(
         base.CHUNKS, base.DIM, QUERY_WORDS, TEXT_HITS, TITLE_HITS, FUSED,
         """titles AS (
-  SELECT query_id, title, min(tool_position * 1000 + position) AS at, count(*) AS n FROM fused GROUP BY query_id, title),
+  SELECT query_id, title, min(tool_position * 1000 + position) AS place, count(*) AS n FROM fused GROUP BY query_id, title),
 found AS (
-  SELECT query_id, sum(n) AS n, string_agg('・' || title, chr(10) ORDER BY at, title) AS titles FROM titles GROUP BY query_id)""",
+  SELECT query_id, sum(n) AS n, string_agg('・' || title, chr(10) ORDER BY place, title) AS titles FROM titles GROUP BY query_id)""",
         select="""
 SELECT q.query_id, CASE WHEN f.n IS NULL
     THEN '「' || array_to_string(keywords, '、') || '」に一致する文書は見つかりませんでした。別のキーワードで検索してみてください。'
@@ -246,9 +246,9 @@ def _label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LABEL_QUERIES = """
 numbers AS (
-  SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS at FROM embeddings),
-means AS (SELECT label, at, avg(x) AS x FROM numbers GROUP BY label, at),
-queries AS (SELECT label AS query_id, list(x ORDER BY at) AS q FROM means GROUP BY label),
+  SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS place FROM embeddings),
+means AS (SELECT label, place, avg(x) AS x FROM numbers GROUP BY label, place),
+queries AS (SELECT label AS query_id, list(x ORDER BY place) AS q FROM means GROUP BY label),
 scored AS (
   SELECT query_id, vec_id, label, list_cosine_distance(embedding::DOUBLE[], q) AS distance FROM embeddings, queries)"""
 
