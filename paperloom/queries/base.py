@@ -15,7 +15,7 @@ from paperloom import fixed
 from paperloom.operators.chunking import chunk_documents
 from paperloom.operators.marts import document_dimension
 from paperloom.operators.relational import spread
-from paperloom.session import prepare
+from paperloom.session import cut_lineage, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -234,8 +234,19 @@ def with_type(df: DataFrame) -> DataFrame:
     return df.withColumn("document_type", kind).withColumn("publish_date", day)
 
 
-def documents_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_type(document_dimension(chunks(spark, sf_dir), staged(spark, sf_dir)))
+def documents_dim(spark: SparkSession, sf_dir: str, chunked: DataFrame | None = None) -> DataFrame:
+    rows = chunks(spark, sf_dir) if chunked is None else chunked
+    return with_type(document_dimension(rows, staged(spark, sf_dir)))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks and documents for queries that read them more than once.
+
+    Chunks are written to the shared folder first, as the build does, so they are computed
+    once and later reads scan only the columns they need.
+    """
+    rows = cut_lineage(chunks(spark, sf_dir), "chunks")
+    return rows, documents_dim(spark, sf_dir, rows)
 
 
 DIM = """

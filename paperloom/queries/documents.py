@@ -48,7 +48,7 @@ FROM chunks c JOIN dim d ON c.document_id = d.document_id""",
     ),
 )
 def _denormalise(spark, sf):
-    rows = marts.denormalise_chunks(base.chunks(spark, sf), base.documents_dim(spark, sf))
+    rows = marts.denormalise_chunks(*base.stored(spark, sf))
     return rows.withColumn("publish_date", F.col("publish_date").cast("string"))
 
 
@@ -65,7 +65,8 @@ def _denormalise(spark, sf):
     ),
 )
 def _detail(spark, sf):
-    rows = marts.document_detail(base.documents_dim(spark, sf), base.chunks(spark, sf))
+    chunks, documents = base.stored(spark, sf)
+    rows = marts.document_detail(documents, chunks)
     return rows.select(
         "document_id",
         "title",
@@ -166,7 +167,7 @@ FROM chunks c JOIN dim d ON c.document_id = d.document_id""",
     ),
 )
 def _export_chunks(spark, sf):
-    return marts.export_chunks(marts.denormalise_chunks(base.chunks(spark, sf), base.documents_dim(spark, sf)))
+    return marts.export_chunks(marts.denormalise_chunks(*base.stored(spark, sf)))
 
 
 # --- scalar expressions over whole columns ---------------------------------------------------

@@ -15,7 +15,7 @@ KEYWORDS = ["tion", "ciez"]
 
 
 def _search_chunks(spark, sf):
-    return marts.denormalise_chunks(base.chunks(spark, sf), base.documents_dim(spark, sf))
+    return marts.denormalise_chunks(*base.stored(spark, sf))
 
 
 @query(
@@ -43,9 +43,7 @@ WHERE d.title LIKE '%src7%' OR d.title LIKE '%2025-0_-11%' ORDER BY c.document_i
     ),
 )
 def _title(spark, sf):
-    return search.title_search(
-        base.chunks(spark, sf), base.documents_dim(spark, sf), ["src7", "2025-0_-11"], limit=25
-    )
+    return search.title_search(*base.stored(spark, sf), ["src7", "2025-0_-11"], limit=25)
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +117,7 @@ def _keyword_many(spark, sf):
     ),
 )
 def _title_many(spark, sf):
-    return search.title_search_many(base.chunks(spark, sf), base.documents_dim(spark, sf), _queries(spark, sf))
+    return search.title_search_many(*base.stored(spark, sf), _queries(spark, sf))
 
 
 def _placed(hits: DataFrame) -> DataFrame:
@@ -128,13 +126,11 @@ def _placed(hits: DataFrame) -> DataFrame:
 
 
 def _fused(spark, sf):
-    return search.fuse_sources(
-        [
-            ("titleSearch", _placed(_title_many(spark, sf))),
-            ("keywordSearch", _placed(_keyword_many(spark, sf))),
-            ("weather", _placed(_keyword_many(spark, sf))),
-        ]
-    )
+    chunks, documents = base.stored(spark, sf)
+    queries = _queries(spark, sf)
+    by_title = _placed(search.title_search_many(chunks, documents, queries))
+    by_text = _placed(search.keyword_search_many(marts.denormalise_chunks(chunks, documents), queries))
+    return search.fuse_sources([("titleSearch", by_title), ("keywordSearch", by_text), ("weather", by_text)])
 
 
 FUSED = """
