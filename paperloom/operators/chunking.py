@@ -221,29 +221,30 @@ def chunk_documents(
 
 
 def number_shared(
-    df: DataFrame, key: str, place: list[str], owner: str, name: str, slices: int = 16
+    df: DataFrame, key: str, place: list[str], owner: str, name: str, slices: int = 4096
 ) -> DataFrame:
     """``row_number() - 1`` per ``key`` ordered by ``place``, then by MD5 of ``owner``.
 
-    A key may own a third of all rows, so no window spans a whole key: rows are ranked
-    inside (key, place, slice of the owner's hash) and shifted by the number of rows in
-    earlier cells. Only the counts per cell meet in one window per key.
+    A key may own a third of all rows, so no window over rows spans a whole key: rows are
+    ranked inside cells of (key, place, slice of the owner's hash) and shifted by the number
+    of rows in earlier cells. Only counts, at most ``slices`` per place, meet per key. The
+    rows are shuffled once; the join reuses the partitioning of the ranking.
     """
     owner_hash = F.md5(F.col(owner).cast("string"))
-    digits = F.conv(F.substring(owner_hash, 1, 2), 16, 10).cast("int")
-    sliced = df.withColumn("_hash", owner_hash).withColumn("_slice", F.floor(digits * slices / 256).cast("int"))
-    cell = [key, *place, "_slice"]
-    counts = sliced.groupBy(*cell).agg(F.count("*").alias("_rows"))
-    earlier = W.partitionBy(key).orderBy(*place, "_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(c).alias(f"_o_{c}") for c in cell],
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
+    digits = F.conv(F.substring(owner_hash, 1, 3), 16, 10).cast("int")
+    sliced = (
+        df.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+        .withColumn("_hash", owner_hash)
+        .withColumn("_slice", F.floor(digits * slices / 4096).cast("int"))
     )
+    cell = ["_key", *place, "_slice"]
+    counts = sliced.groupBy(*cell).agg(F.count("*").alias("_rows"))
+    earlier = W.partitionBy("_key").orderBy(*place, "_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*cell, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     inner = W.partitionBy(*cell).orderBy("_hash", owner)
     ranked = sliced.withColumn("_rank", F.row_number().over(inner))
-    same_cell = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in cell]
     return (
-        ranked.join(offsets, same_cell, "inner")
+        ranked.join(offsets, cell, "inner")
         .withColumn(name, (F.col("_offset") + F.col("_rank") - 1).cast("long"))
         .select(*df.columns, name)
     )

@@ -9,22 +9,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def null_facts(keys: DataFrame, column: str) -> tuple[Column, Column]:
+    """Row count and NULL count of a key column, as one one-row scalar subquery."""
+    facts = keys.agg(
+        F.struct(F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("nulls")).alias("facts")
+    ).scalar()
+    return facts["n"], facts["nulls"]
+
+
 def not_in(df: DataFrame, other: DataFrame, column: str, other_column: str | None = None) -> DataFrame:
     """``column NOT IN (SELECT other_column ...)`` with SQL's NULL rules.
 
     A NULL on the inner side empties the result; a NULL key survives only an empty inner
     side. Spark's own null-aware anti join must broadcast the inner side whatever its size;
-    here the two NULL facts are one-row scalar subqueries and the rest is a plain anti join.
+    here the NULL facts are a scalar subquery and the rest is a plain anti join. Rows with a
+    NULL key leave before the join, so they never pile up on one task.
     """
     inner = other.select(F.col(other_column or column).alias("_inner"))
-    facts = inner.agg(F.count("*").alias("n"), F.count_if(F.col("_inner").isNull()).alias("nulls"))
-    total = facts.select("n").scalar()
-    nulls = facts.select("nulls").scalar()
-    keep = (total == 0) | ((nulls == 0) & F.col(column).isNotNull())
-    # Only keys that can match go through the shuffle key; NULL keys never pile up on one task.
-    present = inner.where("_inner is not null")
-    rows = df.where(keep)
-    return rows.join(present, F.col(column) == F.col("_inner"), "left_anti")
+    total, nulls = null_facts(inner, "_inner")
+    rows = df.where((total == 0) | ((nulls == 0) & F.col(column).isNotNull()))
+    return rows.join(inner.where("_inner is not null"), F.col(column) == F.col("_inner"), "left_anti")
 
 
 def in_set(df: DataFrame, other: DataFrame, column: str, other_column: str | None = None) -> DataFrame:

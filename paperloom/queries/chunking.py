@@ -9,6 +9,7 @@ from paperloom.operators import chunk_steps as steps
 from paperloom.operators.chunking import chunk_documents, chunk_fixed, split_by_headings
 from paperloom.queries import base
 from paperloom.queries.base import query, with_ctes
+from paperloom.session import cut_lineage
 
 
 @query(
@@ -121,7 +122,8 @@ def _regroup(spark, sf):
     with_ctes(base.CHUNKS, select="SELECT document_id, chunk_index, chunk_text, chunk_id FROM chunks"),
 )
 def _number_chunks(spark, sf):
-    return steps.number_chunks(_regrouped(spark, sf)).select("document_id", "chunk_index", "chunk_text", "chunk_id")
+    rows = cut_lineage(_regrouped(spark, sf), "regrouped")
+    return steps.number_chunks(rows).select("document_id", "chunk_index", "chunk_text", "chunk_id")
 
 
 @query(

@@ -15,7 +15,7 @@ AS_OF = "2024-01-15"
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model result per event row: a good event, a more detailed twin, a bad date, a blank title."""
-    e = table(spark, sf_dir, "events")
+    e = base.spread(table(spark, sf_dir, "events"), "event_id")
     user, kind = F.col("user_id").cast("string"), F.col("event_type")
     day = F.date_format(F.col("ts"), "yyyy-M-d")
     clock = (

@@ -13,6 +13,7 @@ from paperloom.queries import base
 from paperloom.queries.base import STAMP, query, strip_sql, table, with_ctes
 from paperloom.queries.events import results as event_results
 from paperloom.queries.tables import nation_rules
+from paperloom.session import cut_lineage
 
 _WORDS = {"src1": "journal", "src2": "photo_album", "src3": "monthly_announcement", "src4": "monthly_lunch_info"}
 
@@ -187,7 +188,7 @@ def _infer_embed(spark, sf):
 )
 def _incremental_embed(spark, sf):
     """Vectors of a shorter earlier table plus the chunks it lacked, without its orphans."""
-    all_chunks = chunk_documents(base.staged(spark, sf), unique_ids=True, id_separator=":")
+    all_chunks = cut_lineage(chunk_documents(base.staged(spark, sf), unique_ids=True, id_separator=":"), "chunks")
     earlier = all_chunks.where("size < 1500").unionByName(
         all_chunks.where("chunk_index = 0").withColumn("chunk_id", F.md5(F.concat("chunk_id", F.lit("gone"))))
     )

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from paperloom.operators import marts, search, vectors
 from paperloom.queries import base
 from paperloom.queries.base import query, strip_sql, table, with_ctes
-from paperloom.session import scratch_path
+from paperloom.session import cut_lineage, scratch_path
 
 KEYWORDS = ["tion", "ciez"]
 
 
 def _search_chunks(spark, sf):
-    return marts.denormalise_chunks(*base.stored(spark, sf))
+    """The search table, stored as the build stores it."""
+    return cut_lineage(marts.denormalise_chunks(*base.stored(spark, sf)), "search-chunks")
 
 
 @query(
@@ -129,7 +130,8 @@ def _fused(spark, sf):
     chunks, documents = base.stored(spark, sf)
     queries = _queries(spark, sf)
     by_title = _placed(search.title_search_many(chunks, documents, queries))
-    by_text = _placed(search.keyword_search_many(marts.denormalise_chunks(chunks, documents), queries))
+    stored = cut_lineage(marts.denormalise_chunks(chunks, documents), "search-chunks")
+    by_text = _placed(search.keyword_search_many(stored, queries))
     return search.fuse_sources([("titleSearch", by_title), ("keywordSearch", by_text), ("weather", by_text)])
 
 

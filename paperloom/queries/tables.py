@@ -9,7 +9,7 @@ from paperloom.operators import marts
 from paperloom.operators.relational import in_set, not_in
 from paperloom.queries import base
 from paperloom.queries.base import STAMP, query, table, with_ctes
-from paperloom.session import scratch_path
+from paperloom.session import cut_lineage, scratch_path
 from paperloom.sources import state, tables
 
 _ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
@@ -102,7 +102,8 @@ SELECT document_id, chunk_index, chunk_id FROM chunks WHERE document_id NOT IN (
     ),
 )
 def _delete_stale(spark, sf):
-    kept = state.delete_stale_chunks(base.chunks(spark, sf), _revised(spark, sf))
+    chunks, _ = base.stored(spark, sf)
+    kept = state.delete_stale_chunks(chunks, _revised(spark, sf))
     return kept.select("document_id", "chunk_index", "chunk_id")
 
 
@@ -134,7 +135,7 @@ def _incremental_chunks(spark, sf):
     """Re-chunk after a re-scan: stale chunks go, changed texts come back, the rest stays."""
     from paperloom.plans.build import merge_chunks
 
-    full = merge_chunks(None, base.staged(spark, sf), unique_ids=True)
+    full = cut_lineage(merge_chunks(None, base.staged(spark, sf), unique_ids=True), "chunks")
     return merge_chunks(full, _revised(spark, sf), unique_ids=True).select(
         "document_id", "chunk_index", "chunk_text", "md5_hash"
     )

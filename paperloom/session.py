@@ -14,6 +14,8 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts are long: small batches keep the Arrow hop to tens of megabytes per task.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom import fixed
 from paperloom.functions.metadata import modified_or
-from paperloom.operators.relational import in_set, not_in, without_pairs
+from paperloom.operators.relational import in_set, not_in, null_facts, without_pairs
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
@@ -56,8 +56,7 @@ def delete_orphans(target: DataFrame, parents: DataFrame, key: str = "chunk_id")
     own key is NULL also stays, unless there are no parents at all.
     """
     parent = parents.select(F.col(key).alias("_parent"))
-    facts = parent.agg(F.count("*").alias("n"), F.count_if(F.col("_parent").isNull()).alias("nulls"))
-    total, nulls = facts.select("n").scalar(), facts.select("nulls").scalar()
+    total, nulls = null_facts(parent, "_parent")
     held = target.where((F.col(key).isNull() | (nulls > 0)) & (total > 0))
     matched = target.where(F.col(key).isNotNull() & (nulls == 0)).join(
         parent, F.col(key) == F.col("_parent"), "left_semi"
