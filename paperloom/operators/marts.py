@@ -52,11 +52,17 @@ def stage_texts(generated: DataFrame, result: str = "llm_result", status: str =
 def document_dimension(chunks: DataFrame, staged: DataFrame) -> DataFrame:
     """One row per document with its title and roll-ups, before classification.
 
-    Chunks are counted per (document, uri) first, with map-side partial counts, so the join
-    for the file name moves one row per document and not one per chunk.
+    Chunks are counted first, so the join for the file name moves one row per document and
+    not one per chunk. The text columns are grouping keys of the first step because a
+    maximum over strings cannot be hash-aggregated and would sort all chunks; a second,
+    small step takes their maximum.
     """
-    rolled = chunks.groupBy("document_id", "uri").agg(
-        F.count("*").alias("total_chunks"),
+    own = ["document_id", "uri"]
+    counted = chunks.groupBy(*own, "content_type", "md5_hash").agg(
+        F.count("*").alias("total_chunks"), F.max("size").alias("size"), F.max("updated_at").alias("updated_at")
+    )
+    rolled = counted.groupBy(*own).agg(
+        F.sum("total_chunks").alias("total_chunks"),
         F.max("content_type").alias("content_type"),
         F.max("size").alias("size"),
         F.max("md5_hash").alias("md5_hash"),

@@ -6,8 +6,14 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import paperloom
+
+# Functions travel to the executors by value: they need no copy of this package there.
+cloudpickle.register_pickle_by_value(paperloom)
+
 _RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
