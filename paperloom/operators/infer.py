@@ -199,15 +199,24 @@ def parse_classification(generated: DataFrame, result: str = "llm_result", statu
     )
 
 
+def new_embeddings(
+    chunks: DataFrame,
+    target: DataFrame | None,
+    model: EmbeddingModel,
+    workers: int | None = None,
+    small: int | None = None,
+) -> DataFrame:
+    """Vectors of the chunks whose (chunk_id, md5_hash) pair has none yet."""
+    fresh = skip_unchanged(chunks, target, ["chunk_id", "md5_hash"], small)
+    return infer_embedding(fresh, "chunk_text", model, workers=workers)
+
+
 def incremental_embed(
     chunks: DataFrame, target: DataFrame | None, model: EmbeddingModel, workers: int | None = None
 ) -> DataFrame:
     """Embed only new or changed chunks, drop orphans, return the whole new table."""
-    fresh = infer_embedding(
-        skip_unchanged(chunks, target, ["chunk_id", "md5_hash"]), "chunk_text", model, workers=workers
-    )
     kept = None if target is None else delete_orphans(target, chunks, "chunk_id")
-    return upsert(kept, fresh, ["chunk_id"])
+    return upsert(kept, new_embeddings(chunks, target, model, workers), ["chunk_id"])
 
 
 # --- offline models: pure functions of the row, for tests and dry runs ---------------------

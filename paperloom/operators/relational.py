@@ -42,6 +42,11 @@ def without_pairs(df: DataFrame, other: DataFrame, columns: Sequence[str]) -> Da
     return df.join(other.select(*columns), list(columns), "left_anti")
 
 
+def in_both(df: DataFrame, other: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows whose column pair is present in ``other``; rows are never multiplied."""
+    return df.join(other.select(*columns), list(columns), "left_semi")
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """First ``n`` rows per group.
 

@@ -17,11 +17,16 @@ from paperloom.operators.chunking import chunk_documents
 from paperloom.operators.infer import CLASSIFICATION, EVENTS, EXTRACTION, EmbeddingModel, TextModel
 from paperloom.operators.quality import Check, table_checks
 from paperloom.operators.vectors import ListIndex, build_ivf
+from paperloom.session import stored_copy
 from paperloom.sources import state, tables
-from paperloom.sources.state import KeyedTable
+from paperloom.sources.state import DatedTable, KeyedTable
 
 
-def merge_staged(
+# New pairs up to this many are looked up by broadcast instead of shuffling all texts.
+SMALL_DELTA = 200_000
+
+
+def new_staged(
     target: DataFrame | None,
     raw: DataFrame,
     model: TextModel,
@@ -31,26 +36,29 @@ def merge_staged(
     refresh_changed: bool = False,
     workers: int | None = None,
 ) -> DataFrame:
-    """Extract the text of new PDF files in the time window and merge by uri."""
+    """Extracted texts of the PDF files in the time window that are not stored yet."""
     rows = state.time_window(raw.where("content_type = 'application/pdf'"), start, end)
     if refresh_changed:
         rows = state.skip_unchanged(rows, target, ["uri", "md5_hash"])
     else:
         rows = state.skip_known(rows, target, "uri")
-    staged = marts.stage_texts(infer.infer_text(rows, prompt, model, EXTRACTION, workers=workers))
-    return state.upsert(target, staged, ["uri"])
+    return marts.stage_texts(infer.infer_text(rows, prompt, model, EXTRACTION, workers=workers))
+
+
+def new_chunks(target: DataFrame | None, staged: DataFrame, small: int | None = None, **chunking) -> DataFrame:
+    """Chunks of the texts whose (uri, md5_hash) pair has none yet."""
+    return chunk_documents(state.skip_unchanged(staged, target, ["uri", "md5_hash"], small), **chunking)
 
 
 def merge_chunks(target: DataFrame | None, staged: DataFrame, **chunking) -> DataFrame:
-    """Drop chunks of changed documents, chunk what is not stored yet."""
+    """Drop chunks of changed documents, chunk what is not stored yet; the whole new table."""
     if target is None:
-        return chunk_documents(staged, **chunking)
+        return new_chunks(None, staged, **chunking)
     kept = state.delete_stale_chunks(target, staged)
-    fresh = chunk_documents(state.skip_unchanged(staged, kept, ["uri", "md5_hash"]), **chunking)
-    return state.upsert(kept, fresh, ["document_id", "chunk_index"])
+    return state.upsert(kept, new_chunks(kept, staged, **chunking), ["document_id", "chunk_index"])
 
 
-def merge_documents(
+def new_documents(
     target: DataFrame | None,
     chunks: DataFrame,
     staged: DataFrame,
@@ -59,17 +67,16 @@ def merge_documents(
     refresh_changed: bool = False,
     workers: int | None = None,
 ) -> DataFrame:
-    """Classify new documents; stored ones keep their row unless refreshed by hash."""
+    """Classified new documents; stored ones are left alone unless refreshed by hash."""
     if refresh_changed:
         rows = state.skip_unchanged(chunks, target, ["document_id", "md5_hash"])
     else:
         rows = state.skip_known(chunks, target, "document_id")
     asked = infer.with_classification_prompt(marts.document_dimension(rows, staged), rules)
-    typed = infer.parse_classification(infer.infer_text(asked, "prompt", model, CLASSIFICATION, workers=workers))
-    return state.upsert(target, typed, ["document_id"])
+    return infer.parse_classification(infer.infer_text(asked, "prompt", model, CLASSIFICATION, workers=workers))
 
 
-def merge_events(
+def new_events(
     target: DataFrame | None,
     staged: DataFrame,
     documents: DataFrame,
@@ -77,11 +84,11 @@ def merge_events(
     extracted_at: Column,
     workers: int | None = None,
 ) -> DataFrame:
-    """Extract events of documents without any, merge by event id."""
-    rows = state.skip_known(staged, target, "document_id")
-    asked = infer.with_event_prompt(rows, documents)
+    """Events of the documents that have none stored."""
+    known = None if target is None else target.select("document_id").distinct()
+    asked = infer.with_event_prompt(state.skip_known(staged, known, "document_id"), documents)
     generated = infer.infer_text(asked, "prompt", model, EVENTS, workers=workers).where("status = ''")
-    return state.upsert(target, marts.extract_events(generated, extracted_at), ["event_id"])
+    return marts.extract_events(generated, extracted_at)
 
 
 @dataclass
@@ -96,22 +103,37 @@ class Build:
     """All tables of the job under one root, in dependency order.
 
     Every step ends in a written table; the next reads that table, so a lost executor costs
-    a task and never a repeated model call of an earlier step.
+    a task and never a repeated model call of an earlier step. ``dated=True`` keeps the large
+    tables in one folder per day and rewrites only the days a run touches; otherwise each
+    table is kept as complete versions.
     """
 
-    def __init__(self, spark: SparkSession, root: str, rules: DataFrame, models: Models, workers: int | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        rules: DataFrame,
+        models: Models,
+        workers: int | None = None,
+        dated: bool = False,
+    ):
         self.spark, self.root, self.rules, self.models, self.workers = spark, root.rstrip("/"), rules, models, workers
-        self.staged = self._table("staged", ["uri"])
-        self.chunks = self._table("chunks", ["document_id", "chunk_index"])
-        self.embedded = self._table("embedded", ["chunk_id"])
-        self.documents = self._table("documents", ["document_id"])
-        self.events = self._table("events", ["event_id"])
-        self.history = self._table("sync_history", ["event_id"])
-        self.search_chunks = self._table("search_chunks", ["chunk_id"])
-        self.synced_events = self._table("events_with_sync", ["event_id"])
-
-    def _table(self, name: str, keys: list[str]) -> KeyedTable:
-        return KeyedTable(self.spark, f"{self.root}/{name}", keys)
+        self.dated = dated
+        self.staged = self._table("staged", ["uri"], "updated_day", ["uri"])
+        self.chunks = self._table("chunks", ["document_id", "chunk_index"], "updated_day", ["document_id"])
+        self.embedded = self._table("embedded", ["chunk_id"], "updated_day", ["document_id"])
+        self.documents = self._table("documents", ["document_id"], "publish_date", ["document_type"])
+        self.events = self._table("events", ["event_id"], "event_date", ["document_id"])
+        self.history = KeyedTable(spark, f"{self.root}/sync_history", ["event_id"])
+        self.search_chunks = KeyedTable(spark, f"{self.root}/search_chunks", ["chunk_id"])
+        self.synced_events = KeyedTable(spark, f"{self.root}/events_with_sync", ["event_id"])
+
+    def _table(self, name: str, keys: list[str], day: str, cluster: list[str]) -> KeyedTable | DatedTable:
+        path = f"{self.root}/{name}"
+        return DatedTable(self.spark, path, keys, day, cluster) if self.dated else KeyedTable(self.spark, path, keys)
+
+    def _dated(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("updated_day", F.to_date("updated_at")) if self.dated else df
 
     def run(
         self,
@@ -125,23 +147,34 @@ class Build:
         extracted_at: Column | None = None,
         **chunking,
     ) -> None:
-        def stored(table: KeyedTable) -> DataFrame | None:
+        def stored(table) -> DataFrame | None:
             return None if full_refresh else table.read()
 
+        def save(table, fresh: DataFrame, drop: DataFrame | None = None) -> DataFrame:
+            # Results of model calls are stored before the merge looks at them twice.
+            with stored_copy(fresh, "fresh") as rows:
+                return table.overwrite(rows) if full_refresh else table.merge(rows, drop=drop)
+
         m, n = self.models, self.workers
-        staged = self.staged.overwrite(
-            merge_staged(stored(self.staged), raw, m.extraction, prompt, start, end, refresh_changed, n)
+        staged = save(
+            self.staged,
+            self._dated(new_staged(stored(self.staged), raw, m.extraction, prompt, start, end, refresh_changed, n)),
         )
-        chunks = self.chunks.overwrite(merge_chunks(stored(self.chunks), staged, **chunking))
-        embedded = self.embedded.overwrite(infer.incremental_embed(chunks, stored(self.embedded), m.embedding, n))
-        documents = self.documents.overwrite(
-            merge_documents(stored(self.documents), chunks, staged, self.rules, m.classification, refresh_changed, n)
+        old = stored(self.chunks)
+        stale = None if old is None else state.stale_documents(old, staged)
+        kept = None if old is None else state.delete_stale_chunks(old, staged)
+        chunks = save(self.chunks, self._dated(new_chunks(kept, staged, SMALL_DELTA, **chunking)), stale)
+        old = stored(self.embedded)
+        gone = None if old is None else state.orphans(old, chunks)
+        embedded = save(self.embedded, infer.new_embeddings(chunks, old, m.embedding, n, SMALL_DELTA), gone)
+        documents = save(
+            self.documents,
+            new_documents(stored(self.documents), chunks, staged, self.rules, m.classification, refresh_changed, n),
         )
         at = F.current_timestamp() if extracted_at is None else extracted_at
-        events = self.events.overwrite(merge_events(stored(self.events), staged, documents, m.events, at, n))
-        history = self.sync_history()
+        events = save(self.events, new_events(stored(self.events), staged, documents, m.events, at, n))
         self.search_chunks.overwrite(marts.denormalise_chunks(embedded, documents))
-        self.synced_events.overwrite(marts.events_with_sync(events, documents, history, as_of))
+        self.synced_events.overwrite(marts.events_with_sync(events, documents, self.sync_history(), as_of))
 
     def sync_history(self) -> DataFrame:
         found = self.history.read()

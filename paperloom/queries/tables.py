@@ -58,6 +58,33 @@ def _keyed_table(spark, sf):
     return store.merge(change)
 
 
+@query(
+    "dated_table_merge",
+    with_ctes(
+        _CHANGED_SQL,
+        """months AS (SELECT o_orderkey, date_trunc('month', o_orderdate) AS month FROM orders),
+merged AS (
+  SELECT s.*, 'new' AS origin FROM source s
+  UNION ALL SELECT t.*, 'old' FROM target t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM source))""",
+        select="""
+SELECT m.o_orderkey, m.o_custkey, m.o_orderstatus, m.o_totalprice,
+       CASE WHEN m.origin = 'new' THEN '1999-01-01' ELSE strftime(d.month, '%Y-%m-%d') END AS order_month
+FROM merged m LEFT JOIN months d USING (o_orderkey)
+WHERE m.o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') OR m.origin = 'new'""",
+    ),
+)
+def _dated_table(spark, sf):
+    """A merge into monthly folders that moves rows between them and drops some customers."""
+    orders = table(spark, sf, "orders")
+    month = F.trunc("o_orderdate", "MM")
+    store = state.DatedTable(spark, scratch_path(spark, "orders-dated"), ["o_orderkey"], "order_month", ["o_custkey"])
+    store.overwrite(orders.select(*_ORDER_COLUMNS, month.alias("order_month")))
+    builders = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
+    moved = _changed_orders(spark, sf).withColumn("order_month", F.lit("1999-01-01").cast("date"))
+    merged = store.merge(moved, drop=builders.select(F.col("c_custkey").alias("o_custkey")))
+    return merged.select(*_ORDER_COLUMNS, F.col("order_month").cast("string").alias("order_month"))
+
+
 @query(
     "upsert_composite_key",
     """

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from paperloom import fixed
 from paperloom.functions.metadata import modified_or
-from paperloom.operators.relational import in_set, not_in, null_facts, without_pairs
+from paperloom.operators.relational import in_both, in_set, not_in, null_facts, without_pairs
+from paperloom.session import stored_copy
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
@@ -40,15 +41,24 @@ def merge_into(spark: SparkSession, table: str, source: DataFrame, keys: Sequenc
 
 
 def stale_documents(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Ids of documents known by uri whose (uri, md5_hash) pair is gone."""
-    known = in_set(source, target, "uri")
-    return without_pairs(known, target, ["uri", "md5_hash"]).select("document_id").distinct()
+    """Ids of documents known by uri whose (uri, md5_hash) pair is gone.
+
+    The target has a row per chunk; its pairs are made distinct inside the map tasks.
+    """
+    pairs = target.select("uri", "md5_hash").distinct()
+    known = in_set(source.select("document_id", "uri", "md5_hash"), pairs, "uri")
+    return without_pairs(known, pairs, ["uri", "md5_hash"]).select("document_id").distinct()
 
 
 def delete_stale_chunks(target: DataFrame, source: DataFrame) -> DataFrame:
     return target.join(stale_documents(target, source), "document_id", "left_anti")
 
 
+def orphans(target: DataFrame, parents: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Keys ``DELETE ... WHERE key NOT IN (parents)`` would delete."""
+    return not_in(target.select(key), parents, key)
+
+
 def delete_orphans(target: DataFrame, parents: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``DELETE ... WHERE key NOT IN (parents)``: what is left is the rows that stay.
 
@@ -64,9 +74,25 @@ def delete_orphans(target: DataFrame, parents: DataFrame, key: str = "chunk_id")
     return matched.unionByName(held)
 
 
-def skip_unchanged(source: DataFrame, target: DataFrame | None, columns: Sequence[str]) -> DataFrame:
-    """Rows whose (key, hash) pair the target does not hold yet; all rows on a full run."""
-    return source if target is None else without_pairs(source, target, columns)
+def skip_unchanged(
+    source: DataFrame, target: DataFrame | None, columns: Sequence[str], small: int | None = None
+) -> DataFrame:
+    """Rows whose (key, hash) pair the target does not hold yet; all rows on a full run.
+
+    With ``small`` the new pairs are found first on the narrow columns alone; when there are
+    at most that many, they are broadcast and the wide rows are read without a shuffle. More
+    new pairs than that take the plain anti join.
+    """
+    if target is None:
+        return source
+    held = target.select(*columns).distinct()
+    if small is not None:
+        fresh = without_pairs(source.select(*columns), held, columns).distinct()
+        fresh = fresh.select(*[F.col(c).alias(f"_n_{c}") for c in columns])
+        if fresh.limit(small + 1).count() <= small:
+            same = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in columns]
+            return source.join(F.broadcast(fresh), same, "left_semi")
+    return without_pairs(source, held, columns)
 
 
 def skip_known(source: DataFrame, target: DataFrame | None, key: str) -> DataFrame:
@@ -177,11 +203,80 @@ class KeyedTable:
         df.write.mode("overwrite").parquet(self._folder(done[-1] + 1 if done else 1))
         return self.read()
 
-    def merge(self, source: DataFrame, check: bool = True) -> DataFrame:
-        return self.overwrite(upsert(self.read(), source, self.keys, check=check))
+    def merge(self, source: DataFrame, check: bool = True, drop: DataFrame | None = None) -> DataFrame:
+        """Upsert ``source``; rows matching the columns of ``drop`` are deleted first."""
+        if check:
+            assert_unique(source, self.keys)
+        return self.overwrite(upsert(_without(self.read(), drop), source, self.keys))
 
     def expire(self, keep: int = 2) -> None:
         """Drop all but the newest ``keep`` finished versions."""
         fs, _, make = self._fs()
         for version in self._versions()[:-keep]:
             fs.delete(make(self._folder(version)), True)
+
+
+def _without(target: DataFrame | None, drop: DataFrame | None) -> DataFrame | None:
+    return target if target is None or drop is None else without_pairs(target, drop, drop.columns)
+
+
+class DatedTable:
+    """A table in one folder per day; a merge rewrites only the days it touches.
+
+    Touched are the days of the new rows and the days that hold an older copy of one, or a
+    row to drop; they are found on the key columns alone. The merged rows are written to the
+    shared folder first and from there over the touched days, so nothing is read while it is
+    replaced and a repeated merge ends in the same table. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], day: str, cluster: Sequence[str] = ()):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+        self.day, self.cluster = day, list(cluster)
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        make = jvm.org.apache.hadoop.fs.Path
+        return make(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), make
+
+    def read(self) -> DataFrame | None:
+        fs, make = self._fs()
+        return self.spark.read.parquet(self.path) if fs.exists(make(f"{self.path}/_SUCCESS")) else None
+
+    def overwrite(self, df: DataFrame) -> DataFrame:
+        """Replace the whole table. ``df`` may read it: its rows are written aside first."""
+        if self.read() is None:
+            self._write(df, "static")
+        else:
+            with stored_copy(df, "rebuild") as rows:
+                self._write(rows, "static")
+        return self.read()
+
+    def merge(self, source: DataFrame, check: bool = True, drop: DataFrame | None = None) -> DataFrame:
+        if check:
+            assert_unique(source, self.keys)
+        target = self.read()
+        if target is None:
+            return self.overwrite(source)
+        touched = source.select(self.day).distinct()
+        narrow = list(dict.fromkeys([*self.keys, *([] if drop is None else drop.columns)]))
+        places = target.select(*narrow, self.day)
+        touched = touched.unionByName(in_both(places, source, self.keys).select(self.day))
+        if drop is not None:
+            touched = touched.unionByName(in_both(places, drop, drop.columns).select(self.day))
+        days = [r[0] for r in touched.distinct().collect()]  # one value per folder
+        inside = F.col(self.day).isin([d for d in days if d is not None])
+        if None in days:
+            inside = inside | F.col(self.day).isNull()
+        old = target.where(inside)
+        with stored_copy(upsert(_without(old, drop), source.select(*old.columns), self.keys), "merge") as merged:
+            left = {r[0] for r in merged.select(self.day).distinct().collect()}
+            self._write(merged, "dynamic")
+        fs, make = self._fs()
+        for gone in set(days) - left:
+            name = "__HIVE_DEFAULT_PARTITION__" if gone is None else str(gone)
+            fs.delete(make(f"{self.path}/{self.day}={name}"), True)
+        return self.read()
+
+    def _write(self, df: DataFrame, mode: str) -> None:
+        rows = df.hint("rebalance", F.col(self.day)).sortWithinPartitions(self.day, *self.cluster)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(self.day).parquet(self.path)

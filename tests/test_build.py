@@ -24,12 +24,12 @@ def text(i):
     return f"はじめの段落の文章です {i}\n\n●お知らせの内容 {i}\n\n2026-04-{i % 28 + 1:02d} 10:00 行事 {i}"
 
 
-@pytest.fixture
-def build(spark, table):
+@pytest.fixture(params=[False, True], ids=["versions", "dated"])
+def build(request, spark, table):
     rules = table([("journal", "日誌", "daily", 1), ("uncategorized", "その他", "rest", 2)],
                   "document_type string, label_ja string, description string, sort_order bigint")
     models = Models(infer.EchoExtractor(), infer.KeywordClassifier({"journal": "journal"}), infer.DatedLineExtractor(), infer.HashingEmbedder(8))
-    return lambda: Build(spark, scratch_path(spark, "build"), rules, models)
+    return lambda: Build(spark, scratch_path(spark, "build"), rules, models, dated=request.param)
 
 
 def run(b, rows, **options):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.operators.relational import last_wins, not_in
 from paperloom.session import scratch_path
 from paperloom.sources import state, tables
-from paperloom.sources.state import KeyedTable
+from paperloom.sources.state import DatedTable, KeyedTable
 
 
 def pairs(df):
@@ -144,3 +144,34 @@ def test_last_wins(table):
     rows = table([(1, "a", 1, "x"), (1, "b", 2, "y"), (1, "a", 3, "z")], "q int, d string, p int, v string")
     got = {r.d: (r.first_position, r.v) for r in last_wins(rows, ["q"], "d", "p", ["v"]).collect()}
     assert got == {"a": (1, "z"), "b": (2, "y")}
+
+
+def test_dated_table_rewrites_only_touched_days(spark, table):
+    import os
+
+    schema = "k int, v string, day date"
+    d = dt.date
+    store = DatedTable(spark, scratch_path(spark, "dated"), ["k"], "day", ["k"])
+    assert store.read() is None
+    store.merge(table([(1, "a", d(2026, 1, 1)), (2, "b", d(2026, 1, 2)), (3, "c", d(2026, 1, 3)), (4, "d", None)], schema))
+    before = os.listdir(store.path + "/day=2026-01-03")
+    # 1 moves to another day and leaves an empty one, 4 gets a day, 5 is new.
+    change = table([(1, "A", d(2026, 1, 2)), (4, "D", d(2026, 1, 2)), (5, "e", d(2026, 1, 4))], schema)
+    for _ in range(2):
+        got = {r.k: (r.v, str(r.day)) for r in store.merge(change).collect()}
+        assert got == {
+            1: ("A", "2026-01-02"), 2: ("b", "2026-01-02"), 3: ("c", "2026-01-03"), 4: ("D", "2026-01-02"), 5: ("e", "2026-01-04")
+        }
+    assert os.listdir(store.path + "/day=2026-01-03") == before
+    assert not os.path.exists(store.path + "/day=2026-01-01")
+    left = store.merge(table([], schema), drop=table([(3,), (5,)], "k int"))
+    assert sorted(r.k for r in left.collect()) == [1, 2, 4]
+    assert sorted(r.k for r in store.overwrite(store.read().where("k < 3")).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("small", [None, 0, 100])
+def test_skip_unchanged_ways_agree(table, small):
+    source = table([(1, "a", "x"), (2, "b", "x"), (None, "c", "x"), (3, "d", "x")], "k int, h string, wide string")
+    target = table([(1, "a"), (1, "a"), (2, "old")], "k int, h string")
+    got = state.skip_unchanged(source, target, ["k", "h"], small)
+    assert sorted((str(r.k), r.h) for r in got.collect()) == [("2", "b"), ("3", "d"), ("None", "c")]
