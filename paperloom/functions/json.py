@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import _col, let
@@ -69,3 +69,12 @@ def objects(text: Column | str, name: str, names: Sequence[str]) -> Column:
 
     parsed = F.from_json(text, f"struct<{name}: array<struct<{_strings(names)}>>>")
     return let(parsed[name], guard)
+
+
+def expand(df: DataFrame, fields: Column) -> DataFrame:
+    """Add the fields of a struct expression as columns.
+
+    Through a generator the expression is evaluated once per row; selected field by field,
+    the optimizer may repeat it for every field and every filter on one.
+    """
+    return df.select("*", F.inline(F.array(fields)))

@@ -12,7 +12,9 @@ from paperloom.operators.marts import event_items
 
 
 def _side(df: DataFrame, key: str, result: str, side: str, names: list[str]) -> DataFrame:
-    return df.select(key, json.scalars(result, names).alias(side))
+    """Key and the named result fields, prefixed with the side."""
+    rows = json.expand(df.select(F.col(key), F.col(result).alias("_result")), json.scalars("_result", names))
+    return rows.select(key, *[F.col(n).alias(f"{side}_{n}") for n in names])
 
 
 def compare_classification(a: DataFrame, b: DataFrame, sample: DataFrame | None = None, result: str = "llm_result") -> DataFrame:
@@ -26,10 +28,10 @@ def compare_classification(a: DataFrame, b: DataFrame, sample: DataFrame | None
         rows.select(
             "document_id",
             *extra,
-            F.col("a.document_type").alias("a_type"),
-            F.col("a.publish_date").alias("a_date"),
-            F.col("b.document_type").alias("b_type"),
-            F.col("b.publish_date").alias("b_date"),
+            F.col("a_document_type").alias("a_type"),
+            F.col("a_publish_date").alias("a_date"),
+            F.col("b_document_type").alias("b_type"),
+            F.col("b_publish_date").alias("b_date"),
         )
         .withColumn("type_match", F.col("a_type") == F.col("b_type"))
         .orderBy(F.col("type_match").asc_nulls_first(), "document_id")
@@ -60,7 +62,7 @@ def compare_text_length(
     left = _side(a.where(F.col(status) == ""), key, result, "a", names)
     right = _side(b.where(F.col(status) == ""), key, result, "b", names)
     texts = left.join(right, key).select(
-        key, F.col("a.extracted_markdown").alias("a_text"), F.col("b.extracted_markdown").alias("b_text")
+        key, F.col("a_extracted_markdown").alias("a_text"), F.col("b_extracted_markdown").alias("b_text")
     )
     ratio = F.abs(F.length("a_text") - F.length("b_text")) / F.nullif(F.length("a_text"), F.lit(0))
     return texts.select(
@@ -84,8 +86,9 @@ def event_counts(df: DataFrame, side: str, result: str = "llm_result") -> DataFr
         valid = F.filter(events, lambda e: dates.safe_date(e["event_date"]).isNotNull())
         return F.struct(F.size(events).alias("n"), F.size(valid).alias("v"))
 
-    counts = let(event_items(result), counted)
-    rows = df.select("document_id", F.col(result).alias(f"{side}_raw"), counts.alias("c")).select("*", "c.n", "c.v")
+    rows = json.expand(
+        df.select("document_id", F.col(result).alias(f"{side}_raw")), let(event_items(F.col(f"{side}_raw")), counted)
+    )
     return (
         rows.where("n > 0")
         .groupBy("document_id", f"{side}_raw")

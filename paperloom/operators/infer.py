@@ -179,11 +179,10 @@ def validate_result(df: DataFrame, spec: ResultSpec, result: str = "llm_result")
 
 def parse_classification(generated: DataFrame, result: str = "llm_result", status: str = "status") -> DataFrame:
     """Type and publish date of successful results; no or a bad date means the update date."""
+    fields = json.scalars(result, ["document_type", "publish_date"])
     return (
-        generated.where(F.col(status) == "")
-        .withColumn("_body", json.scalars(result, ["document_type", "publish_date"]))
-        .withColumn("document_type", F.col("_body.document_type"))
-        .withColumn("publish_date", F.coalesce(dates.safe_date("_body.publish_date"), F.to_date("updated_at")))
+        json.expand(generated.where(F.col(status) == ""), fields)
+        .withColumn("publish_date", F.coalesce(dates.safe_date("publish_date"), F.to_date("updated_at")))
         .select(
             "document_id",
             "uri",

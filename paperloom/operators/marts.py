@@ -27,14 +27,14 @@ from paperloom.operators.relational import top_per_group
 
 def stage_texts(generated: DataFrame, result: str = "llm_result", status: str = "status") -> DataFrame:
     """Typed projection of extraction results; failed and empty results are dropped."""
-    text = json.scalars(result, ["extracted_markdown"])["extracted_markdown"]
+    ok = json.expand(generated.where(F.col(status) == ""), json.scalars(result, ["extracted_markdown"]))
     return (
-        generated.where(F.col(status) == "")
+        ok.where("extracted_markdown is not null")
         .select(
             "uri",
             stored_document_id("metadata").alias("document_id"),
             percent_decode(meta_value("metadata", "original-filename")).alias("original_filename"),
-            text.alias("extracted_markdown"),
+            "extracted_markdown",
             F.col(result).alias("llm_result"),
             F.col(status).alias("status"),
             "content_type",
@@ -42,7 +42,6 @@ def stage_texts(generated: DataFrame, result: str = "llm_result", status: str =
             "md5_hash",
             modified_or("metadata", "updated").alias("updated_at"),
         )
-        .where("extracted_markdown is not null")
     )
 
 

@@ -285,7 +285,7 @@ def _agreement(spark, sf):
 def _text_results(spark, sf, text):
     body = F.to_json(F.struct(text.alias("extracted_markdown")))
     failed = F.when(F.col("source") == "src9", F.lit("RETRY")).otherwise(F.lit(""))
-    return table(spark, sf, "documents").select(
+    return base.spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("uri"), body.alias("llm_result"), failed.alias("status")
     )
 
