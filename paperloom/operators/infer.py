@@ -292,10 +292,13 @@ class HashingEmbedder:
         return [None if t is None or not t.strip() else self._one(t) for t in texts]
 
     def _one(self, text: str) -> np.ndarray:
-        vector = np.zeros(self.width, dtype=np.float64)
-        grams = text.lower().split()
-        grams += [text[i : i + 2] for i in range(len(text) - 1)]
-        codes = np.array([zlib.crc32(g.encode()) for g in grams] or [0], dtype=np.int64)
-        np.add.at(vector, codes % self.width, np.where((codes >> 20) & 1, 1.0, -1.0))
+        words = np.array([zlib.crc32(w.encode()) for w in text.lower().split()], dtype=np.uint64)
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        pairs = (points[:-1] * np.uint64(2654435761) + points[1:] * np.uint64(40503)) & np.uint64(0xFFFFFFFF)
+        codes = np.concatenate([words, pairs, np.zeros(1, dtype=np.uint64)])
+        signs = np.where((codes >> np.uint64(20)) & np.uint64(1), 1.0, -1.0)
+        vector = np.bincount((codes % np.uint64(self.width)).astype(np.int64), weights=signs, minlength=self.width)
         norm = np.linalg.norm(vector)
-        return (vector / norm if norm else vector).astype(np.float32)
+        if norm == 0:
+            vector[0], norm = 1.0, 1.0
+        return (vector / norm).astype(np.float32)

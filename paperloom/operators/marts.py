@@ -330,7 +330,8 @@ EVENT_EXPORT = (
 
 def export_documents(documents: DataFrame) -> DataFrame:
     text_date = documents.withColumn("publish_date", F.col("publish_date").cast("string"))
-    return text_date.select(*DOCUMENT_EXPORT).orderBy(F.col("updated_at").desc())
+    # The id spreads documents of one time over the sort's partitions.
+    return text_date.select(*DOCUMENT_EXPORT).orderBy(F.col("updated_at").desc(), "document_id")
 
 
 def export_chunks(chunks: DataFrame) -> DataFrame:

@@ -12,15 +12,15 @@ from paperloom.operators.infer import CLASSIFICATION, EVENT_ITEM, EVENTS, EXTRAC
 from paperloom.queries import base
 from paperloom.queries.base import STAMP, query, strip_sql, table, with_ctes
 from paperloom.queries.events import results as event_results
-from paperloom.queries.tables import nation_rules
+from paperloom.queries.tables import SOURCE_RULES, source_rules
 from paperloom.session import cut_lineage
 
 _WORDS = {"src1": "journal", "src2": "photo_album", "src3": "monthly_announcement", "src4": "monthly_lunch_info"}
 
-RULES = """
+RULES = f"""
+{SOURCE_RULES.strip()},
 rules AS (
-  SELECT string_agg('- ' || n_name || ': country of region ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS rules_text
-  FROM nation)"""
+  SELECT string_agg('- ' || document_type || ': ' || description, chr(10) ORDER BY sort_order) AS rules_text FROM source_rules)"""
 
 
 def _lit(text: str) -> str:
@@ -29,7 +29,7 @@ def _lit(text: str) -> str:
 
 @query("rules_text", with_ctes(RULES, select="SELECT rules_text FROM rules"))
 def _rules_text(spark, sf):
-    return infer.rules_text(nation_rules(spark, sf))
+    return infer.rules_text(source_rules(spark, sf))
 
 
 @query(
@@ -45,7 +45,7 @@ SELECT document_id, title, {_lit(fixed.CLASSIFICATION_PROMPT_HEAD)} || title ||
 )
 def _classify_prompt(spark, sf):
     dim = marts.document_dimension(base.chunks(spark, sf), base.staged(spark, sf))
-    return infer.with_classification_prompt(dim, nation_rules(spark, sf)).select("document_id", "title", "prompt")
+    return infer.with_classification_prompt(dim, source_rules(spark, sf)).select("document_id", "title", "prompt")
 
 
 @query(
@@ -91,7 +91,7 @@ def _stage(spark, sf):
 
 def _classified(spark, sf, words=_WORDS):
     dim = marts.document_dimension(base.chunks(spark, sf), base.staged(spark, sf))
-    asked = infer.with_classification_prompt(dim, nation_rules(spark, sf))
+    asked = infer.with_classification_prompt(dim, source_rules(spark, sf))
     return infer.infer_text(asked, "prompt", infer.KeywordClassifier(words), CLASSIFICATION)
 
 

@@ -48,23 +48,24 @@ def _title(spark, sf):
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation and region names as search messages: a fixed table of 25 queries."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    both = n.join(r, n.n_regionkey == r.r_regionkey)
-    return both.select(
-        F.col("n_nationkey").cast("long").alias("query_id"),
+    """A search message per source of texts, made of letters out of its texts and its name."""
+    by_source = table(spark, sf_dir, "documents").groupBy("source")
+    words = by_source.agg(F.max("text").alias("last"), F.min("text").alias("first"))
+    return words.select(
+        F.substring("source", 4, 10).cast("long").alias("query_id"),
         F.concat(
-            F.lower(F.substring("n_name", 1, 3)), F.lit("　 "), F.lower(F.substring("r_name", 1, 2)), F.lit("\t"),
-            F.lit("src"), F.col("n_nationkey").cast("string"),
+            F.regexp_extract("last", "([a-z]{3})", 1), F.lit("　 "), F.regexp_extract("first", "([a-z]{2})", 1),
+            F.lit("\t"), F.col("source"),
         ).alias("message"),
     )
 
 
 QUERY_WORDS = """
 queries AS (
-  SELECT CAST(n_nationkey AS BIGINT) AS query_id,
-         [lower(substr(n_name, 1, 3)), lower(substr(r_name, 1, 2)), 'src' || n_nationkey] AS keywords
-  FROM nation JOIN region ON n_regionkey = r_regionkey),
+  SELECT CAST(substr(source, 4) AS BIGINT) AS query_id,
+         list_filter([regexp_extract(max(text), '([a-z]{3})', 1), regexp_extract(min(text), '([a-z]{2})', 1), source],
+                     lambda w: w <> '') AS keywords
+  FROM documents GROUP BY source),
 words AS (SELECT DISTINCT query_id, unnest(keywords) AS word FROM queries)"""
 
 TEXT_HITS = """

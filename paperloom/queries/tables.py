@@ -293,29 +293,35 @@ def _ndjson(spark, sf):
     return tables.read_ndjson(spark, path, rows.schema)
 
 
+SOURCE_RULES = """
+source_rules AS (
+  SELECT source AS document_type, 'label ' || source AS label_ja, count(*) || ' texts, ' || sum(n_chars) || ' characters' AS description,
+         CAST(substr(source, 4) AS BIGINT) AS sort_order
+  FROM documents GROUP BY source)"""
+
+
+def source_rules(spark, sf):
+    """A rule per source of texts, describing how much it holds."""
+    counted = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
+    return counted.select(
+        F.col("source").alias("document_type"),
+        F.concat(F.lit("label "), "source").alias("label_ja"),
+        F.concat(F.col("n").cast("string"), F.lit(" texts, "), F.col("c").cast("string"), F.lit(" characters")).alias("description"),
+        F.substring("source", 4, 10).cast("long").alias("sort_order"),
+    )
+
+
 @query(
     "rules_csv",
-    """
-SELECT n_name AS document_type, 'label ' || n_name AS label_ja, 'country of region ' || n_regionkey AS description,
-       CAST(n_nationkey AS BIGINT) AS sort_order FROM nation""",
+    with_ctes(SOURCE_RULES, select="SELECT document_type, label_ja, description, sort_order FROM source_rules"),
 )
 def _rules_csv(spark, sf):
     """A rule table written as CSV with a header and read with its fixed schema."""
     path = scratch_path(spark, "rules")
-    nation_rules(spark, sf).write.option("header", True).csv(path)
+    source_rules(spark, sf).write.option("header", True).csv(path)
     return tables.read_rules(spark, path)
 
 
-def nation_rules(spark, sf):
-    n = table(spark, sf, "nation")
-    return n.select(
-        F.col("n_name").alias("document_type"),
-        F.concat(F.lit("label "), "n_name").alias("label_ja"),
-        F.concat(F.lit("country of region "), F.col("n_regionkey").cast("string")).alias("description"),
-        F.col("n_nationkey").cast("long").alias("sort_order"),
-    )
-
-
 @query(
     "write_partitioned",
     """
