@@ -132,3 +132,8 @@ def md5_id(*parts: Column | str, separator: str = "") -> Column:
     if separator:
         texts = [x for t in texts for x in (F.lit(separator), t)][1:]
     return F.md5(F.concat(*texts))
+
+
+def random_id() -> Column:
+    """A random UUID per row."""
+    return F.uuid()

@@ -90,11 +90,13 @@ def _blocks(paragraphs: Column, paragraph_mark: str) -> Column:
     def choose(ps: Column) -> Column:
         typed = F.transform(
             ps,
-            lambda p: F.struct(p["at"].alias("at"), is_table(p["text"]).alias("table"), p["text"].alias("text")),
+            lambda p: F.struct(
+                p["at"].alias("at"), p["text"].startswith(fixed.TABLE_MARK).alias("table"), p["text"].alias("text")
+            ),
         )
         return (
             F.when(F.size(ps) == 0, F.array().cast("array<struct<at:int,table:boolean,text:string>>"))
-            .when(F.exists(ps, lambda p: is_table(p["text"])), let(typed, merge))
+            .when(F.exists(ps, lambda p: p["text"].startswith(fixed.TABLE_MARK)), let(typed, merge))
             .otherwise(single(ps))
         )
 
@@ -117,12 +119,14 @@ def _sentence_groups(block: Column, limit: int, sentence_mark: str) -> Column:
     def cut(body: Column) -> Column:
         def window_end(g: Column) -> Column:
             start = F.greatest(g * limit, F.lit(1))
-            text = F.substring(body, start, (g + 1) * limit - start)
-            back = F.instr(F.reverse(text), mark)
-            return F.struct(
-                g.alias("group"),
-                F.when(back > 0, start + F.length(text) - back).otherwise(0).alias("end"),
-            )
+
+            def end(text: Column) -> Column:
+                back = F.instr(F.reverse(text), mark)
+                return F.struct(
+                    g.alias("group"), F.when(back > 0, start + F.length(text) - back).otherwise(0).alias("end")
+                )
+
+            return let(F.substring(body, start, (g + 1) * limit - start), end)
 
         ends = F.filter(
             F.transform(F.sequence(F.lit(0), F.floor(F.length(body) / limit).cast("int")), window_end),
@@ -184,7 +188,8 @@ def chunk_array(
             F.transform(_blocks(_paragraphs(s, paragraph_mark), paragraph_mark), lambda b: of_block(b, i))
         ),
     )
-    return F.filter(F.flatten(per_section), lambda c: F.length(ws_trim(c["text"])) >= min_chars)
+    # Blocks and sentence groups start and end in trimmed text: their length needs no trim.
+    return F.filter(F.flatten(per_section), lambda c: F.length(c["text"]) >= min_chars)
 
 
 def chunk_documents(

@@ -155,6 +155,13 @@ def facet(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull() & (F.col(column) != "")).select(column).distinct().orderBy(column)
 
 
+def with_type_label(documents: DataFrame, rules: DataFrame) -> DataFrame:
+    """Label of the document type from the rule table, the code itself when it has none."""
+    labels = rules.select(F.col("document_type").alias("_type"), "label_ja")
+    joined = documents.join(labels, F.col("document_type") == F.col("_type"), "left")
+    return joined.withColumn("type_label", F.coalesce("label_ja", "document_type")).drop("_type", "label_ja")
+
+
 def document_cards(documents: DataFrame) -> DataFrame:
     """Listing labels: type label, readable size, Japanese date (update time when undated)."""
     return documents.select(

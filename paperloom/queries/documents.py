@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates
+from paperloom.functions.metadata import meta_value, stored_document_id
+from paperloom.functions.sql import register
 from paperloom.functions.text import (
     byte_size_label,
     form_encode,
@@ -17,7 +19,8 @@ from paperloom.functions.text import (
 )
 from paperloom.operators import marts
 from paperloom.queries import base
-from paperloom.queries.base import STAMP, query, table, with_ctes
+from paperloom.queries.base import STAMP, query, strip_sql, table, with_ctes
+from paperloom.queries.tables import SOURCE_RULES, source_rules
 
 
 @query(
@@ -140,6 +143,23 @@ def _cards(spark, sf):
     return marts.document_cards(base.documents_dim(spark, sf))
 
 
+@query(
+    "type_labels",
+    with_ctes(
+        SOURCE_RULES,
+        select="""
+SELECT d.doc_id, coalesce(r.label_ja, d.code) AS type_label
+FROM (SELECT doc_id, CASE lang WHEN 'en' THEN source ELSE lang END AS code FROM documents) d
+LEFT JOIN source_rules r ON d.code = r.document_type""",
+    ),
+)
+def _type_labels(spark, sf):
+    """English texts are typed by source and find a label, others by language and do not."""
+    code = F.when(F.col("lang") == "en", F.col("source")).otherwise(F.col("lang"))
+    rows = table(spark, sf, "documents").select("doc_id", code.alias("document_type"))
+    return marts.with_type_label(rows, source_rules(spark, sf)).select("doc_id", "type_label")
+
+
 @query(
     "export_documents",
     with_ctes(
@@ -218,6 +238,31 @@ def _original(spark, sf):
     return rows.select("conv_id", "turn", original_filename(url).alias("original_filename"))
 
 
+@query(
+    "sql_functions",
+    with_ctes(
+        base.STAGED,
+        base.SECTIONS,
+        select=f"""
+SELECT p.document_id, len(p.parts) AS n_sections, length({strip_sql('s.extracted_markdown')}) AS n_trimmed,
+       md5(p.document_id || '7') AS eighth_chunk, coalesce(s.original_filename, '') AS file_name
+FROM section_parts p JOIN staged s ON p.uri = s.uri""",
+    ),
+)
+def _sql_functions(spark, sf):
+    """The named SQL functions over all texts."""
+    register(spark)
+    rows = base.raw_documents(spark, sf).withColumn("document_id", stored_document_id("metadata"))
+    rows = rows.withColumn("coded", meta_value("metadata", "original-filename"))
+    return rows.selectExpr(
+        "document_id",
+        "CAST(size(split_by_headings(markdown)) AS BIGINT) AS n_sections",
+        "CAST(length(trim_unicode(markdown)) AS BIGINT) AS n_trimmed",
+        "chunk_id(document_id, 7) AS eighth_chunk",
+        "coalesce(percent_decode(coded), '') AS file_name",
+    )
+
+
 @query(
     "uri_parts",
     with_ctes(

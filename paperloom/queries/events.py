@@ -9,6 +9,7 @@ from paperloom.functions import dates
 from paperloom.operators import marts
 from paperloom.queries import base
 from paperloom.queries.base import STAMP, query, table, with_ctes
+from paperloom.sources import tables
 
 AS_OF = "2024-01-15"
 
@@ -154,6 +155,23 @@ def _with_sync(spark, sf):
     )
 
 
+@query(
+    "events_never_synced",
+    with_ctes(
+        RESULTS,
+        EVENTS,
+        select="""
+SELECT event_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_title, CAST(NULL AS VARCHAR) AS calendar_event_id
+FROM fct_events WHERE event_date >= DATE '2024-01-01'""",
+    ),
+)
+def _never_synced(spark, sf):
+    """With an empty sync history every event of the month is open."""
+    nothing = tables.empty_table(spark, tables.SYNC_HISTORY_SCHEMA)
+    rows = marts.events_with_sync(extracted(spark, sf), _documents(spark, sf), nothing, AS_OF)
+    return rows.select("event_id", F.col("event_date").cast("string").alias("event_date"), "event_title", "calendar_event_id")
+
+
 @query(
     "upcoming_events",
     with_ctes(

@@ -268,6 +268,16 @@ def _compare_classification(spark, sf):
     return _compared(spark, sf).select("document_id", "source", "a_type", "b_type", "type_match")
 
 
+@query(
+    "sample_rows",
+    "SELECT doc_id, lang, source FROM documents ORDER BY md5(text), doc_id LIMIT 10",
+)
+def _sample(spark, sf):
+    """The ten-document sample of a comparison, repeatable by its order."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source", F.md5("text").alias("order_key"))
+    return compare.sample_rows(rows, 10, "order_key", "doc_id").drop("order_key")
+
+
 @query(
     "classification_agreement",
     with_ctes(

@@ -123,3 +123,18 @@ def test_metadata(spark):
 def test_md5_id_is_null_with_a_null_part(spark):
     assert one(spark, None, lambda c: X.md5_id(c, F.lit("x"))) is None
     assert one(spark, "1", lambda c: X.md5_id(c, F.lit("11"))) == one(spark, "11", lambda c: X.md5_id(c, F.lit("1")))
+
+
+def test_registered_functions(spark):
+    from paperloom.functions.sql import register
+
+    register(spark)
+    row = spark.sql(
+        "SELECT size(split_by_headings('イントロ\\n*見出し*\\nコンテンツ')) AS n, percent_decode('a+b%20c') AS d, "
+        "trim_unicode('\u3000x ') AS t, chunk_id('1', 11) = chunk_id('11', 1) AS same"
+    ).first()
+    assert tuple(row) == (2, "a+b c", "x", True)
+
+
+def test_random_id(spark):
+    assert spark.range(50).select(X.random_id().alias("u")).distinct().count() == 50
