@@ -116,6 +116,11 @@ def infer_embedding(
 # --- prompts ---------------------------------------------------------------------------
 
 
+def extraction_prompt(source: Column | str = "uri") -> Column:
+    """Extraction instructions followed by what to read: a file's uri, or text itself."""
+    return F.concat(F.lit(fixed.EXTRACTION_PROMPT + "\n\n"), _col(source))
+
+
 def rules_text(rules: DataFrame) -> DataFrame:
     """One row: the ordered list of document types and what they mean."""
     line = F.concat(F.lit("- "), F.col("document_type"), F.lit(": "), F.col("description"))
@@ -222,12 +227,13 @@ def incremental_embed(
 
 
 class EchoExtractor:
-    """Returns the prompt as the extracted text; blank prompts fail."""
+    """Returns what it was asked to read as the extracted text; blank sources fail."""
 
     def generate(self, prompts, spec):
+        sources = [(p or "").removeprefix(fixed.EXTRACTION_PROMPT + "\n\n") for p in prompts]
         return [
-            (pyjson.dumps({"extracted_markdown": p}, ensure_ascii=False), "") if p and p.strip() else (None, "EMPTY")
-            for p in prompts
+            (pyjson.dumps({"extracted_markdown": s}, ensure_ascii=False), "") if s.strip() else (None, "EMPTY")
+            for s in sources
         ]
 
 

@@ -30,7 +30,7 @@ def new_staged(
     target: DataFrame | None,
     raw: DataFrame,
     model: TextModel,
-    prompt: Column | str,
+    source: Column | str = "uri",
     start: dt.datetime | str | None = None,
     end: dt.datetime | str | None = None,
     refresh_changed: bool = False,
@@ -42,7 +42,7 @@ def new_staged(
         rows = state.skip_unchanged(rows, target, ["uri", "md5_hash"])
     else:
         rows = state.skip_known(rows, target, "uri")
-    return marts.stage_texts(infer.infer_text(rows, prompt, model, EXTRACTION, workers=workers))
+    return marts.stage_texts(infer.infer_text(rows, infer.extraction_prompt(source), model, EXTRACTION, workers=workers))
 
 
 def new_chunks(target: DataFrame | None, staged: DataFrame, small: int | None = None, **chunking) -> DataFrame:
@@ -138,8 +138,8 @@ class Build:
     def run(
         self,
         raw: DataFrame,
-        prompt: Column | str,
         as_of: dt.date | str,
+        source: Column | str = "uri",
         start: dt.datetime | str | None = None,
         end: dt.datetime | str | None = None,
         full_refresh: bool = False,
@@ -147,6 +147,8 @@ class Build:
         extracted_at: Column | None = None,
         **chunking,
     ) -> None:
+        """One run: ``source`` is what the extraction model is to read of a raw row."""
+
         def stored(table) -> DataFrame | None:
             return None if full_refresh else table.read()
 
@@ -158,7 +160,7 @@ class Build:
         m, n = self.models, self.workers
         staged = save(
             self.staged,
-            self._dated(new_staged(stored(self.staged), raw, m.extraction, prompt, start, end, refresh_changed, n)),
+            self._dated(new_staged(stored(self.staged), raw, m.extraction, source, start, end, refresh_changed, n)),
         )
         old = stored(self.chunks)
         stale = None if old is None else state.stale_documents(old, staged)

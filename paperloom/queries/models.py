@@ -77,7 +77,8 @@ SELECT uri, document_id, original_filename, md5(extracted_markdown) AS text_md5,
 )
 def _stage(spark, sf):
     """Text extraction with a model that returns what it is given."""
-    generated = infer.infer_text(base.raw_documents(spark, sf), "markdown", infer.EchoExtractor(), EXTRACTION)
+    prompt = infer.extraction_prompt("markdown")
+    generated = infer.infer_text(base.raw_documents(spark, sf), prompt, infer.EchoExtractor(), EXTRACTION)
     return marts.stage_texts(generated).select(
         "uri",
         "document_id",
