@@ -273,13 +273,11 @@ def chunk_fixed(
     windows = F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0)))
 
     def end_of(i: Column) -> Column:
-        body = F.substring(F.col(text), i * size + 1, F.lit(size))
-        back = F.instr(F.reverse(body), mark)
-        return (
-            F.when((i + 1) * size >= n, n)
-            .when(back > 0, i * size + F.length(body) - back + 1)
-            .otherwise((i + 1) * size)
-        )
+        def cut(body: Column) -> Column:
+            back = F.instr(F.reverse(body), mark)
+            return F.when(back > 0, i * size + F.length(body) - back + 1).otherwise((i + 1) * size)
+
+        return F.when((i + 1) * size >= n, n).otherwise(let(F.substring(F.col(text), i * size + 1, F.lit(size)), cut))
 
     def pieces(ends: Column) -> Column:
         def piece(end: Column, i: Column) -> Column:

@@ -1,4 +1,4 @@
-"""The incremental build: each step takes what is stored and returns the new table.
+"""The incremental build: each step takes what is stored and returns the rows to merge.
 
 ``target=None`` is a first or full-refresh run. By default known documents are skipped by
 key; ``refresh_changed`` goes by content hash instead, so edited files flow through.
@@ -7,6 +7,7 @@ key; ``refresh_changed`` goes by content hash instead, so edited files flow thro
 from __future__ import annotations
 
 import datetime as dt
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,12 @@ from paperloom.operators import infer, marts
 from paperloom.operators.chunking import chunk_documents
 from paperloom.operators.infer import CLASSIFICATION, EVENTS, EXTRACTION, EmbeddingModel, TextModel
 from paperloom.operators.quality import Check, table_checks
+from paperloom.operators.relational import in_both
 from paperloom.operators.vectors import ListIndex, build_ivf
 from paperloom.session import stored_copy
 from paperloom.sources import state, tables
 from paperloom.sources.state import DatedTable, KeyedTable
 
-
 # New pairs up to this many are looked up by broadcast instead of shuffling all texts.
 SMALL_DELTA = 200_000
 
@@ -91,6 +92,20 @@ def new_events(
     return marts.extract_events(generated, extracted_at)
 
 
+def changed_search_chunks(
+    embedded: DataFrame, documents: DataFrame, fresh_vectors: DataFrame, fresh_documents: DataFrame
+) -> DataFrame:
+    """Rows of the search table that differ from the last run.
+
+    A row depends on its chunk and its document only, so these are the rows of new vectors
+    and of new documents; all others would be rebuilt as they are.
+    """
+    by_chunk = fresh_vectors.select("chunk_id")
+    by_document = in_both(embedded, fresh_documents, ["document_id"]).select("chunk_id")
+    changed = by_chunk.unionByName(by_document).distinct()
+    return marts.denormalise_chunks(in_both(embedded, changed, ["chunk_id"]), documents)
+
+
 @dataclass
 class Models:
     extraction: TextModel
@@ -125,7 +140,7 @@ class Build:
         self.documents = self._table("documents", ["document_id"], "publish_date", ["document_type"])
         self.events = self._table("events", ["event_id"], "event_date", ["document_id"])
         self.history = KeyedTable(spark, f"{self.root}/sync_history", ["event_id"])
-        self.search_chunks = KeyedTable(spark, f"{self.root}/search_chunks", ["chunk_id"])
+        self.search_chunks = self._table("search_chunks", ["chunk_id"], "publish_date", ["document_id", "document_type"])
         self.synced_events = KeyedTable(spark, f"{self.root}/events_with_sync", ["event_id"])
 
     def _table(self, name: str, keys: list[str], day: str, cluster: list[str]) -> KeyedTable | DatedTable:
@@ -152,31 +167,41 @@ class Build:
         def stored(table) -> DataFrame | None:
             return None if full_refresh else table.read()
 
-        def save(table, fresh: DataFrame, drop: DataFrame | None = None) -> DataFrame:
-            # Results of model calls are stored before the merge looks at them twice.
-            with stored_copy(fresh, "fresh") as rows:
-                return table.overwrite(rows) if full_refresh else table.merge(rows, drop=drop)
+        with ExitStack() as copies:
 
-        m, n = self.models, self.workers
-        staged = save(
-            self.staged,
-            self._dated(new_staged(stored(self.staged), raw, m.extraction, source, start, end, refresh_changed, n)),
-        )
-        old = stored(self.chunks)
-        stale = None if old is None else state.stale_documents(old, staged)
-        kept = None if old is None else state.delete_stale_chunks(old, staged)
-        chunks = save(self.chunks, self._dated(new_chunks(kept, staged, SMALL_DELTA, **chunking)), stale)
-        old = stored(self.embedded)
-        gone = None if old is None else state.orphans(old, chunks)
-        embedded = save(self.embedded, infer.new_embeddings(chunks, old, m.embedding, n, SMALL_DELTA), gone)
-        documents = save(
-            self.documents,
-            new_documents(stored(self.documents), chunks, staged, self.rules, m.classification, refresh_changed, n),
-        )
-        at = F.current_timestamp() if extracted_at is None else extracted_at
-        events = save(self.events, new_events(stored(self.events), staged, documents, m.events, at, n))
-        self.search_chunks.overwrite(marts.denormalise_chunks(embedded, documents))
-        self.synced_events.overwrite(marts.events_with_sync(events, documents, self.sync_history(), as_of))
+            def keep(df: DataFrame, label: str) -> DataFrame:
+                """What is read again after its table changed is written aside for the run."""
+                return copies.enter_context(stored_copy(df, label))
+
+            def save(table, fresh: DataFrame, drop: DataFrame | None = None) -> DataFrame:
+                return table.overwrite(fresh) if full_refresh else table.merge(fresh, drop=drop)
+
+            m, n = self.models, self.workers
+            texts = new_staged(stored(self.staged), raw, m.extraction, source, start, end, refresh_changed, n)
+            staged = save(self.staged, keep(self._dated(texts), "texts"))
+
+            old = stored(self.chunks)
+            stale = None if old is None else keep(state.stale_documents(old, staged), "stale")
+            kept = None if old is None else old.join(stale, "document_id", "left_anti")
+            fresh_chunks = keep(self._dated(new_chunks(kept, staged, SMALL_DELTA, **chunking)), "chunks")
+            chunks = save(self.chunks, fresh_chunks, stale)
+
+            old = stored(self.embedded)
+            gone = None if old is None else keep(state.orphans(old, chunks), "orphans")
+            fresh_vectors = keep(infer.new_embeddings(chunks, old, m.embedding, n, SMALL_DELTA), "vectors")
+            embedded = save(self.embedded, fresh_vectors, gone)
+
+            old = stored(self.documents)
+            typed = new_documents(old, chunks, staged, self.rules, m.classification, refresh_changed, n)
+            fresh_documents = keep(typed, "documents")
+            documents = save(self.documents, fresh_documents)
+
+            at = F.current_timestamp() if extracted_at is None else extracted_at
+            found = new_events(stored(self.events), staged, documents, m.events, at, n)
+            events = save(self.events, keep(found, "events"))
+
+            save(self.search_chunks, changed_search_chunks(embedded, documents, fresh_vectors, fresh_documents), gone)
+            self.synced_events.overwrite(marts.events_with_sync(events, documents, self.sync_history(), as_of))
 
     def sync_history(self) -> DataFrame:
         found = self.history.read()

@@ -240,7 +240,12 @@ class DatedTable:
 
     def read(self) -> DataFrame | None:
         fs, make = self._fs()
-        return self.spark.read.parquet(self.path) if fs.exists(make(f"{self.path}/_SUCCESS")) else None
+        if not fs.exists(make(f"{self.path}/_SUCCESS")):
+            return None
+        rows = self.spark.read.parquet(self.path)
+        # A table of undated rows only has no folder name to infer the type from.
+        typed = rows.schema[self.day].dataType.typeName() == "date"
+        return rows if typed else rows.withColumn(self.day, F.col(self.day).cast("date"))
 
     def overwrite(self, df: DataFrame) -> DataFrame:
         """Replace the whole table. ``df`` may read it: its rows are written aside first."""
