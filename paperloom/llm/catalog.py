@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.llm import quality
+from paperloom.llm import quality, simhash
 from paperloom.llm.store import ORACLE, QUERIES, Query
 
-__all__ = ["quality", "queries", "oracle_sql"]
+__all__ = ["quality", "simhash", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:
