@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.llm import decontaminate, quality, simhash
+from paperloom.llm import decontaminate, mix, quality, simhash
 from paperloom.llm.store import ORACLE, QUERIES, Query
 
-__all__ = ["decontaminate", "quality", "simhash", "queries", "oracle_sql"]
+__all__ = ["decontaminate", "mix", "quality", "simhash", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:
