@@ -24,10 +24,13 @@ LANES = 1024
 LEAST_BLOCK = 512
 _TABLE_BITS = 11
 _SCALE = 28  # of the mixture: 12 bits for the weights, 16 for the order-0 table
+_MASK = (1 << _TABLE_BITS) - 1
+_NONE = 4 << 16
+_LEAST = 40  # of a weight, so that every guess has a share
 _U = np.uint64
 _WORD = _U(32)
 _LOW = _U(0xFFFFFFFF)
-_HEADER = struct.Struct("<II")
+_HEADER = "<II"
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,47 +48,66 @@ def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
-    """The state of all lanes, shared in form by both directions."""
+    """The state of all lanes, the same in both directions.
+
+    An entry of a table is an id with its confidence, 0 to 3, above bit 16; ``_NONE`` has
+    confidence 4. A lane has eight weights for each order, by confidence, and those from 4 stay 0.
+    """
 
     def __init__(self, lanes: int):
-        cells = 1 << _TABLE_BITS
         self.base = np.arange(lanes, dtype=np.int64) << _TABLE_BITS
-        self.weights_at = np.arange(lanes, dtype=np.int64) << 2
-        # An entry: the id, and its confidence above bit 16; 0xFFFFFF is none.
-        self.tables = [np.full(lanes * cells, 0xFFFFFF, np.int64) for _ in range(2)]
+        self.row = np.arange(lanes, dtype=np.int64) << 3
+        self.tables = [np.full(lanes << _TABLE_BITS, _NONE, np.int32) for _ in range(2)]
         # By confidence: order 2's share of 4096, and order 1's of what order 2 leaves.
-        self.weights = [np.tile(np.array(w, np.int64), lanes) for w in ((300, 1500, 2500, 3000), (150, 800, 1500, 2500))]
+        self.weights = [np.tile(np.array([*w, 0, 0, 0, 0], np.int64), lanes) for w in ((300, 1500, 2500, 3000), (150, 800, 1500, 2500))]
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
 
-    def predict(self):
-        """Guesses of order 2 and 1 and their shares of 4096."""
-        mask = (1 << _TABLE_BITS) - 1
-        a = ((self.last * 0x9E3779B1) >> 15) & mask
-        b = (((self.before * 0x85EBCA6B) ^ (self.last * 0x9E3779B1)) >> 13) & mask
-        self.at = [self.base + b, self.base + a]
-        self.entries = [t[i] for t, i in zip(self.tables, self.at, strict=True)]
-        ids = [e & 0xFFFF for e in self.entries]
-        self.levels = [e >> 16 for e in self.entries]
-        self.weight_at = [self.weights_at + (v & 3) for v in self.levels]
-        own = [w[i] for w, i in zip(self.weights, self.weight_at, strict=True)]
-        known2, known1 = self.levels[0] < 4, self.levels[1] < 4
-        self.live = [known2, known1 & ~(known2 & (ids[0] == ids[1]))]
-        self.guess, self.own = ids, own
-        share = np.where(known2, own[0], 0)
-        return share, np.where(self.live[1], np.maximum((4096 - share) * own[1] >> 12, 1), 0)
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The shares of order 2 and order 1 of 4096; 0 where there is no guess."""
+        one = self.last * 0x9E3779B1
+        two = (self.before * 0x85EBCA6B ^ one) >> 13
+        self.at = [(two & _MASK) + self.base, (one >> 15 & _MASK) + self.base]
+        self.entries = [t.take(i, mode="clip") for t, i in zip(self.tables, self.at, strict=True)]
+        self.guess = [e & 0xFFFF for e in self.entries]
+        self.slot = [self.row + (e >> 16) for e in self.entries]
+        self.own = [w.take(i, mode="clip") for w, i in zip(self.weights, self.slot, strict=True)]
+        share = (4096 - self.own[0]) * self.own[1] >> 12
+        return self.own[0], share * (self.guess[0] != self.guess[1])
 
     def learn(self, ids: np.ndarray, hits: list[np.ndarray]) -> None:
+        """``hits``: the lanes coded by order 2 and by order 1."""
         for k in range(2):
-            right = ids == self.guess[k]
-            level = np.where(right, np.minimum(self.levels[k] + 1, 3), 0)
-            level[self.levels[k] > 3] = 0
-            self.tables[k][self.at[k]] = ids | level << 16
-            moved = self.own[k] + ((np.where(hits[k], 3968, 8) - self.own[k]) >> 5)
-            self.weights[k][self.weight_at[k]] = np.where(self.live[k], moved, self.own[k])
+            e = self.entries[k]
+            right = np.flatnonzero((ids == self.guess[k]) & (e < _NONE))
+            new = ids.astype(np.int32)
+            new[right] = np.minimum(e[right] + 65536, new[right] | 3 << 16)
+            self.tables[k][self.at[k]] = new
+            own = self.own[k]
+            moved = own - ((own - _LEAST) >> 5) * (own > 0)
+            moved[hits[k]] += 122
+            self.weights[k][self.slot[k]] = moved
         self.before, self.last = self.last, ids
 
 
+class _Layout:
+    """Where each id lies in the mixture's interval."""
+
+    def __init__(self, seen: np.ndarray, freq: np.ndarray):
+        self.sizes, self.starts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.sizes[seen], self.starts[seen] = freq, np.cumsum(freq) - freq
+
+    def place(self, ids, w2, w1, hits):
+        taken = w2 + w1
+        rest = 4096 - taken
+        start = self.starts.take(ids, mode="clip") * rest + (taken << 16)
+        size = self.sizes.take(ids, mode="clip") * rest
+        two, one = hits
+        start[two], size[two] = 0, w2[two] << 16
+        start[one], size[one] = w2[one] << 16, w1[one] << 16
+        return start.view(_U), size.view(_U)
+
+
 def encode(ids: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], list[bytes]]:
     """A segment's order-0 table and its blocks."""
     ids = ids.astype(np.int64)
@@ -98,23 +120,17 @@ def encode(ids: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], list[bytes]]
     padded = np.full(lanes * steps, seen[0], np.int64)
     padded[: len(ids)] = ids
     rows = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    size_of, start_of = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-    size_of[seen], start_of[seen] = freq, np.cumsum(freq) - freq
-    model = _Model(lanes)
+    layout, model = _Layout(seen, freq), _Model(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
     words = np.zeros((steps // 2 + 64, lanes), np.uint32)
     used = np.zeros(lanes, np.int64)
     for x in rows:
         w2, w1 = model.predict()
-        hit2 = (x == model.guess[0]) & model.live[0]
-        hit1 = (x == model.guess[1]) & model.live[1]
-        taken = w2 + w1
-        rest = 4096 - taken
-        start = np.where(hit2, 0, np.where(hit1, w2 << 16, (taken << 16) + start_of[x] * rest))
-        size = np.where(hit2, w2 << 16, np.where(hit1, w1 << 16, size_of[x] * rest))
+        hits = [np.flatnonzero((x == g) & (w > 0)) for g, w in zip(model.guess, (w2, w1), strict=True)]
+        start, size = layout.place(x, w2, w1, hits)
         unit = span >> _U(_SCALE)
-        low += unit * start.view(_U)
-        span = unit * size.view(_U)
+        low += unit * start
+        span = unit * size
         at = np.flatnonzero(span <= _LOW)
         if len(at):
             l, s = low[at], span[at]
@@ -124,14 +140,14 @@ def encode(ids: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], list[bytes]]
             words[used[at], at] = l >> _WORD
             used[at] += 1
             low[at], span[at] = l << _WORD, s << _WORD
-        model.learn(x, [hit2, hit1])
+        model.learn(x, hits)
     lane = np.arange(lanes)
     words[used, lane], words[used + 1, lane] = low >> _WORD, low & _LOW
     used += 2
     blocks = []
     for k in range(lanes):
         own = ids[k * steps : (k + 1) * steps]
-        blocks.append(_HEADER.pack(len(own), zlib.crc32(own.astype("<u4").tobytes())) + words[: used[k], k].astype("<u4").tobytes())
+        blocks.append(struct.pack(_HEADER, len(own), zlib.crc32(own.astype("<u4").tobytes())) + words[: used[k], k].astype("<u4").tobytes())
     return (seen, freq), blocks
 
 
@@ -141,14 +157,12 @@ def decode(table: tuple[np.ndarray, np.ndarray], blocks: list[bytes]) -> np.ndar
         return np.zeros(0, np.int64)
     seen, freq = table
     id_at = np.repeat(seen, freq)
-    size_of, start_of = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-    size_of[seen], start_of[seen] = freq, np.cumsum(freq) - freq
-    heads = [_HEADER.unpack_from(b) for b in blocks]
+    heads = [struct.unpack_from(_HEADER, b) for b in blocks]
     lanes, steps = len(blocks), max(n for n, _ in heads)
     counts = np.array([len(b) // 4 - 2 for b in blocks])
     words = np.frombuffer(b"".join(b[8:] for b in blocks) + b"\0" * 16, "<u4").astype(_U)
     next_at = np.cumsum(counts) - counts
-    model = _Model(lanes)
+    layout, model = _Layout(seen, freq), _Model(lanes)
     code = words[next_at] << _WORD | words[next_at + 1]
     next_at += 2
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
@@ -156,18 +170,16 @@ def decode(table: tuple[np.ndarray, np.ndarray], blocks: list[bytes]) -> np.ndar
     for t in range(steps):
         w2, w1 = model.predict()
         taken = w2 + w1
-        rest = 4096 - taken
         unit = span >> _U(_SCALE)
         value = np.minimum((code - low) // unit, _U((1 << _SCALE) - 1)).view(np.int64)
         part = value >> 16
-        hit2 = part < w2
-        hit1 = (part < taken) & ~hit2
-        guess = id_at[np.clip((value - (taken << 16)) // rest, 0, 65535)]
-        x = np.where(hit2, model.guess[0], np.where(hit1, model.guess[1], guess))
-        start = np.where(hit2, 0, np.where(hit1, w2 << 16, (taken << 16) + start_of[x] * rest))
-        size = np.where(hit2, w2 << 16, np.where(hit1, w1 << 16, size_of[x] * rest))
-        low += unit * start.view(_U)
-        span = unit * size.view(_U)
+        x = id_at.take((value - (taken << 16)) // (4096 - taken), mode="clip")
+        hits = [np.flatnonzero(part < w2), np.flatnonzero((part < taken) & (part >= w2))]
+        for k, at in enumerate(hits):
+            x[at] = model.guess[k][at]
+        start, size = layout.place(x, w2, w1, hits)
+        low += unit * start
+        span = unit * size
         at = np.flatnonzero(span <= _LOW)
         if len(at):
             l, s = low[at], span[at]
@@ -176,7 +188,7 @@ def decode(table: tuple[np.ndarray, np.ndarray], blocks: list[bytes]) -> np.ndar
             next_at[at] += 1
             low[at], span[at] = l << _WORD, s << _WORD
         out[t] = x
-        model.learn(x, [hit2, hit1])
+        model.learn(x, hits)
     parts = [np.ascontiguousarray(out[:n, k]) for k, (n, _) in enumerate(heads)]
     for k, (part, (_, crc)) in enumerate(zip(parts, heads, strict=True)):
         if zlib.crc32(part.astype("<u4").tobytes()) != crc:
