@@ -250,6 +250,12 @@ def with_matches(docs: DataFrame, items: DataFrame, column: str = "matches", thr
     return out.select("*", F.concat(*names).alias(column)).drop(*names)
 
 
+def without_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no copy of an item, with all their columns."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return with_matches(rows, items, keep_text=False).where(F.size("matches") == 0).select("row.*")
+
+
 @query("op6_rare_seeds")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a copy of a test item: the pair, the alignment's score and place."""

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.store import query, table, written
+from paperloom.llm.store import few, query, table, written
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -78,6 +78,26 @@ def budgets(docs: DataFrame, id_column: str = "doc_id", weights: tuple[int, ...]
     return dealt.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, in whole rows: a row whose share of
+    the last round is half or more is taken whole. Rows alike in id, source and size go together
+    in the last round."""
+    rows = budgets(docs)
+    place = F.struct("key", "doc_id", "size")
+    rounds = F.floor(F.floor("target") / F.greatest(F.col("source_size"), F.lit(1)))
+    last = F.col("taken") - rounds * F.col("size")
+    cuts = rows.groupBy("source").agg(
+        F.max(rounds).alias("rounds"), F.max(F.when((F.col("size") > 0) & (2 * last >= F.col("size")), place)).alias("cut")
+    )
+    cuts = few(cuts, "mix-cuts").select(F.struct("source", "rounds", "cut").alias("mix"))
+    own = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), "doc_id", n_words().alias("size"))
+    own = own.withColumn("key", _key(SEED)).select("row", "source", place.alias("place"))
+    found = own.join(cuts, F.col("source").eqNullSafe(F.col("mix.source")))
+    extra = F.when(F.col("place") <= F.col("mix.cut"), 1).otherwise(0)
+    times = F.col("mix.rounds") + extra
+    return found.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("again")).select("row.*")
+
+
 _ORACLE = f"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,

@@ -26,11 +26,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paperloom.llm import texts as T
-from paperloom.llm.store import query, table, written
+from paperloom.llm.store import few, query, table, written
 
 ORDER = 4
 SLOT_BITS = 22
@@ -165,7 +166,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 # --- the model ---------------------------------------------------------------------------
 
 
-def _discounts(grams: DataFrame, order: int) -> DataFrame:
+def _discounts(grams: DataFrame) -> DataFrame:
     """Three discounts for each language, from how many sequences occur one to four times."""
     times = grams.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"t{k}") for k in (1, 2, 3, 4)])
     y = F.col("t1") / F.greatest(F.col("t1") + 2 * F.col("t2"), F.lit(1.0))
@@ -188,7 +189,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     for k in range(1, ORDER + 1):
         context = F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long")
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        joined = levels[k].join(F.broadcast(_discounts(levels[k], k)), F.col("lang").eqNullSafe(F.col("d_lang")))
+        joined = levels[k].join(few(_discounts(levels[k]), f"kn-discounts-{k}"), F.col("lang").eqNullSafe(F.col("d_lang")))
         own = joined.select("lang", "gram", "n", context.alias("context"), cut.alias("cut"))
         own = written(own, f"kn-counts-{k}")
         totals = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"))
@@ -286,36 +287,42 @@ def _measured(model):
     return run
 
 
-def judge(docs: DataFrame, id_column: str = "doc_id", bands: tuple[float, float] = BANDS) -> DataFrame:
-    """One row per row of ``docs``: the id, the language, the counts, the perplexity (nats per
-    character), the language's band, ``base_failed`` and ``kept``."""
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    arrays = hash_arrays(kneser_ney(written(gram_counts(docs), "kn-grams")))
+_VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nats_per_char", "lower", "upper", "base_failed", "kept"]
+
+
+def judge(docs: DataFrame, carried: Column, bands: tuple[float, float] = BANDS) -> DataFrame:
+    """One row per row of ``docs``: the carried column, the counts, the perplexity (nats per
+    character), its language's band, ``base_failed`` and ``kept``."""
+    texts = docs.select(carried.alias("carried"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    arrays = hash_arrays(kneser_ney(written(gram_counts(texts.select("lang", "text")), "kn-grams")))
     model = docs.sparkSession.sparkContext.broadcast(arrays)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    measured = docs.mapInArrow(_measured(model), f"doc_id {id_type}, lang string, {_MEASURES}")
+    schema = StructType([texts.schema["carried"], texts.schema["lang"], *StructType.fromDDL(_MEASURES).fields])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     mean = F.col("nats") / F.greatest(F.col("n_scored"), F.lit(1))
-    measured = written(measured.withColumn("base_failed", failed).withColumn("mean", mean), "quality")
-    good = measured.where("NOT base_failed")
+    measured = texts.mapInArrow(_measured(model), schema).withColumn("base_failed", failed).withColumn("mean", mean)
+    measured = written(measured, "quality")
+    good = measured.where("NOT base_failed").select("lang", "mean")
     middle = good.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10000).alias("median"))
-    middle = middle.select(F.col("lang").alias("m_lang"), "median")
+    middle = few(middle.select(F.col("lang").alias("m_lang"), "median"), "quality-medians")
     spread = (
-        good.join(F.broadcast(middle), F.col("lang").eqNullSafe(F.col("m_lang")))
+        good.join(middle, F.col("lang").eqNullSafe(F.col("m_lang")))
         .groupBy("lang", "median")
         .agg(F.percentile_approx(F.abs(F.col("mean") - F.col("median")), 0.5, 10000).alias("mad"))
     )
     low, high = (F.greatest(F.lit(b) * F.col("mad"), F.lit(LEAST)) for b in bands)
     edges = spread.select(F.col("lang").alias("b_lang"), "median", (F.col("median") - low).alias("lower"), (F.col("median") + high).alias("upper"))
     drawn = (F.col("nats") + PRIOR * F.col("median")) / (F.col("n_scored") + PRIOR)
-    out = measured.join(edges, F.col("lang").eqNullSafe(F.col("b_lang")), "left").withColumn("nats_per_char", drawn)
+    out = measured.join(few(edges, "quality-bands"), F.col("lang").eqNullSafe(F.col("b_lang")), "left").withColumn("nats_per_char", drawn)
     inside = F.coalesce((F.col("nats_per_char") >= F.col("lower")) & (F.col("nats_per_char") <= F.col("upper")), F.lit(True))
-    return out.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nats_per_char", "lower", "upper", "base_failed", (~F.col("base_failed") & inside).alias("kept")
-    )
+    return out.withColumn("kept", ~F.col("base_failed") & inside).select("carried", *_VERDICT)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return judge(docs, F.struct("*")).where("kept").select("carried.*")
 
 
 @query("op8_kneser_ney")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by the base rules and its language's perplexity band."""
-    return judge(table(spark, sf_dir, "documents")).drop("lang")
+    return judge(table(spark, sf_dir, "documents"), F.col("doc_id")).withColumnRenamed("carried", "doc_id")

@@ -205,6 +205,16 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHING
     return prints.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest id (nulls last)."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "simhash-rows")
+    groups = near_groups(rows.select("place", "text"), "place").select(F.col("doc_id").alias("place"), F.col("component_id").alias("group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
+    kept = rows.select("place", "doc_id").join(groups, "place").groupBy("group").agg(first.alias("first"))
+    return rows.join(kept.select(F.col("first.place").alias("place")), "place", "left_semi").select("row.*")
+
+
 @query("op3_simhash")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest id of its near-duplicate component."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.session import cut_lineage
 
@@ -34,3 +35,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)
 
 
+
+
+def few(df: DataFrame, label: str, limit: int = 100_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has ``limit`` rows at most."""
+    rows = written(df, label)
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
