@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.llm import decontaminate, mix, quality, simhash, tokens
+from paperloom.llm import classifier, decontaminate, mix, quality, simhash, tokens
 from paperloom.llm.store import ORACLE, QUERIES, Query
 
-__all__ = ["decontaminate", "mix", "quality", "simhash", "tokens", "queries", "oracle_sql"]
+__all__ = ["classifier", "decontaminate", "mix", "quality", "simhash", "tokens", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:
