@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.llm import classifier, decontaminate, lines, mix, quality, shard, simhash, tokens
+from paperloom.llm import chat, classifier, decontaminate, lines, mix, quality, shard, simhash, tokens
 from paperloom.llm.store import ORACLE, QUERIES, Query
 
-__all__ = ["classifier", "decontaminate", "lines", "mix", "quality", "shard", "simhash", "tokens", "queries", "oracle_sql"]
+__all__ = ["chat", "classifier", "decontaminate", "lines", "mix", "quality", "shard", "simhash", "tokens", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:
