@@ -34,7 +34,7 @@ from paperloom.llm import texts as T
 from paperloom.llm.store import few, query, table, written
 
 ORDER = 4
-SLOT_BITS = 22
+SLOT_BITS = 24
 PRIOR = 400
 #: Median absolute deviations below and above a language's median.
 BANDS = (8.0, 8.0)

@@ -9,8 +9,8 @@ a pair within the radius agrees under that mask: no link can be missed.
 
 Only distinct fingerprints enter the tables. Buckets of more than ``BUCKET`` fingerprints are cut
 by the same construction over the bits that their mask leaves free, again and again: the free
-bits halve each time, so a bucket of distinct fingerprints gets small whatever the data, and the
-guarantee holds within it. Within a bucket, links are checked exactly and given as a forest.
+bits halve each time, so a bucket of distinct fingerprints has ``BUCKET`` or 128 of them in the
+end whatever the data, and the guarantee holds within it. Within a bucket, links are checked exactly and given as a forest.
 
 Nulls: a null text has no words (fingerprint zero, linked like any other); a null id is kept and
 never becomes a component's id unless all ids of the component are null. Repeated rows give
@@ -37,6 +37,8 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 BUCKET = 32
+#: Under so many free bits a mask may not grow, and a bucket has 128 fingerprints at most.
+LEAST_FREE = 8
 
 
 # --- fingerprints ------------------------------------------------------------------------
@@ -127,10 +129,11 @@ def _forests(radius: int):
         n = len(fp)
         same = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))])
         left, right = [], []
-        for d in range(1, min(n, BUCKET)):
-            at = np.flatnonzero((same[d:] == same[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius))
-            if not (same[d:] == same[:-d]).any():
+        for d in range(1, n):
+            near = same[d:] == same[:-d]
+            if not near.any():
                 break
+            at = np.flatnonzero(near & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius))
             left.append(at)
             right.append(at + d)
         if not left:
@@ -181,10 +184,11 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         sizes = rows.groupBy(F.col("mask").alias("s_mask"), F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = rows.join(sizes, (F.col("mask") == F.col("s_mask")) & (F.col("key") == F.col("s_key"))).select("mask", "key", "fp", "n")
         sized = written(sized, "simhash-buckets")
-        few = sized.where(F.col("n") <= BUCKET).repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").select("mask", "key", "fp")
+        whole = (F.col("n") <= BUCKET) | (F.bit_count("mask") > BITS - LEAST_FREE)
+        few = sized.where(whole).repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").select("mask", "key", "fp")
         new = few.mapInArrow(_forests(radius), "u bigint, v bigint")
         found = new if found is None else found.unionByName(new)
-        open_rows = sized.where(F.col("n") > BUCKET).select("mask", "fp").distinct()
+        open_rows = sized.where(~whole).select("mask", "fp").distinct()
         if open_rows.isEmpty():
             return found
 
