@@ -10,8 +10,6 @@ into one task.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,53 +101,61 @@ def _blocks(paragraphs: Column, paragraph_mark: str) -> Column:
     return let(paragraphs, choose)
 
 
+def _windows(text: Column, size: int) -> Column:
+    """The text in windows of ``size`` characters, cut in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def _sentence_groups(block: Column, limit: int, sentence_mark: str) -> Column:
     """Cut a long block after sentences: array<struct<group, text>>.
 
     The group of a sentence is floor(running length / limit), where every sentence counts
     one more than its characters. With the sentences joined by a one-character mark, the
     running length is simply the position of the mark after the sentence, so a group ends
-    at the last mark inside its ``limit``-wide window. Cost stays linear in sentences.
+    at the last mark inside its ``limit``-wide window. The text is cut into windows once and
+    each group joins what it needs of them, so the cost is linear in the text.
     """
     sentences = F.filter(
         F.transform(literal_split(block, sentence_mark), ws_trim), lambda s: s != ""
     )
     mark = F.lit(sentence_mark)
 
-    def cut(body: Column) -> Column:
-        def window_end(g: Column) -> Column:
-            start = F.greatest(g * limit, F.lit(1))
-
-            def end(text: Column) -> Column:
-                back = F.instr(F.reverse(text), mark)
-                return F.struct(
-                    g.alias("group"), F.when(back > 0, start + F.length(text) - back).otherwise(0).alias("end")
-                )
+    def halves(window: Column) -> Column:
+        kept = F.length(window) - F.instr(F.reverse(window), mark) + 1
+        return F.when(
+            F.contains(window, mark),
+            F.struct(
+                F.substring(window, F.lit(1), kept - 1).alias("head"),
+                F.substring(window, kept + 1, F.length(window)).alias("tail"),
+            ),
+        )
 
-            return let(F.substring(body, start, (g + 1) * limit - start), end)
+    def grouped(windows: Column) -> Column:
+        def with_halves(cut: Column) -> Column:
+            marked = F.filter(F.sequence(F.lit(0), F.size(cut) - 1), lambda g: F.get(cut, g).isNotNull())
 
-        ends = F.filter(
-            F.transform(F.sequence(F.lit(0), F.floor(F.length(body) / limit).cast("int")), window_end),
-            lambda e: e["end"] > 0,
-        )
+            def pieces(ends: Column) -> Column:
+                def piece(g: Column, i: Column) -> Column:
+                    before = F.when(i > 0, F.get(ends, F.greatest(i - 1, F.lit(0)))).otherwise(-1)
+                    left = F.when(i > 0, F.get(cut, F.greatest(before, F.lit(0)))["tail"]).otherwise("")
+                    between = F.array_join(F.slice(windows, before + 2, g - before - 1), "")
+                    text = F.concat(left, between, F.get(cut, g)["head"])
+                    # The character put before the text is in the first group.
+                    text = F.when(i > 0, text).otherwise(F.substring(text, F.lit(2), F.length(text)))
+                    return F.struct(g.alias("group"), text.alias("text"))
 
-        def pieces(es: Column) -> Column:
-            def piece(e: Column, i: Column) -> Column:
-                before = F.when(i > 0, F.get(es, F.greatest(i - 1, F.lit(0)))["end"]).otherwise(0)
-                return F.struct(
-                    e["group"].alias("group"),
-                    F.substring(body, before + 1, e["end"] - before - 1).alias("text"),
-                )
+                return F.transform(ends, piece)
 
-            return F.transform(es, piece)
+            return let(marked, pieces)
 
-        return let(ends, pieces)
+        return let(F.transform(windows, halves), with_halves)
 
     none = F.array().cast("array<struct<group:int,text:string>>")
     return let(
         sentences,
         lambda s: F.when(F.size(s) == 0, none).otherwise(
-            let(F.concat(F.array_join(s, sentence_mark), mark), cut)
+            # One character more in front: window g then holds the positions from g * limit.
+            let(_windows(F.concat(F.lit("."), F.array_join(s, sentence_mark), mark), limit), grouped)
         ),
     )
 
@@ -181,15 +187,47 @@ def chunk_array(
             ),
         )
 
-    sections = split_by_headings(normalize_newlines(text))
-    per_section = F.transform(
-        sections,
-        lambda s, i: F.flatten(
-            F.transform(_blocks(_paragraphs(s, paragraph_mark), paragraph_mark), lambda b: of_block(b, i))
-        ),
+    groups = _per_section(
+        text, lambda s, i: F.flatten(F.transform(_blocks(_paragraphs(s, paragraph_mark), paragraph_mark), lambda b: of_block(b, i)))
     )
     # Blocks and sentence groups start and end in trimmed text: their length needs no trim.
-    return F.filter(F.flatten(per_section), lambda c: F.length(c["text"]) >= min_chars)
+    return F.filter(groups, lambda c: F.length(c["text"]) >= min_chars)
+
+
+def _per_section(text: Column | str, body) -> Column:
+    return F.flatten(F.transform(split_by_headings(normalize_newlines(text)), body))
+
+
+def section_array(text: Column | str) -> Column:
+    """Sections that hold something: array<struct<section, text>>."""
+    found = F.transform(
+        split_by_headings(normalize_newlines(text)), lambda s, i: F.struct(i.alias("section"), ws_trim(s).alias("text"))
+    )
+    return F.filter(found, lambda s: s["text"] != "")
+
+
+def paragraph_array(text: Column | str, paragraph_mark: str = fixed.PARAGRAPH_MARK) -> Column:
+    """Paragraphs and whether they are table rows: array<struct<section, at, table, text>>."""
+
+    def of_section(section: Column, i: Column) -> Column:
+        return F.transform(
+            _paragraphs(section, paragraph_mark),
+            lambda p: F.struct(i.alias("section"), p["at"].alias("at"), is_table(p["text"]).alias("table"), p["text"].alias("text")),
+        )
+
+    return _per_section(text, of_section)
+
+
+def block_array(text: Column | str, paragraph_mark: str = fixed.PARAGRAPH_MARK) -> Column:
+    """Runs of paragraphs of one kind, joined: array<struct<section, at, table, text>>."""
+
+    def of_section(section: Column, i: Column) -> Column:
+        return F.transform(
+            _blocks(_paragraphs(section, paragraph_mark), paragraph_mark),
+            lambda b: F.struct(i.alias("section"), b["at"].alias("at"), b["table"].alias("table"), b["text"].alias("text")),
+        )
+
+    return _per_section(text, of_section)
 
 
 def chunk_documents(
@@ -232,8 +270,8 @@ def number_shared(
 
     A key may own a third of all rows, so no window over rows spans a whole key: rows are
     ranked inside cells of (key, place, slice of the owner's hash) and shifted by the number
-    of rows in earlier cells. Only counts, at most ``slices`` per place, meet per key. The
-    rows are shuffled once; the join reuses the partitioning of the ranking.
+    of rows in earlier cells. Only counts meet: those of the first places per key, and at most
+    ``slices`` for each later place per first place. The rows are shuffled once.
     """
     owner_hash = F.md5(F.col(owner).cast("string"))
     digits = F.conv(F.substring(owner_hash, 1, 3), 16, 10).cast("int")
@@ -244,8 +282,14 @@ def number_shared(
     )
     cell = ["_key", *place, "_slice"]
     counts = sliced.groupBy(*cell).agg(F.count("*").alias("_rows"))
-    earlier = W.partitionBy("_key").orderBy(*place, "_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*cell, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    # Two levels: whole first places (at most the parts of the longest text) meet per key, the
+    # cells of one first place among themselves.
+    coarse = counts.groupBy("_key", place[0]).agg(F.sum("_rows").alias("_rows"))
+    earlier = W.partitionBy("_key").orderBy(place[0]).rowsBetween(W.unboundedPreceding, -1)
+    coarse = coarse.select("_key", place[0], F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    within = W.partitionBy("_key", place[0]).orderBy(*place[1:], "_slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_within", F.coalesce(F.sum("_rows").over(within), F.lit(0)))
+    offsets = counts.join(coarse, ["_key", place[0]]).select(*cell, (F.col("_base") + F.col("_within")).alias("_offset"))
     inner = W.partitionBy(*cell).orderBy("_hash", owner)
     ranked = sliced.withColumn("_rank", F.row_number().over(inner))
     return (
@@ -268,28 +312,27 @@ def chunk_fixed(
     join back to it; without it each window stands alone and its tail is dropped. The last
     window always keeps the rest of the text.
     """
-    n = F.length(text)
     mark = F.lit(sentence_mark)
-    windows = F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0)))
 
-    def end_of(i: Column) -> Column:
-        def cut(body: Column) -> Column:
-            back = F.instr(F.reverse(body), mark)
-            return F.when(back > 0, i * size + F.length(body) - back + 1).otherwise((i + 1) * size)
+    def halves(windows: Column) -> Column:
+        def cut(window: Column, i: Column) -> Column:
+            back = F.instr(F.reverse(window), mark)
+            kept = F.when((back > 0) & (i < F.size(windows) - 1), F.length(window) - back + 1).otherwise(F.length(window))
+            return F.struct(
+                F.substring(window, F.lit(1), kept).alias("head"), F.substring(window, kept + 1, F.length(window)).alias("tail")
+            )
 
-        return F.when((i + 1) * size >= n, n).otherwise(let(F.substring(F.col(text), i * size + 1, F.lit(size)), cut))
+        return F.transform(windows, cut)
 
-    def pieces(ends: Column) -> Column:
-        def piece(end: Column, i: Column) -> Column:
-            if carry:
-                start = F.when(i > 0, F.get(ends, F.greatest(i - 1, F.lit(0)))).otherwise(0)
-            else:
-                start = i * size
-            return F.substring(F.col(text), start + 1, end - start)
+    def pieces(cuts: Column) -> Column:
+        def piece(cut: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(cuts, F.greatest(i - 1, F.lit(0)))["tail"]).otherwise("")
+            return F.concat(before, cut["head"]) if carry else cut["head"]
 
-        return F.transform(ends, piece)
+        return F.transform(cuts, piece)
 
+    windows = F.when(F.col(text) == "", F.array(F.lit(""))).otherwise(_windows(F.col(text), size))
     others = [c for c in df.columns if c != text]
     return df.where(F.col(text).isNotNull()).select(
-        *others, F.posexplode(let(F.transform(windows, end_of), pieces)).alias("chunk_index", "chunk_text")
+        *others, F.posexplode(let(let(windows, halves), pieces)).alias("chunk_index", "chunk_text")
     )

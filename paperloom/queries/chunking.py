@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import ws_trim
-from paperloom.operators import chunk_steps as steps
-from paperloom.operators.chunking import chunk_documents, chunk_fixed, split_by_headings
+from paperloom.operators.chunking import (
+    block_array,
+    chunk_array,
+    chunk_documents,
+    chunk_fixed,
+    paragraph_array,
+    section_array,
+    split_by_headings,
+)
 from paperloom.queries import base
 from paperloom.queries.base import query, with_ctes
-from paperloom.session import cut_lineage
 
 
 @query(
@@ -24,29 +30,31 @@ def _chunk_documents(spark, sf):
 
 @query(
     "split_headings",
-    with_ctes(
-        base.STAGED,
-        base.SECTIONS,
-        select="SELECT document_id, len(parts) AS n_sections FROM section_parts",
-    ),
+    with_ctes(base.STAGED, base.SECTIONS, select="SELECT document_id, len(parts) AS n_sections FROM headed"),
 )
 def _split_headings(spark, sf):
     rows = base.staged(spark, sf)
     return rows.select("document_id", F.size(split_by_headings("extracted_markdown")).cast("long").alias("n_sections"))
 
 
+def _exploded(spark, sf, array, **names):
+    """Elements of an array as rows; a name ending in ``index`` or ``order`` is a place."""
+    rows = base.staged(spark, sf).select("document_id", F.explode(array).alias("x"))
+    field = {new: F.col(f"x.{old}") for new, old in names.items()}
+    return rows.select("document_id", *[(c.cast("long") if n.endswith(("index", "order", "id")) else c).alias(n) for n, c in field.items()])
+
+
 @query(
     "sections",
-    with_ctes(base.STAGED, base.SECTIONS, select="SELECT document_id, section_index, section_text FROM sections"),
+    with_ctes(
+        base.STAGED,
+        base.SECTIONS,
+        """places AS (SELECT document_id, unnest(sections) AS s FROM titled_parts)""",
+        select="SELECT document_id, s.section AS section_index, s.text AS section_text FROM places",
+    ),
 )
 def _sections(spark, sf):
-    return steps.sections(base.staged(spark, sf)).select(
-        "document_id", F.col("section_index").cast("long").alias("section_index"), "section_text"
-    )
-
-
-def _paragraph_rows(spark, sf):
-    return steps.classify_blocks(steps.paragraphs(steps.sections(base.staged(spark, sf))))
+    return _exploded(spark, sf, section_array("extracted_markdown"), section_index="section", section_text="text")
 
 
 @query(
@@ -55,16 +63,13 @@ def _paragraph_rows(spark, sf):
         base.STAGED,
         base.SECTIONS,
         base.PARAGRAPHS,
-        select="SELECT document_id, section_index, para_index, block_type, paragraph FROM paragraphs",
+        """places AS (SELECT document_id, unnest(paragraphs) AS p FROM laid)""",
+        select="SELECT document_id, p.section AS section_index, p.at AS para_index, p.is_table, p.text AS paragraph FROM places",
     ),
 )
 def _paragraphs(spark, sf):
-    return _paragraph_rows(spark, sf).select(
-        "document_id",
-        F.col("section_index").cast("long").alias("section_index"),
-        F.col("para_index").cast("long").alias("para_index"),
-        "block_type",
-        "paragraph",
+    return _exploded(
+        spark, sf, paragraph_array("extracted_markdown"), section_index="section", para_index="at", is_table="table", paragraph="text"
     )
 
 
@@ -75,26 +80,16 @@ def _paragraphs(spark, sf):
         base.SECTIONS,
         base.PARAGRAPHS,
         base.BLOCKS,
-        select="SELECT document_id, section_index, island_id, block_type, block_order, block_text FROM blocks",
+        """places AS (SELECT document_id, unnest(blocks) AS b FROM folded)""",
+        select="SELECT document_id, b.section AS section_index, b.at AS block_order, b.is_table, b.text AS block_text FROM places",
     ),
 )
 def _islands_merge(spark, sf):
-    merged = steps.merge_blocks(steps.islands(_paragraph_rows(spark, sf)))
-    return merged.select(
-        "document_id",
-        F.col("section_index").cast("long").alias("section_index"),
-        F.col("island_id").cast("long").alias("island_id"),
-        "block_type",
-        F.col("block_order").cast("long").alias("block_order"),
-        "block_text",
+    return _exploded(
+        spark, sf, block_array("extracted_markdown"), section_index="section", block_order="at", is_table="table", block_text="text"
     )
 
 
-def _regrouped(spark, sf):
-    merged = steps.merge_blocks(steps.islands(_paragraph_rows(spark, sf)))
-    return steps.regroup_sentences(steps.split_long_blocks(merged))
-
-
 @query(
     "regroup_sentences",
     with_ctes(
@@ -102,19 +97,14 @@ def _regrouped(spark, sf):
         base.SECTIONS,
         base.PARAGRAPHS,
         base.BLOCKS,
-        base.PIECES,
-        select="SELECT document_id, section_index, block_order, sentence_group_id, first_sub_index, chunk_text FROM regrouped",
+        base.GROUPS,
+        """places AS (SELECT document_id, unnest(groups) AS g FROM cut)""",
+        select="SELECT document_id, g.section AS section_index, g.block AS block_order, g.grp AS group_id, g.text AS chunk_text FROM places",
     ),
 )
 def _regroup(spark, sf):
-    return _regrouped(spark, sf).select(
-        "document_id",
-        F.col("section_index").cast("long").alias("section_index"),
-        F.col("block_order").cast("long").alias("block_order"),
-        F.col("sentence_group_id").cast("long").alias("sentence_group_id"),
-        F.col("first_sub_index").cast("long").alias("first_sub_index"),
-        "chunk_text",
-    )
+    groups = chunk_array("extracted_markdown", min_chars=0)
+    return _exploded(spark, sf, groups, section_index="section", block_order="block", group_id="group", chunk_text="text")
 
 
 @query(
@@ -122,8 +112,9 @@ def _regroup(spark, sf):
     with_ctes(base.CHUNKS, select="SELECT document_id, chunk_index, chunk_text, chunk_id FROM chunks"),
 )
 def _number_chunks(spark, sf):
-    rows = cut_lineage(_regrouped(spark, sf), "regrouped")
-    return steps.number_chunks(rows).select("document_id", "chunk_index", "chunk_text", "chunk_id")
+    """Numbering by place where ids are not promised to be unique."""
+    rows = chunk_documents(base.staged(spark, sf))
+    return rows.select("document_id", "chunk_index", "chunk_text", "chunk_id")
 
 
 @query(
@@ -131,15 +122,11 @@ def _number_chunks(spark, sf):
     with_ctes(
         base.STAGED.replace("staged AS", "own AS"),
         """staged AS (SELECT * REPLACE (lang AS document_id) FROM own)""",
-        # Rows sharing an id stay apart up to the numbering, so windows also carry the uri.
         base.SECTIONS,
         base.PARAGRAPHS,
-        base.BLOCKS.replace("PARTITION BY document_id,", "PARTITION BY document_id, uri,"),
-        base.PIECES.replace("PARTITION BY document_id,", "PARTITION BY document_id, uri,"),
-        base.NUMBERED.replace(
-            "ORDER BY section_index, block_order, sentence_group_id",
-            "ORDER BY section_index, block_order, sentence_group_id, md5(uri), uri",
-        ),
+        base.BLOCKS,
+        base.GROUPS,
+        base.NUMBERED_TOGETHER,
         select="SELECT document_id, uri, chunk_index, md5(chunk_text) AS text_md5, chunk_id FROM chunks",
     ),
 )

@@ -246,7 +246,7 @@ def _original(spark, sf):
         select=f"""
 SELECT p.document_id, len(p.parts) AS n_sections, length({strip_sql('s.extracted_markdown')}) AS n_trimmed,
        md5(p.document_id || '7') AS eighth_chunk, coalesce(s.original_filename, '') AS file_name
-FROM section_parts p JOIN staged s ON p.uri = s.uri""",
+FROM headed p JOIN staged s ON p.uri = s.uri""",
     ),
 )
 def _sql_functions(spark, sf):
