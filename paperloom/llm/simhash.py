@@ -209,13 +209,113 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHING
     return prints.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
 
 
+# --- near copies by shingle similarity ---------------------------------------------------
+
+#: Fingerprints of two-word shingles that find candidates, and of five-word ones that judge them.
+FINDERS, JUDGES = 6, 8
+#: Differing bits of the judging fingerprints up to which five-word shingles have a similarity of
+#: 0.8 or more: a Jaccard index of 0.8 is a cosine of 8 / 9, an angle of 0.1515 of a half turn.
+JUDGED_BITS = 78
+#: A bucket's rows are paired with as many neighbours in the order of their fingerprints.
+NEIGHBOURS = 31
+
+
+def _numbered_shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every shingle of hashed words; the whole sequence where there are fewer."""
+    found, whole = T.windows(hashes, bounds, size)
+    found, own = found[whole], T.owners(bounds)[: len(found)][whole]
+    n = np.diff(bounds)
+    few = np.flatnonzero((n > 0) & (n < size))
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], n)
+    run = T.mix64(hashes + place.astype(np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(run, dtype=np.uint64)])
+    found = np.concatenate([found, T.mix64(total[bounds[few + 1]] - total[bounds[few]])])
+    own = np.concatenate([own, few])
+    order = np.argsort(own, kind="stable")
+    return found[order], np.searchsorted(own[order], np.arange(len(n) + 1))
+
+
+def _sketched(batches):
+    for batch in T.slices(batches, 4 << 20):
+        flat, bounds = T.words(pc.ascii_lower(T.column(batch, "text")))
+        distinct, codes = T.coded(flat)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct.cast(pa.binary()).to_pylist(), repeat(SEED)), np.uint64, len(distinct))[codes]
+        sets = []
+        for size, count in ((2, FINDERS), (5, JUDGES)):
+            shingles, at = _numbered_shingles(hashes, bounds, size)
+            salts = T.multipliers(count)
+            prints = np.stack([majority(T.mix64(shingles ^ salt), at) for salt in salts], axis=1)
+            flat_prints = pa.array(np.ascontiguousarray(prints).view(np.int64).reshape(-1))
+            sets.append(pa.FixedSizeListArray.from_arrays(flat_prints, count).cast(pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sets], ["place", "digest", "finders", "judges"])
+
+
+def _neighbours(batches):
+    """Pairs of rows of one bucket: all pairs of a small one, neighbours and the first of a large one."""
+    held = None
+    for batch in batches:
+        bucket, node = (np.asarray(c) for c in batch.columns[:2])
+        first = np.arange(len(bucket))
+        new = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, bool)
+        first = node[np.maximum.accumulate(np.where(new, first, 0))] if len(bucket) else node
+        begin = 0
+        if held is not None and len(bucket):
+            old_bucket, old_node, old_first = held
+            first = np.where(bucket == old_bucket[-1], old_first[-1], first)
+            bucket, node, first = np.concatenate([old_bucket, bucket]), np.concatenate([old_node, node]), np.concatenate([old_first, first])
+            begin = len(old_node)
+        left, right = [first[begin:]], [node[begin:]]
+        for d in range(1, min(NEIGHBOURS, len(bucket) - 1) + 1):
+            at = np.flatnonzero(bucket[d:] == bucket[:-d])
+            at = at[at + d >= begin]
+            if not len(at):
+                break
+            left.append(node[at])
+            right.append(node[at + d])
+        u, v = np.concatenate(left), np.concatenate(right)
+        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1)[u != v], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        if len(bucket):
+            held = bucket[-NEIGHBOURS:], node[-NEIGHBOURS:], first[-NEIGHBOURS:]
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """(place, root) of (place, text): texts whose five-word shingles have a similarity of 0.8 or
+    more are linked, directly or over others; ``place`` is unique.
+
+    Near copies of that kind differ in more than ``RADIUS`` bits of one fingerprint, so several of
+    two-word shingles go through the covering tables, and what shares a bucket anywhere is judged
+    by the differing bits of fingerprints of five-word shingles. Equal texts count as one."""
+    sketches = rows.select("place", F.md5("text").alias("digest"), "text")
+    sketches = written(sketches.mapInArrow(_sketched, "place bigint, digest string, finders array<bigint>, judges array<bigint>"), "copy-sketches")
+    nodes = sketches.groupBy("digest").agg(F.min("place").alias("node"), F.first("finders").alias("finders"), F.first("judges").alias("judges"))
+    nodes = written(nodes, "copy-texts")
+    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(0)]
+    keys = [F.xxhash64(F.lit(k * len(masks) + t), F.col("finders")[k].bitwiseAND(m)) for k in range(FINDERS) for t, m in enumerate(masks)]
+    tables = written(nodes.select("node", F.explode(F.array(*keys)).alias("bucket")), "copy-tables")
+    shared = tables.groupBy(F.col("bucket").alias("s_bucket")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = tables.join(shared, F.col("bucket") == F.col("s_bucket")).select("bucket", "node")
+    shared = shared.join(nodes.select("node", F.col("finders")[0].alias("print")), "node")
+    # By range, so that a bucket of many rows is spread over tasks.
+    shared = shared.repartitionByRange("bucket", "print", "node").sortWithinPartitions("bucket", "print", "node").select("bucket", "node")
+    pairs = written(shared.mapInArrow(_neighbours, "u bigint, v bigint").distinct(), "copy-pairs")
+    judges = nodes.select("node", "judges")
+    pairs = pairs.join(judges.withColumnsRenamed({"node": "u", "judges": "a"}), "u").join(judges.withColumnsRenamed({"node": "v", "judges": "b"}), "v")
+    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    roots = written(components(pairs.where(bits <= JUDGED_BITS).select("u", "v")), "copy-roots")
+    texts = nodes.select("digest", "node").join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left")
+    texts = texts.select(F.col("digest").alias("t_digest"), F.coalesce("root", "node").alias("root"))
+    return sketches.select("place", "digest").join(texts, F.col("digest") == F.col("t_digest")).select("place", "root")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest id (nulls last)."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "simhash-rows")
-    groups = near_groups(rows.select("place", "text"), "place").select(F.col("doc_id").alias("place"), F.col("component_id").alias("group"))
+    """``docs`` with one row of each group of near copies: the one of the smallest id (nulls last)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), text.alias("text"))
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "copy-rows")
+    groups = near_copies(rows.select("place", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
-    kept = rows.select("place", "doc_id").join(groups, "place").groupBy("group").agg(first.alias("first"))
+    kept = rows.select("place", "doc_id").join(groups, "place").groupBy("root").agg(first.alias("first"))
     return rows.join(kept.select(F.col("first.place").alias("place")), "place", "left_semi").select("row.*")
 
 

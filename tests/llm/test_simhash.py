@@ -74,3 +74,43 @@ def test_documents(spark, odd_docs, no_docs):
     assert sorted((r.doc_id, r.fp & (2**64 - 1)) for r in got if r.doc_id) == sorted((r.doc_id, fingerprint(r.text)) for r in rows if r.doc_id)
     assert {r.doc_id: r.component_id for r in got if r.doc_id} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6}
     assert [r.component_id for r in got if r.doc_id is None] == [1, 1]  # no words, as doc 1
+
+
+def similarity(a, b):
+    a, b = (x.lower().split() for x in (a, b))
+    a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(2000)]
+    docs, near, far = [], set(), set()
+    for k in range(60):
+        own = rng.choices(words, k=rng.randint(100, 500))
+        docs.append((10 * k, " ".join(own)))
+        for j, edits in enumerate((1, len(own) // 100, len(own) // 8)):
+            other = list(own)
+            for _ in range(edits):
+                other[rng.randrange(len(other))] = rng.choice(words)
+            docs.append((10 * k + 1 + j, " ".join(other).upper()))
+            s = similarity(docs[-1][1], " ".join(own))
+            (near if s >= 0.85 else far if s < 0.7 else set()).add(10 * k + 1 + j)
+    docs += [(1000 + k, docs[0][1]) for k in range(100)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert {10 * k for k in range(60)} <= kept and not kept & set(range(1000, 1100))
+    assert len(near) > 100 and len(near & kept) <= 0.02 * len(near)
+    assert len(far) > 40 and len(far - kept) <= 0.02 * len(far)
+
+
+def test_pairs_of_a_bucket():
+    import numpy as np
+    import pyarrow as pa
+
+    bucket = np.repeat([1, 2, 3], [5, 80, 1])
+    node = np.arange(86)
+    for size in (7, 40, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(bucket[a : a + size]), pa.array(node[a : a + size])], ["bucket", "node"]) for a in range(0, 86, size)]
+        got = {(u, v) for b in simhash._neighbours(batches) for u, v in zip(*map(np.ndarray.tolist, map(np.asarray, b.columns)))}
+        want = {(a, b) for a in range(86) for b in range(a + 1, 86) if bucket[a] == bucket[b] and (b - a <= simhash.NEIGHBOURS or a == 5)}
+        assert got == want
