@@ -52,11 +52,18 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(_col(c), _WS_CLASS + "+", -1), lambda t: t != "")
 
 
+def like_pattern(c: Column | str) -> Column:
+    """A keyword as a LIKE pattern: ``%`` and ``_`` are wildcards, a backslash before them or
+    before another one escapes, and any other backslash is itself."""
+    return F.regexp_replace(_col(c), r"\G((?:[^\\]|\\[%_\\])*+)\\", r"$1\\\\")
+
+
 def like_any(c: Column | str, keywords: Sequence[str]) -> Column:
     """OR over ``%keyword%``; wildcards inside a keyword keep their meaning."""
     if not keywords:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [_col(c).like(f"%{k}%") for k in keywords])
+    patterns = [re.sub(r"(\\[%_\\])|\\", lambda m: m[1] or "\\\\", k) for k in keywords]
+    return reduce(lambda a, b: a | b, [_col(c).like(f"%{p}%") for p in patterns])
 
 
 def decode_entities(c: Column | str) -> Column:

@@ -48,39 +48,43 @@ def _title(spark, sf):
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search message per source of texts, made of letters out of its texts and its name."""
-    by_source = table(spark, sf_dir, "documents").groupBy("source")
-    words = by_source.agg(F.max("text").alias("last"), F.min("text").alias("first"))
-    return words.select(
-        F.substring("source", 4, 10).cast("long").alias("query_id"),
+    """A search message per text: two of its words and the name of its source."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("query_id"),
         F.concat(
-            F.regexp_extract("last", "([a-z]{3})", 1), F.lit("　 "), F.regexp_extract("first", "([a-z]{2})", 1),
-            F.lit("\t"), F.col("source"),
+            F.regexp_extract("text", "([a-z]{9})", 1), F.lit("　 "), F.regexp_extract("text", "[a-z]{7}.* ([a-z]{6,8}) ", 1),
+            F.lit("\t"), F.col("source"), F.lit("%"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 500).cast("int")), "yyyy-MM"),
         ).alias("message"),
     )
 
 
 QUERY_WORDS = """
 queries AS (
-  SELECT CAST(substr(source, 4) AS BIGINT) AS query_id,
-         list_filter([regexp_extract(max(text), '([a-z]{3})', 1), regexp_extract(min(text), '([a-z]{2})', 1), source],
+  SELECT doc_id AS query_id,
+         list_filter([regexp_extract(text, '([a-z]{9})', 1), regexp_extract(text, '[a-z]{7}.* ([a-z]{6,8}) ', 1),
+                      source || '%' || strftime(DATE '2024-01-01' + CAST(doc_id % 500 AS INTEGER), '%Y-%m')],
                      lambda w: w <> '') AS keywords
-  FROM documents GROUP BY source),
-words AS (SELECT DISTINCT query_id, unnest(keywords) AS word FROM queries)"""
+  FROM documents),
+words AS (SELECT DISTINCT query_id, unnest(keywords) AS word FROM queries),
+kinds AS (SELECT DISTINCT word FROM words)"""
 
 TEXT_HITS = """
+text_words AS (
+  SELECT w.word, c.document_id, c.chunk_index FROM chunks c JOIN kinds w ON c.chunk_text LIKE '%' || w.word || '%'),
 text_hits AS (
-  SELECT q.query_id, c.document_id, d.title, c.chunk_text, c.chunk_index
-  FROM chunks c JOIN dim d USING (document_id), queries q
-  WHERE EXISTS (SELECT 1 FROM words w WHERE w.query_id = q.query_id AND contains(c.chunk_text, w.word))
-  QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY c.document_id, c.chunk_index) <= 10)"""
+  SELECT query_id, document_id, d.title, c.chunk_text, chunk_index
+  FROM (SELECT DISTINCT query_id, document_id, chunk_index FROM words JOIN text_words USING (word))
+    JOIN chunks c USING (document_id, chunk_index) JOIN dim d USING (document_id)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY document_id, chunk_index) <= 10)"""
 
 TITLE_HITS = """
+title_words AS (
+  SELECT w.word, d.document_id FROM dim d JOIN kinds w ON d.title LIKE '%' || w.word || '%'),
 title_hits AS (
-  SELECT q.query_id, c.document_id, d.title, c.chunk_text, c.chunk_index
-  FROM chunks c JOIN dim d USING (document_id), queries q
-  WHERE EXISTS (SELECT 1 FROM words w WHERE w.query_id = q.query_id AND contains(d.title, w.word))
-  QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY c.document_id, c.chunk_index) <= 10)"""
+  SELECT query_id, document_id, d.title, c.chunk_text, chunk_index
+  FROM (SELECT DISTINCT query_id, document_id FROM words JOIN title_words USING (word))
+    JOIN chunks c USING (document_id) JOIN dim d USING (document_id)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY document_id, chunk_index) <= 10)"""
 
 
 @query("extract_keywords", with_ctes(QUERY_WORDS, select="SELECT query_id, array_to_string(keywords, '|') AS keywords FROM queries"))
