@@ -291,14 +291,19 @@ def near_copies(rows: DataFrame) -> DataFrame:
     nodes = sketches.groupBy("digest").agg(F.min("place").alias("node"), F.first("finders").alias("finders"), F.first("judges").alias("judges"))
     nodes = written(nodes, "copy-texts")
     masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(0)]
-    keys = [F.xxhash64(F.lit(k * len(masks) + t), F.col("finders")[k].bitwiseAND(m)) for k in range(FINDERS) for t, m in enumerate(masks)]
-    tables = written(nodes.select("node", F.explode(F.array(*keys)).alias("bucket")), "copy-tables")
-    shared = tables.groupBy(F.col("bucket").alias("s_bucket")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = tables.join(shared, F.col("bucket") == F.col("s_bucket")).select("bucket", "node")
-    shared = shared.join(nodes.select("node", F.col("finders")[0].alias("print")), "node")
+    # A row for each table: the bucket, and another fingerprint's half to order its rows by.
+    keys = [
+        F.struct(
+            F.xxhash64(F.lit(k * len(masks) + t), F.col("finders")[k].bitwiseAND(m)).alias("bucket"),
+            F.shiftright(F.col("finders")[(k + 1) % FINDERS], 32).cast("int").alias("print"),
+        )
+        for k in range(FINDERS)
+        for t, m in enumerate(masks)
+    ]
+    tables = nodes.select("node", F.explode(F.array(*keys)).alias("x")).select("x.bucket", "x.print", "node")
     # By range, so that a bucket of many rows is spread over tasks.
-    shared = shared.repartitionByRange("bucket", "print", "node").sortWithinPartitions("bucket", "print", "node").select("bucket", "node")
-    pairs = written(shared.mapInArrow(_neighbours, "u bigint, v bigint").distinct(), "copy-pairs")
+    tables = tables.repartitionByRange("bucket", "print", "node").sortWithinPartitions("bucket", "print", "node").select("bucket", "node")
+    pairs = written(tables.mapInArrow(_neighbours, "u bigint, v bigint").distinct(), "copy-pairs")
     judges = nodes.select("node", "judges")
     pairs = pairs.join(judges.withColumnsRenamed({"node": "u", "judges": "a"}), "u").join(judges.withColumnsRenamed({"node": "v", "judges": "b"}), "v")
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import cut_lineage
+from paperloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,9 +31,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PATHS: list[str] = []
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one."""
+    _PATHS.append(scratch_path(spark, label))
+    return _PATHS[-1]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` from a table in the shared folder: it is computed once and outlives executors."""
-    return cut_lineage(df, label)
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders made inside the block, for ``remove`` once nothing reads them any more."""
+    start = len(_PATHS)
+    made: list[str] = []
+    yield made
+    made.extend(_PATHS[start:])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
 
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import rangecoder
 from paperloom.llm import texts as T
+from paperloom.llm.store import folder as new_folder
 from paperloom.llm.store import query, table, written
-from paperloom.session import scratch_path
 
 END_ID = 0
 SEGMENT = 1 << 21
@@ -206,6 +206,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to the file format and read back."""
     import public_tokenizers
 
-    folder = scratch_path(spark, "tokens")
+    folder = new_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return read_tokens(spark, folder, digest=True)
