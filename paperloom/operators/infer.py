@@ -208,10 +208,9 @@ def new_embeddings(
     target: DataFrame | None,
     model: EmbeddingModel,
     workers: int | None = None,
-    small: int | None = None,
 ) -> DataFrame:
     """Vectors of the chunks whose (chunk_id, md5_hash) pair has none yet."""
-    fresh = skip_unchanged(chunks, target, ["chunk_id", "md5_hash"], small)
+    fresh = skip_unchanged(chunks, target, ["chunk_id", "md5_hash"])
     return infer_embedding(fresh, "chunk_text", model, workers=workers)
 
 

@@ -23,9 +23,6 @@ from paperloom.session import stored_copy
 from paperloom.sources import state, tables
 from paperloom.sources.state import DatedTable, KeyedTable
 
-# New pairs up to this many are looked up by broadcast instead of shuffling all texts.
-SMALL_DELTA = 200_000
-
 
 def new_staged(
     target: DataFrame | None,
@@ -46,9 +43,9 @@ def new_staged(
     return marts.stage_texts(infer.infer_text(rows, infer.extraction_prompt(source), model, EXTRACTION, workers=workers))
 
 
-def new_chunks(target: DataFrame | None, staged: DataFrame, small: int | None = None, **chunking) -> DataFrame:
+def new_chunks(target: DataFrame | None, staged: DataFrame, **chunking) -> DataFrame:
     """Chunks of the texts whose (uri, md5_hash) pair has none yet."""
-    return chunk_documents(state.skip_unchanged(staged, target, ["uri", "md5_hash"], small), **chunking)
+    return chunk_documents(state.skip_unchanged(staged, target, ["uri", "md5_hash"]), **chunking)
 
 
 def merge_chunks(target: DataFrame | None, staged: DataFrame, **chunking) -> DataFrame:
@@ -84,9 +81,12 @@ def new_events(
     model: TextModel,
     extracted_at: Column,
     workers: int | None = None,
+    changed: DataFrame | None = None,
 ) -> DataFrame:
-    """Events of the documents that have none stored."""
+    """Events of the documents that have none stored, and of the ``changed`` ones anew."""
     known = None if target is None else target.select("document_id").distinct()
+    if known is not None and changed is not None:
+        known = known.join(changed.select("document_id").distinct(), "document_id", "left_anti")
     asked = infer.with_event_prompt(state.skip_known(staged, known, "document_id"), documents)
     generated = infer.infer_text(asked, "prompt", model, EVENTS, workers=workers).where("status = ''")
     return marts.extract_events(generated, extracted_at)
@@ -118,9 +118,9 @@ class Build:
     """All tables of the job under one root, in dependency order.
 
     Every step ends in a written table; the next reads that table, so a lost executor costs
-    a task and never a repeated model call of an earlier step. ``dated=True`` keeps the large
-    tables in one folder per day and rewrites only the days a run touches; otherwise each
-    table is kept as complete versions.
+    a task and never a repeated model call of an earlier step. The large tables are kept in one
+    folder per day and only the days a run touches are rewritten; with ``dated=False`` each
+    table is kept as complete versions, of which a run leaves the newest two.
     """
 
     def __init__(
@@ -130,7 +130,7 @@ class Build:
         rules: DataFrame,
         models: Models,
         workers: int | None = None,
-        dated: bool = False,
+        dated: bool = True,
     ):
         self.spark, self.root, self.rules, self.models, self.workers = spark, root.rstrip("/"), rules, models, workers
         self.dated = dated
@@ -183,12 +183,12 @@ class Build:
             old = stored(self.chunks)
             stale = None if old is None else keep(state.stale_documents(old, staged), "stale")
             kept = None if old is None else old.join(stale, "document_id", "left_anti")
-            fresh_chunks = keep(self._dated(new_chunks(kept, staged, SMALL_DELTA, **chunking)), "chunks")
+            fresh_chunks = keep(self._dated(new_chunks(kept, staged, **chunking)), "chunks")
             chunks = save(self.chunks, fresh_chunks, stale)
 
             old = stored(self.embedded)
             gone = None if old is None else keep(state.orphans(old, chunks), "orphans")
-            fresh_vectors = keep(infer.new_embeddings(chunks, old, m.embedding, n, SMALL_DELTA), "vectors")
+            fresh_vectors = keep(infer.new_embeddings(chunks, old, m.embedding, n), "vectors")
             embedded = save(self.embedded, fresh_vectors, gone)
 
             old = stored(self.documents)
@@ -197,11 +197,19 @@ class Build:
             documents = save(self.documents, fresh_documents)
 
             at = F.current_timestamp() if extracted_at is None else extracted_at
-            found = new_events(stored(self.events), staged, documents, m.events, at, n)
-            events = save(self.events, keep(found, "events"))
+            old = stored(self.events)
+            found = new_events(old, staged, documents, m.events, at, n, changed=stale)
+            # Events of an edited text go with its old chunks, whether the new text has any or not.
+            gone_events = None
+            if old is not None and stale is not None:
+                gone_events = keep(old.join(stale, "document_id", "left_semi").select("event_id"), "old-events")
+            events = save(self.events, keep(found, "events"), gone_events)
 
             save(self.search_chunks, changed_search_chunks(embedded, documents, fresh_vectors, fresh_documents), gone)
             self.synced_events.overwrite(marts.events_with_sync(events, documents, self.sync_history(), as_of))
+        for table in vars(self).values():
+            if isinstance(table, KeyedTable):
+                table.expire()
 
     def sync_history(self) -> DataFrame:
         found = self.history.read()

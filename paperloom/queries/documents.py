@@ -61,9 +61,9 @@ def _denormalise(spark, sf):
         base.CHUNKS,
         base.DIM,
         """nested AS (
-  SELECT document_id, chunk_index // 1000 AS part, count(*) AS n_chunks,
+  SELECT document_id, CAST(0 AS BIGINT) AS part, count(*) AS n_chunks,
          string_agg(chunk_id, ',' ORDER BY chunk_index) AS chunk_ids, md5(string_agg(chunk_text, '|' ORDER BY chunk_index)) AS texts
-  FROM chunks GROUP BY ALL)""",
+  FROM chunks GROUP BY document_id)""",
         select="SELECT d.document_id, d.title, n.part, n.n_chunks, n.chunk_ids, n.texts FROM dim d JOIN nested n USING (document_id)",
     ),
 )

@@ -15,7 +15,7 @@ import paperloom
 # Functions travel to the executors by value: they need no copy of this package there.
 cloudpickle.register_pickle_by_value(paperloom)
 
-_RUNTIME = {
+_LOCAL = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -37,7 +37,7 @@ def local_session(app: str = "paperloom", cores: int | None = None) -> SparkSess
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.files.maxPartitionBytes", "128m")
     )
-    for key, value in _RUNTIME.items():
+    for key, value in _LOCAL.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,9 +45,8 @@ def local_session(app: str = "paperloom", cores: int | None = None) -> SparkSess
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the run-time settings results depend on; sizing stays with the session's owner."""
-    for key, value in _RUNTIME.items():
-        spark.conf.set(key, value)
+    """Pin the one setting results depend on; all others stay with the session's owner."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 

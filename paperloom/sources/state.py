@@ -74,25 +74,11 @@ def delete_orphans(target: DataFrame, parents: DataFrame, key: str = "chunk_id")
     return matched.unionByName(held)
 
 
-def skip_unchanged(
-    source: DataFrame, target: DataFrame | None, columns: Sequence[str], small: int | None = None
-) -> DataFrame:
-    """Rows whose (key, hash) pair the target does not hold yet; all rows on a full run.
-
-    With ``small`` the new pairs are found first on the narrow columns alone; when there are
-    at most that many, they are broadcast and the wide rows are read without a shuffle. More
-    new pairs than that take the plain anti join.
-    """
+def skip_unchanged(source: DataFrame, target: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """Rows whose (key, hash) pair the target does not hold yet; all rows on a full run."""
     if target is None:
         return source
-    held = target.select(*columns).distinct()
-    if small is not None:
-        fresh = without_pairs(source.select(*columns), held, columns).distinct()
-        fresh = fresh.select(*[F.col(c).alias(f"_n_{c}") for c in columns])
-        if fresh.limit(small + 1).count() <= small:
-            same = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in columns]
-            return source.join(F.broadcast(fresh), same, "left_semi")
-    return without_pairs(source, held, columns)
+    return without_pairs(source, target.select(*columns).distinct(), columns)
 
 
 def skip_known(source: DataFrame, target: DataFrame | None, key: str) -> DataFrame:

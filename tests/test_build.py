@@ -73,6 +73,19 @@ def test_changed_files(build, table):
     run(full, raw(table, edited, "v2"), full_refresh=True)
     assert snapshot(full)["chunks"] == snapshot(b)["chunks"]
     assert snapshot(full)["documents"] == snapshot(b)["documents"]
+    assert snapshot(full)["events"] == snapshot(b)["events"]
+    assert snapshot(full)["synced_events"] == snapshot(b)["synced_events"]
+
+
+def test_edited_dates_reach_events(build, table):
+    docs = {1: text(1), 2: "2026-04-02 10:00 遠足のお知らせ", 3: text(3)}
+    b = build()
+    run(b, raw(table, docs))
+    edited = dict(docs) | {2: "2026-04-20 10:00 遠足は延期です"}
+    run(b, raw(table, edited, "v2"), refresh_changed=True)
+    for t in (b.events, b.synced_events):
+        assert [str(r.event_date) for r in t.read().where("document_id = '2'").collect()] == ["2026-04-20"]
+    assert b.events.read().count() == 3
 
 
 def test_window_and_exports(spark, build, table, tmp_path):
