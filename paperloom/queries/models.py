@@ -113,51 +113,53 @@ def _infer_classify(spark, sf):
     )
 
 
-_DAY = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
+def _dated_lines(text: str):
+    """Every sixth line of a text gets a date in front, some a clock time behind it."""
+    return F.array_join(
+        F.transform(
+            F.split(text, "\n", -1),
+            lambda line, i: F.when(
+                i % 6 == 0,
+                F.concat(
+                    F.lit("2026-"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"),
+                    F.when(i % 12 == 0, F.lit(" 9:30 ")).otherwise(F.lit(" ")), line,
+                ),
+            ).otherwise(line),
+        ),
+        "\n",
+    )
 
 
 @query(
     "infer_events",
     with_ctes(
         base.STAGED,
-        f"""first_lines AS (
-  SELECT document_id, strftime(updated_at, '%Y-%m-%d') || ' ' || list_extract(string_split(extracted_markdown, chr(10)), 1) AS line
-  FROM staged)""",
+        """lines AS (
+  SELECT document_id, unnest(list_transform(string_split(extracted_markdown, chr(10)), lambda l, i: CASE WHEN (i - 1) % 6 = 0
+    THEN '2026-' || lpad(CAST((i - 1) % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST((i - 1) % 28 + 1 AS VARCHAR), 2, '0')
+      || CASE WHEN (i - 1) % 12 = 0 THEN ' 9:30 ' ELSE ' ' END || l ELSE l END)) AS line FROM staged)""",
+        """dated AS (
+  SELECT document_id, line, regexp_extract(line, '([0-9]{4})[-年]([0-9]{1,2})[-月]([0-9]{1,2})日?', ['y', 'm', 'd']) AS day,
+         regexp_extract(line, '[0-9]{4}[-年][0-9]{1,2}[-月][0-9]{1,2}日?((.|\n)*)$', 1) AS rest
+  FROM lines WHERE regexp_matches(line, '[0-9]{4}[-年][0-9]{1,2}[-月][0-9]{1,2}日?'))""",
         f"""events_found AS (
-  SELECT document_id, line, left(line, 10) AS day, {strip_sql('substr(line, 11)')} AS title FROM first_lines
-  WHERE {strip_sql('substr(line, 11)')} <> '')""",
-        select="SELECT document_id, day AS event_date, md5(document_id || day || title) AS event_id, title AS event_title FROM events_found",
+  SELECT document_id, day.y || '-' || day.m || '-' || day.d AS day_text, regexp_extract(rest, '[0-9]{{1,2}}:[0-9]{{2}}') AS clock,
+         {strip_sql("regexp_replace(rest, '[0-9]{1,2}:[0-9]{2}', '')")} AS title FROM dated)""",
+        select="""
+SELECT DISTINCT document_id, CAST(TRY_CAST(day_text AS DATE) AS VARCHAR) AS event_date,
+       md5(document_id || day_text || clock || title) AS event_id, title AS event_title
+FROM events_found WHERE TRY_CAST(day_text AS DATE) IS NOT NULL AND title <> ''""",
     ),
 )
 def _infer_events(spark, sf):
-    """One dated line per document, from its first line of text."""
-    rows = base.staged(spark, sf)
-    first = F.split("extracted_markdown", "\n", -1).getItem(0)
-    # Digits and colons would read as further dates and clock times of the line.
-    asked = rows.withColumn("prompt", F.concat(F.date_format("updated_at", "yyyy-MM-dd"), F.lit(" "), first))
-    generated = infer.infer_text(asked, "prompt", _FirstDate(), EVENTS).where("status = ''")
+    """All dated lines of the whole texts, through the event prompt and the offline model."""
+    rows = base.staged(spark, sf).withColumn("extracted_markdown", _dated_lines("extracted_markdown"))
+    asked = infer.with_event_prompt(rows, base.documents_dim(spark, sf))
+    generated = infer.infer_text(asked, "prompt", infer.DatedLineExtractor(), EVENTS).where("status = ''")
     found = marts.extract_events(generated, F.lit("2024-02-01").cast("timestamp"))
     return found.select("document_id", F.col("event_date").cast("string").alias("event_date"), "event_id", "event_title")
 
 
-class _FirstDate:
-    """The leading date is the day, the rest of the line is the title."""
-
-    def generate(self, prompts, spec):
-        import json
-
-        out = []
-        for p in prompts:
-            event = {
-                "event_date": p[:10],
-                "event_time": None,
-                "event_title": p[10:].strip(fixed.WHITESPACE),
-                "event_description": p,
-            }
-            out.append((json.dumps({"events": [event]}, ensure_ascii=False), ""))
-        return out
-
-
 @query(
     "infer_embed",
     with_ctes(
