@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,17 +53,20 @@ class PieceEncoder:
         self.ids, self.starts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
 
     def _places(self, pieces: list[str]) -> np.ndarray:
-        missing = [p for p in pieces if p not in self.place]
+        known = list(map(self.place.get, pieces))
+        missing = list(dict.fromkeys(p for p, k in zip(pieces, known, strict=True) if k is None))
         for a in range(0, len(missing), 20_000):
             some = missing[a : a + 20_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             n = len(self.place)
             self.place.update(zip(some, range(n, n + len(some)), strict=True))
-            self.ids.append(np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum())))
+            self.ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
             self.starts.append(self.starts[-1][-1] + np.cumsum(sizes))
-        self.ids, self.starts = [np.concatenate(self.ids)], [np.concatenate(self.starts)]
-        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        if missing:
+            self.ids, self.starts = [np.concatenate(self.ids)], [np.concatenate(self.starts)]
+            known = map(self.place.__getitem__, pieces)
+        return np.fromiter(known, np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and each text's bounds in them."""
@@ -81,19 +85,19 @@ class PieceEncoder:
         first = np.zeros(len(flat), bool)
         first[at[:-1]] = True
         # A piece after a space takes the space along.
-        plain = pieces.to_pylist()
+        spaced = pc.binary_join_element_wise("", pieces, " ").to_pylist()
         used = np.unique(codes[first])
-        if len(self.place) + len(plain) + len(used) > HELD:
+        if len(self.place) + len(spaced) + len(used) > HELD:
             self.forget()
-        places = self._places([" " + p for p in plain] + [plain[i] for i in used.tolist()])
-        own = places[: len(plain)][codes]
-        starting = np.zeros(len(plain), np.int64)
-        starting[used] = places[len(plain) :]
+        places = self._places(spaced + pieces.take(pa.array(used)).to_pylist())
+        own = places[: len(spaced)][codes]
+        starting = np.zeros(len(spaced), np.int64)
+        starting[used] = places[len(spaced) :]
         own[first] = starting[codes[first]]
         begin = self.starts[0][own]
         size = self.starts[0][own + 1] - begin
         ends = np.cumsum(size)
-        ids = self.ids[0][np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.ids[0].take(np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0), mode="clip")
         return ids, np.concatenate([[0], ends])[at]
 
     def _mixed(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +135,7 @@ def _segments(path: str, end_id: int):
             ]
             return pa.RecordBatch.from_arrays(row, ["part", "number", "docs", "sizes", "ids", "freqs", "blocks"])
 
-        for batch in T.slices(batches, 2 << 20):
+        for batch in T.slices(batches, 4 << 20):
             part = batch.column(2)[0].as_py()
             ids, at = _with_end(*encoder.encode(T.column(batch, "text")), end_id)
             docs.append(batch.column(0))
