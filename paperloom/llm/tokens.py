@@ -34,7 +34,7 @@ from paperloom.llm.store import query, table, written
 
 END_ID = 0
 SEGMENT = 1 << 21
-HELD = 1 << 20  # pieces that a task remembers
+HELD = 1 << 18  # pieces that a task remembers
 
 
 class PieceEncoder:
@@ -135,7 +135,7 @@ def _segments(path: str, end_id: int):
             ]
             return pa.RecordBatch.from_arrays(row, ["part", "number", "docs", "sizes", "ids", "freqs", "blocks"])
 
-        for batch in T.slices(batches, 4 << 20):
+        for batch in T.slices(batches, 2 << 20):
             part = batch.column(2)[0].as_py()
             ids, at = _with_end(*encoder.encode(T.column(batch, "text")), end_id)
             docs.append(batch.column(0))
