@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,8 +29,19 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.string()).fill_null("")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that is used again keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches, max_bytes: int = 8 << 20):
     """Record batches of about ``max_bytes`` at most; a longer text stands alone."""
+    give_back()
     for batch in batches:
         start, n = 0, batch.num_rows
         while start < n:

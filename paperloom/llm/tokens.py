@@ -165,6 +165,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_column: str =
 
 
 def _read(batches):
+    T.give_back()
     for batch in batches:
         for row in range(batch.num_rows):
             seen, freq = (np.frombuffer(batch.column(c)[row].as_py(), "<u2").astype(np.int64) for c in (4, 5))
