@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import texts as T
@@ -211,12 +211,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHING
 
 # --- near copies by shingle similarity ---------------------------------------------------
 
-#: Fingerprints of two-word shingles that find candidates, and of five-word ones that judge them.
-FINDERS, JUDGES = 6, 8
-#: Differing bits of the judging fingerprints up to which five-word shingles have a similarity of
-#: 0.8 or more: a Jaccard index of 0.8 is a cosine of 8 / 9, an angle of 0.1515 of a half turn.
-JUDGED_BITS = 78
-#: A bucket's rows are paired with as many neighbours in the order of their fingerprints.
+#: Words of a shingle.
+COPY_SHINGLE = 5
+#: One text in so many is asked which shingles are frequent; that orders the shingles, nothing else.
+SAMPLED = 16
+#: A bucket's rows are paired with as many neighbours by ``_neighbours``.
 NEIGHBOURS = 31
 
 
@@ -235,19 +234,84 @@ def _numbered_shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tup
     return found[order], np.searchsorted(own[order], np.arange(len(n) + 1))
 
 
-def _sketched(batches):
+def _shingle_sets(texts: pa.Array, often: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, rare ones first, and its bounds in them; a text without
+    words has shingle 0."""
+    flat, bounds = T.words(pc.ascii_lower(texts))
+    distinct, codes = T.coded(flat)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct.cast(pa.binary()).to_pylist(), repeat(SEED)), np.uint64, len(distinct))[codes]
+    found, at = _numbered_shingles(hashes, bounds, COPY_SHINGLE)
+    none = np.flatnonzero(np.diff(at) == 0)
+    found, own = np.concatenate([found, np.zeros(len(none), np.uint64)]), np.concatenate([T.owners(at), none])
+    times = np.zeros(len(found), np.int64)
+    if often is not None and len(often[0]):
+        place = np.minimum(np.searchsorted(often[0], found), len(often[0]) - 1)
+        times = np.where(often[0][place] == found, often[1][place], 0)
+    order = np.lexsort((found, times, own))
+    found, own = found[order], own[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (own[1:] != own[:-1])
+    return found[new], np.searchsorted(own[new], np.arange(len(bounds)))
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _listed(batches):
     for batch in T.slices(batches, 4 << 20):
-        flat, bounds = T.words(pc.ascii_lower(T.column(batch, "text")))
-        distinct, codes = T.coded(flat)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct.cast(pa.binary()).to_pylist(), repeat(SEED)), np.uint64, len(distinct))[codes]
-        sets = []
-        for size, count in ((2, FINDERS), (5, JUDGES)):
-            shingles, at = _numbered_shingles(hashes, bounds, size)
-            salts = T.multipliers(count)
-            prints = np.stack([majority(T.mix64(shingles ^ salt), at) for salt in salts], axis=1)
-            flat_prints = pa.array(np.ascontiguousarray(prints).view(np.int64).reshape(-1))
-            sets.append(pa.FixedSizeListArray.from_arrays(flat_prints, count).cast(pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sets], ["place", "digest", "finders", "judges"])
+        yield pa.RecordBatch.from_arrays([pa.array(_shingle_sets(T.column(batch, "text"))[0].view(np.int64))], ["shingle"])
+
+
+def _set_of(batches):
+    for batch in T.slices(batches, 4 << 20):
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*_shingle_sets(T.column(batch, "text")))], ["node", "shingles"])
+
+
+def _prefixed(often):
+    """The rarest fifth of each text's shingles, one more than a near copy may lack."""
+
+    def run(batches):
+        for batch in T.slices(batches, 4 << 20):
+            found, at = _shingle_sets(T.column(batch, "text"), often.value)
+            n = np.diff(at)
+            taken = n - (4 * n + 4) // 5 + 1
+            inside = np.arange(len(found)) - np.repeat(at[:-1], n) < np.repeat(taken, n)
+            prefix = _lists(found[inside], np.concatenate([[0], np.cumsum(taken)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), prefix], ["place", "digest", "n", "prefix"])
+
+    return run
+
+
+def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of the texts, sorted, and how often they occur."""
+    # A share of the texts as least count bounds the list, however many texts there are.
+    least = max(4, rows.count() // (SAMPLED * 4096))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text")
+    found = sample.mapInArrow(_listed, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    found = found.where(F.col("times") >= least).toArrow()
+    shingles, times = found.column("shingle").to_numpy().view(np.uint64), found.column("times").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], times[order]
+
+
+def _may_be_near(a: str, b: str) -> Column:
+    """Whether two texts can have a similarity of 0.8 if no shingle before this one is in both."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
+    return 9 * left >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _pairs(rows: DataFrame, other: Column) -> DataFrame:
+    """Pairs (u, v) of rows ``a`` and ``b`` of one bucket that may be near."""
+    both = rows.alias("a").join(rows.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & other & _may_be_near("a", "b"))
+    return both.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets have a Jaccard index of 0.8 or more."""
+    for node, own in (("u", "a"), ("v", "b")):
+        pairs = pairs.join(sets.select(F.col("node").alias(node), F.col("shingles").alias(own)), node)
+    return pairs.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
 def _neighbours(batches):
@@ -280,35 +344,28 @@ def _neighbours(batches):
 
 
 def near_copies(rows: DataFrame) -> DataFrame:
-    """(place, root) of (place, text): texts whose five-word shingles have a similarity of 0.8 or
-    more are linked, directly or over others; ``place`` is unique.
-
-    Near copies of that kind differ in more than ``RADIUS`` bits of one fingerprint, so several of
-    two-word shingles go through the covering tables, and what shares a bucket anywhere is judged
-    by the differing bits of fingerprints of five-word shingles. Equal texts count as one."""
+    """(place, root) of (place, text): texts whose sets of five-word shingles have a Jaccard index
+    of 0.8 or more are linked, directly or over others; ``place`` is unique.
+
+    Two such texts share at least four fifths of each one's shingles. So in any one order of all
+    shingles the first that both have is among the first fifth (and one) of either text: texts
+    meet in the buckets of those shingles, and none of these pairs is missed. The order puts
+    shingles that are frequent in a sample last, which keeps buckets small. What meets is
+    compared by the exact overlap of the two sets in a join. Equal texts count as one."""
+    often = rows.sparkSession.sparkContext.broadcast(_often(rows))
     sketches = rows.select("place", F.md5("text").alias("digest"), "text")
-    sketches = written(sketches.mapInArrow(_sketched, "place bigint, digest string, finders array<bigint>, judges array<bigint>"), "copy-sketches")
-    nodes = sketches.groupBy("digest").agg(F.min("place").alias("node"), F.first("finders").alias("finders"), F.first("judges").alias("judges"))
+    sketches = written(sketches.mapInArrow(_prefixed(often), "place bigint, digest string, n bigint, prefix array<bigint>"), "copy-sketches")
+    nodes = sketches.groupBy("digest").agg(F.min("place").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = written(nodes, "copy-texts")
-    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(0)]
-    # A row for each table: the bucket, and another fingerprint's half to order its rows by.
-    keys = [
-        F.struct(
-            F.xxhash64(F.lit(k * len(masks) + t), F.col("finders")[k].bitwiseAND(m)).alias("bucket"),
-            F.shiftright(F.col("finders")[(k + 1) % FINDERS], 32).cast("int").alias("print"),
-        )
-        for k in range(FINDERS)
-        for t, m in enumerate(masks)
-    ]
-    tables = nodes.select("node", F.explode(F.array(*keys)).alias("x")).select("x.bucket", "x.print", "node")
-    # By range, so that a bucket of many rows is spread over tasks.
-    tables = tables.repartitionByRange("bucket", "print", "node").sortWithinPartitions("bucket", "print", "node").select("bucket", "node")
-    pairs = written(tables.mapInArrow(_neighbours, "u bigint, v bigint").distinct(), "copy-pairs")
-    judges = nodes.select("node", "judges")
-    pairs = pairs.join(judges.withColumnsRenamed({"node": "u", "judges": "a"}), "u").join(judges.withColumnsRenamed({"node": "v", "judges": "b"}), "v")
-    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    roots = written(components(pairs.where(bits <= JUDGED_BITS).select("u", "v")), "copy-roots")
-    texts = nodes.select("digest", "node").join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left")
+    meeting = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+    meeting = written(meeting, "copy-buckets")
+    pairs = written(_pairs(meeting, F.col("a.node") < F.col("b.node")), "copy-pairs")
+    wanted = pairs.select("u").union(pairs.select("v")).toDF("w_node").distinct()
+    sets = rows.join(wanted, F.col("place") == F.col("w_node"), "left_semi").select("place", "text")
+    sets = written(sets.mapInArrow(_set_of, "node bigint, shingles array<bigint>"), "copy-sets")
+    roots = written(components(_near(pairs, sets)), "copy-roots")
+    roots = roots.select(F.col("node").alias("r_node"), "root")
+    texts = nodes.select("digest", "node").join(roots, F.col("node") == F.col("r_node"), "left")
     texts = texts.select(F.col("digest").alias("t_digest"), F.coalesce("root", "node").alias("root"))
     return sketches.select("place", "digest").join(texts, F.col("digest") == F.col("t_digest")).select("place", "root")
 

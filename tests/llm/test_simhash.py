@@ -114,3 +114,32 @@ def test_pairs_of_a_bucket():
         got = {(u, v) for b in simhash._neighbours(batches) for u, v in zip(*map(np.ndarray.tolist, map(np.asarray, b.columns)))}
         want = {(a, b) for a in range(86) for b in range(a + 1, 86) if bucket[a] == bucket[b] and (b - a <= simhash.NEIGHBOURS or a == 5)}
         assert got == want
+
+
+@pytest.mark.parametrize("sampled", [16, 1])
+def test_near_copies_against_all_pairs(spark, monkeypatch, sampled):
+    """Appended, removed and scattered edits from 0.8 upwards, dense groups, and passages that many texts share."""
+    monkeypatch.setattr(simhash, "SAMPLED", sampled)
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(3000)]
+    passage, texts = rng.choices(words, k=120), []
+    for k in range(24):
+        own = rng.choices(words, k=rng.randint(60, 300)) + (passage if k % 2 else [])
+        texts.append(own)
+        for share in (0.8, 0.81, 0.85, 0.9):
+            n = len(own) - 4
+            texts.append(own + rng.choices(words, k=int(n / share) - n))
+            texts.append(own[: 4 + -int(-n * share // 1)])
+    for base in (rng.choices(words, k=200), passage[:100] + rng.choices(words, k=20), passage[10:110] + rng.choices(words, k=20)):
+        for _ in range(45):
+            own = list(base)
+            for _ in range(rng.randint(1, 6)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(own)
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    assert sum(5 * len(sets[a] & sets[b]) <= 4.1 * len(sets[a] | sets[b]) for a, b in near) > 40
+    rows = spark.createDataFrame(list(enumerate(texts)), "place long, text string").repartition(5)
+    got = {r.place: r.root for r in simhash.near_copies(rows).collect()}
+    assert got == grouped(range(len(texts)), near)
