@@ -215,6 +215,8 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHING
 COPY_SHINGLE = 5
 #: One text in so many is asked which shingles are frequent; that orders the shingles, nothing else.
 SAMPLED = 16
+#: Buckets of up to so many texts are compared whole at once; a larger one first meets one text a turn.
+WHOLE, TURNS = 32, 4
 #: A bucket's rows are paired with as many neighbours by ``_neighbours``.
 NEIGHBOURS = 31
 
@@ -351,20 +353,40 @@ def near_copies(rows: DataFrame) -> DataFrame:
     shingles the first that both have is among the first fifth (and one) of either text: texts
     meet in the buckets of those shingles, and none of these pairs is missed. The order puts
     shingles that are frequent in a sample last, which keeps buckets small. What meets is
-    compared by the exact overlap of the two sets in a join. Equal texts count as one."""
+    compared by the exact overlap of the two sets in a join. Buckets of up to ``WHOLE`` texts are
+    compared whole. In a larger one all texts first meet one of them a turn; after ``TURNS``
+    turns, texts that are not linked by then are compared with all others. Equal texts count as one."""
     often = rows.sparkSession.sparkContext.broadcast(_often(rows))
     sketches = rows.select("place", F.md5("text").alias("digest"), "text")
     sketches = written(sketches.mapInArrow(_prefixed(often), "place bigint, digest string, n bigint, prefix array<bigint>"), "copy-sketches")
     nodes = sketches.groupBy("digest").agg(F.min("place").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = written(nodes, "copy-texts")
     meeting = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
-    meeting = written(meeting, "copy-buckets")
-    pairs = written(_pairs(meeting, F.col("a.node") < F.col("b.node")), "copy-pairs")
-    wanted = pairs.select("u").union(pairs.select("v")).toDF("w_node").distinct()
+    sizes = meeting.groupBy(F.col("shingle").alias("s_shingle")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    meeting = written(meeting.join(sizes, F.col("shingle") == F.col("s_shingle")).drop("s_shingle"), "copy-buckets")
+    large = meeting.where(F.col("size") > WHOLE)
+    pairs = written(_pairs(meeting.where(F.col("size") <= WHOLE), F.col("a.node") < F.col("b.node")), "copy-pairs")
+    wanted = pairs.select("u").union(pairs.select("v")).union(large.select("node")).toDF("w_node").distinct()
     sets = rows.join(wanted, F.col("place") == F.col("w_node"), "left_semi").select("place", "text")
     sets = written(sets.mapInArrow(_set_of, "node bigint, shingles array<bigint>"), "copy-sets")
-    roots = written(components(_near(pairs, sets)), "copy-roots")
-    roots = roots.select(F.col("node").alias("r_node"), "root")
+    links, turn = written(_near(pairs, sets), "copy-links"), 0
+    while True:
+        roots = written(components(links), "copy-roots")
+        roots = roots.select(F.col("node").alias("r_node"), "root")
+        placed = large.join(roots, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("r_node")
+        first = F.min_by(F.struct("node", "n", "at", "root"), F.xxhash64("node", F.lit(turn)))
+        unlinked = placed.groupBy(F.col("shingle").alias("o_shingle")).agg(F.min("root").alias("low"), F.max("root").alias("high"), first.alias("b"))
+        unlinked = unlinked.where("low < high").select("o_shingle", "b")
+        placed = written(placed.join(unlinked, F.col("shingle") == F.col("o_shingle")).drop("o_shingle"), "copy-unlinked")
+        if turn > TURNS or placed.isEmpty():
+            break
+        if turn < TURNS:
+            met = placed.select(F.struct("node", "n", "at", "root").alias("a"), "b").where((F.col("a.root") != F.col("b.root")) & _may_be_near("a", "b"))
+            new = met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+        else:
+            new = _pairs(placed.drop("b"), F.col("a.root") < F.col("b.root"))
+        links = links.unionByName(written(_near(new, sets), "copy-links"))
+        turn += 1
     texts = nodes.select("digest", "node").join(roots, F.col("node") == F.col("r_node"), "left")
     texts = texts.select(F.col("digest").alias("t_digest"), F.coalesce("root", "node").alias("root"))
     return sketches.select("place", "digest").join(texts, F.col("digest") == F.col("t_digest")).select("place", "root")

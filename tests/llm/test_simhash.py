@@ -116,10 +116,11 @@ def test_pairs_of_a_bucket():
         assert got == want
 
 
-@pytest.mark.parametrize("sampled", [16, 1])
-def test_near_copies_against_all_pairs(spark, monkeypatch, sampled):
+@pytest.mark.parametrize("whole", [simhash.WHOLE, 3])
+def test_near_copies_against_all_pairs(spark, monkeypatch, whole):
     """Appended, removed and scattered edits from 0.8 upwards, dense groups, and passages that many texts share."""
-    monkeypatch.setattr(simhash, "SAMPLED", sampled)
+    monkeypatch.setattr(simhash, "WHOLE", whole)
+    monkeypatch.setattr(simhash, "SAMPLED", 1 if whole == 3 else 16)
     rng = random.Random(17)
     words = [f"w{k}" for k in range(3000)]
     passage, texts = rng.choices(words, k=120), []
