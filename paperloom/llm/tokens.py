@@ -7,9 +7,9 @@ consecutive documents with their ids and lengths, the segment's order-0 table an
 blocks (``rangecoder``). A segment holds about ``SEGMENT`` ids, or one longer document, so a task
 holds one segment at a time. Where a document starts follows from the segments' lengths.
 
-Words repeat, so each task encodes a piece of text between single spaces once and reuses its ids;
-the vocabulary never joins pieces across such a space, and texts with two spaces in a row or with
-the vocabulary's special strings are encoded as one.
+Words repeat, so each task encodes a piece of text between single spaces once and reuses its ids.
+Texts with two spaces in a row, with the vocabulary's special strings or with a token that holds a
+space after its first byte are encoded as one: no merge crosses a piece's edge in the others.
 
 Nulls: a null text is empty (its end id alone), a null id is kept. Repeated rows are written
 repeatedly. An empty table gives no segment. Other columns are ignored.
@@ -37,6 +37,30 @@ SEGMENT = 1 << 21
 HELD = 1 << 18  # pieces that a task remembers
 
 
+def _alphabet() -> dict[str, int]:
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = sorted(set(range(256)) - set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+_BYTES = _alphabet()
+
+
+def _token_bytes(token: str) -> bytes:
+    """The bytes that a token of a byte-level vocabulary stands for."""
+    return bytes(_BYTES[c] for c in token) if _BYTES.keys() >= set(token) else token.encode()
+
+
+def joining(vocabulary: list[str]) -> list[bytes]:
+    """The shortest tokens with a space after the first byte; all others hold one of them."""
+    found: list[bytes] = [b"  "]
+    spaced = {t for t in map(_token_bytes, vocabulary) if b" " in t[1:]}
+    for token in sorted(spaced, key=lambda t: (len(t), t)):
+        if not any(f in token for f in found):
+            found.append(token)
+    return found
+
+
 class PieceEncoder:
     """Ids of texts by way of their pieces; a task's memory of pieces is bounded."""
 
@@ -45,7 +69,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = joining(list(self.tokenizer.get_vocab())) + [t.encode() for t in special]
         self.forget()
 
     def forget(self) -> None:
@@ -72,9 +97,10 @@ class PieceEncoder:
         """Ids of all texts one after the other, and each text's bounds in them."""
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        whole = pc.match_substring(texts, "  ")
-        for string in self.special:
-            whole = pc.or_(whole, pc.match_substring(texts, string))
+        data = texts.cast(pa.binary())
+        whole = pc.match_substring(data, self.whole[0])
+        for string in self.whole[1:]:
+            whole = pc.or_(whole, pc.match_substring(data, string))
         whole = np.asarray(whole).astype(bool)
         if whole.any():
             return self._mixed(texts, whole)

@@ -31,6 +31,18 @@ def test_pieces_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
             assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_tokens_across_a_space(tokenizer):
+    encoder = tokens.PieceEncoder(PATH)
+    texts = ["a" + " \u00a0" * n + end for n in range(1, 19) for end in ("", " ", " b", "b", "\u00a0")] + ["plain text", "\u00a0 \u00a0 x", "\t \t \n \n a"]
+    for token in tokenizer.get_vocab():
+        raw = tokens._token_bytes(token)
+        if b" " in raw[1:]:
+            texts += [start + raw.decode() + end for start in ("", "a", " ") for end in ("", "b", " b")]
+    ids, at = encoder.encode(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_coder_round_trips():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 511, 513, 3000, 40_000):
