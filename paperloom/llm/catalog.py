@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.llm import chat, classifier, decontaminate, lines, mix, quality, shard, simhash, suffix, tokens
+from paperloom.llm import chat, classifier, counts, decontaminate, infill, lines, mix, negatives, quality, shard, simhash, suffix, tokens
 from paperloom.llm.store import ORACLE, QUERIES, Query
 
-__all__ = ["chat", "classifier", "decontaminate", "lines", "mix", "quality", "shard", "simhash", "suffix", "tokens", "queries", "oracle_sql"]
+__all__ = ["chat", "classifier", "counts", "decontaminate", "infill", "lines", "mix", "negatives", "quality", "shard", "simhash", "suffix", "tokens", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:
