@@ -68,6 +68,8 @@ DOCUMENT_TYPE_LABELS = {
 # --- search sentences ------------------------------------------------------------------
 
 SEARCH_TOOLS = ("vectorSearch", "titleSearch", "keywordSearch")
+DOCUMENT_TASK = "RETRIEVAL_DOCUMENT"
+QUERY_TASK = "RETRIEVAL_QUERY"
 NO_HITS = ("「", "」に一致する文書は見つかりませんでした。別のキーワードで検索してみてください。")
 HITS = ("「", "」で", "件のチャンクが見つかりました。\n\n関連文書:\n")
 TITLE_BULLET = "・"

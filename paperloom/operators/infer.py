@@ -97,7 +97,7 @@ def infer_embedding(
     df: DataFrame,
     content: Column | str,
     model: EmbeddingModel,
-    task_type: str = "RETRIEVAL_DOCUMENT",
+    task_type: str = fixed.DOCUMENT_TASK,
     name: str = "chunk_embedding",
     workers: int | None = None,
 ) -> DataFrame:
@@ -307,3 +307,14 @@ class HashingEmbedder:
         if norm == 0:
             vector[0], norm = 1.0, 1.0
         return (vector / norm).astype(np.float32)
+
+
+class LetterEmbedder:
+    """How often each letter occurs; a query says only whether it does. Plain enough for SQL."""
+
+    def __init__(self, letters: str = "etaoinsrhldcumfpgwybvkxjqz"):
+        self.letters, self.width = letters, len(letters)
+
+    def embed(self, texts, task_type):
+        most = 1 if task_type == fixed.QUERY_TASK else None
+        return [None if t is None else [float(t.count(c) if most is None else min(t.count(c), most)) for c in self.letters] for t in texts]

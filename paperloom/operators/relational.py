@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperloom.session import cut_lineage
+
 
 def null_facts(keys: DataFrame, column: str) -> tuple[Column, Column]:
     """Row count and NULL count of a key column, as one one-row scalar subquery."""
@@ -81,6 +84,21 @@ def ordered_text(value: Column | str, separator: str, order: str) -> Column:
     return F.array_join(F.transform(pairs, lambda p: p["v"]), separator)
 
 
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``df``, written once, with gapless numbers from 0 as ``number``, and how many rows there are.
+
+    The rows are not moved: each partition's count, the only thing that reaches the driver, says
+    where its numbers start.
+    """
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), label)
+    part, place = F.shiftright("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
+    counts = sorted(tuple(r) for r in rows.groupBy(part.alias("part")).count().collect())
+    starts = list(accumulate([n for _, n in counts], initial=0))
+    offsets = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(counts, starts)], "_part long, _start long")
+    found = rows.join(F.broadcast(offsets), part == F.col("_part"))
+    return found.withColumn("number", F.col("_start") + place).drop("_row", "_part", "_start"), starts[-1]
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores when a scan yields fewer partitions than there are.
 

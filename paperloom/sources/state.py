@@ -207,7 +207,8 @@ def _without(target: DataFrame | None, drop: DataFrame | None) -> DataFrame | No
 
 
 class DatedTable:
-    """A table in one folder per day; a merge rewrites only the days it touches.
+    """A table in one folder per day, or per value of another column; a merge rewrites only the
+    days it touches.
 
     Touched are the days of the new rows and the days that hold an older copy of one, or a
     row to drop; they are found on the key columns alone. The merged rows are written to the
@@ -215,9 +216,11 @@ class DatedTable:
     replaced and a repeated merge ends in the same table. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], day: str, cluster: Sequence[str] = ()):
+    def __init__(
+        self, spark: SparkSession, path: str, keys: Sequence[str], day: str, cluster: Sequence[str] = (), day_type: str = "date"
+    ):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
-        self.day, self.cluster = day, list(cluster)
+        self.day, self.cluster, self.day_type = day, list(cluster), day_type
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -230,8 +233,8 @@ class DatedTable:
             return None
         rows = self.spark.read.parquet(self.path)
         # A table of undated rows only has no folder name to infer the type from.
-        typed = rows.schema[self.day].dataType.typeName() == "date"
-        return rows if typed else rows.withColumn(self.day, F.col(self.day).cast("date"))
+        typed = rows.schema[self.day].dataType.typeName() == self.day_type
+        return rows if typed else rows.withColumn(self.day, F.col(self.day).cast(self.day_type))
 
     def overwrite(self, df: DataFrame) -> DataFrame:
         """Replace the whole table. ``df`` may read it: its rows are written aside first."""
