@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.store import query, table, written
+from paperloom.operators.relational import numbered
 
 POSITIVES = 5
 NEGATIVES = 5
@@ -226,16 +227,13 @@ def _usable(rows: DataFrame, id_column: str, vector_column: str, label: Column)
     return rows.where("label IS NOT NULL AND vec_id IS NOT NULL AND vector IS NOT NULL").where(fine)
 
 
-def _parts(anchors: DataFrame, numbers: int) -> tuple[DataFrame, list[int]]:
-    """The anchors in numbered parts of ``numbers`` components at most, and the parts' numbers."""
-    width, n = anchors.agg(F.max(F.size("vector")), F.count(F.lit(1))).first()
+def _parts(anchors: DataFrame, numbers: int) -> Iterator[DataFrame]:
+    """The anchors in parts of ``numbers`` components at most."""
+    anchors, n = numbered(anchors, "negative-anchors")
+    width = anchors.agg(F.max(F.size("vector"))).first()[0]
     most = max(1, numbers // max(1, width or 0))
-    dealt = anchors.repartition(max(1, -(-n // most)), "place").withColumn("row", F.monotonically_increasing_id())
-    row_bits = (1 << 33) - 1
-    # A partition may be somewhat over the limit: its rows are counted into parts.
-    part = F.struct(F.shiftright("row", 33).alias("partition"), F.floor(F.col("row").bitwiseAND(row_bits) / most).alias("turn"))
-    dealt = written(dealt.withColumn("part", part).drop("row"), "negative-anchors")
-    return dealt, [tuple(r.part) for r in dealt.select("part").distinct().collect()]
+    for start in range(0, n, most):
+        yield anchors.where((F.col("number") >= start) & (F.col("number") < start + most)).drop("number")
 
 
 def hard_negatives(
@@ -248,10 +246,8 @@ def hard_negatives(
     held = _usable(rows, id_column, vector_column, F.col("label") if label is None else label)
     held = held.repartitionByRange("label", F.xxhash64("vec_id", "vector")).withColumn("place", F.monotonically_increasing_id())
     held = written(held.sortWithinPartitions("label").select("label", "vec_id", "place", "vector"), "negative-rows")
-    anchors, parts = _parts(held.where(is_anchor), numbers)
     found = None
-    for partition, turn in parts:
-        own = anchors.where((F.col("part.partition") == partition) & (F.col("part.turn") == turn)).drop("part")
+    for own in _parts(held.where(is_anchor), numbers):
         sent = own.toArrow()
         labels, ids, places = (sent.column(k).to_numpy() for k in range(3))
         vectors = _matrix(sent.column(3).combine_chunks())

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import texts as T
@@ -209,197 +209,18 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHING
     return prints.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
 
 
-# --- near copies by shingle similarity ---------------------------------------------------
-
-#: Words of a shingle.
-COPY_SHINGLE = 5
-#: One text in so many is asked which shingles are frequent; that orders the shingles, nothing else.
-SAMPLED = 16
-#: Buckets of up to so many texts are compared whole at once; a larger one first meets one text a turn.
-WHOLE, TURNS = 32, 4
-#: A bucket's rows are paired with as many neighbours by ``_neighbours``.
-NEIGHBOURS = 31
-
-
-def _numbered_shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A number for every shingle of hashed words; the whole sequence where there are fewer."""
-    found, whole = T.windows(hashes, bounds, size)
-    found, own = found[whole], T.owners(bounds)[: len(found)][whole]
-    n = np.diff(bounds)
-    few = np.flatnonzero((n > 0) & (n < size))
-    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], n)
-    run = T.mix64(hashes + place.astype(np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(run, dtype=np.uint64)])
-    found = np.concatenate([found, T.mix64(total[bounds[few + 1]] - total[bounds[few]])])
-    own = np.concatenate([own, few])
-    order = np.argsort(own, kind="stable")
-    return found[order], np.searchsorted(own[order], np.arange(len(n) + 1))
-
-
-def _shingle_sets(texts: pa.Array, often: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles, rare ones first, and its bounds in them; a text without
-    words has shingle 0."""
-    flat, bounds = T.words(pc.ascii_lower(texts))
-    distinct, codes = T.coded(flat)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct.cast(pa.binary()).to_pylist(), repeat(SEED)), np.uint64, len(distinct))[codes]
-    found, at = _numbered_shingles(hashes, bounds, COPY_SHINGLE)
-    none = np.flatnonzero(np.diff(at) == 0)
-    found, own = np.concatenate([found, np.zeros(len(none), np.uint64)]), np.concatenate([T.owners(at), none])
-    times = np.zeros(len(found), np.int64)
-    if often is not None and len(often[0]):
-        place = np.minimum(np.searchsorted(often[0], found), len(often[0]) - 1)
-        times = np.where(often[0][place] == found, often[1][place], 0)
-    order = np.lexsort((found, times, own))
-    found, own = found[order], own[order]
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (own[1:] != own[:-1])
-    return found[new], np.searchsorted(own[new], np.arange(len(bounds)))
-
-
-def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
-
-
-def _listed(batches):
-    for batch in T.slices(batches, 4 << 20):
-        yield pa.RecordBatch.from_arrays([pa.array(_shingle_sets(T.column(batch, "text"))[0].view(np.int64))], ["shingle"])
-
-
-def _set_of(batches):
-    for batch in T.slices(batches, 4 << 20):
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*_shingle_sets(T.column(batch, "text")))], ["node", "shingles"])
-
-
-def _prefixed(often):
-    """The rarest fifth of each text's shingles, one more than a near copy may lack."""
-
-    def run(batches):
-        for batch in T.slices(batches, 4 << 20):
-            found, at = _shingle_sets(T.column(batch, "text"), often.value)
-            n = np.diff(at)
-            taken = n - (4 * n + 4) // 5 + 1
-            inside = np.arange(len(found)) - np.repeat(at[:-1], n) < np.repeat(taken, n)
-            prefix = _lists(found[inside], np.concatenate([[0], np.cumsum(taken)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), prefix], ["place", "digest", "n", "prefix"])
-
-    return run
-
-
-def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of the texts, sorted, and how often they occur."""
-    # A share of the texts as least count bounds the list, however many texts there are.
-    least = max(4, rows.count() // (SAMPLED * 4096))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text")
-    found = sample.mapInArrow(_listed, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
-    found = found.where(F.col("times") >= least).toArrow()
-    shingles, times = found.column("shingle").to_numpy().view(np.uint64), found.column("times").to_numpy()
-    order = np.argsort(shingles)
-    return shingles[order], times[order]
-
-
-def _may_be_near(a: str, b: str) -> Column:
-    """Whether two texts can have a similarity of 0.8 if no shingle before this one is in both."""
-    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
-    return 9 * left >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
-
-
-def _pairs(rows: DataFrame, other: Column) -> DataFrame:
-    """Pairs (u, v) of rows ``a`` and ``b`` of one bucket that may be near."""
-    both = rows.alias("a").join(rows.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & other & _may_be_near("a", "b"))
-    return both.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-
-
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have a Jaccard index of 0.8 or more."""
-    for node, own in (("u", "a"), ("v", "b")):
-        pairs = pairs.join(sets.select(F.col("node").alias(node), F.col("shingles").alias(own)), node)
-    return pairs.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
-
-
-def _neighbours(batches):
-    """Pairs of rows of one bucket: all pairs of a small one, neighbours and the first of a large one."""
-    held = None
-    for batch in batches:
-        bucket, node = (np.asarray(c) for c in batch.columns[:2])
-        first = np.arange(len(bucket))
-        new = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, bool)
-        first = node[np.maximum.accumulate(np.where(new, first, 0))] if len(bucket) else node
-        begin = 0
-        if held is not None and len(bucket):
-            old_bucket, old_node, old_first = held
-            first = np.where(bucket == old_bucket[-1], old_first[-1], first)
-            bucket, node, first = np.concatenate([old_bucket, bucket]), np.concatenate([old_node, node]), np.concatenate([old_first, first])
-            begin = len(old_node)
-        left, right = [first[begin:]], [node[begin:]]
-        for d in range(1, min(NEIGHBOURS, len(bucket) - 1) + 1):
-            at = np.flatnonzero(bucket[d:] == bucket[:-d])
-            at = at[at + d >= begin]
-            if not len(at):
-                break
-            left.append(node[at])
-            right.append(node[at + d])
-        u, v = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1)[u != v], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-        if len(bucket):
-            held = bucket[-NEIGHBOURS:], node[-NEIGHBOURS:], first[-NEIGHBOURS:]
-
-
-def near_copies(rows: DataFrame) -> DataFrame:
-    """(place, root) of (place, text): texts whose sets of five-word shingles have a Jaccard index
-    of 0.8 or more are linked, directly or over others; ``place`` is unique.
-
-    Two such texts share at least four fifths of each one's shingles. So in any one order of all
-    shingles the first that both have is among the first fifth (and one) of either text: texts
-    meet in the buckets of those shingles, and none of these pairs is missed. The order puts
-    shingles that are frequent in a sample last, which keeps buckets small. What meets is
-    compared by the exact overlap of the two sets in a join. Buckets of up to ``WHOLE`` texts are
-    compared whole. In a larger one all texts first meet one of them a turn; after ``TURNS``
-    turns, texts that are not linked by then are compared with all others. Equal texts count as one."""
-    often = rows.sparkSession.sparkContext.broadcast(_often(rows))
-    sketches = rows.select("place", F.md5("text").alias("digest"), "text")
-    sketches = written(sketches.mapInArrow(_prefixed(often), "place bigint, digest string, n bigint, prefix array<bigint>"), "copy-sketches")
-    nodes = sketches.groupBy("digest").agg(F.min("place").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = written(nodes, "copy-texts")
-    meeting = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
-    sizes = meeting.groupBy(F.col("shingle").alias("s_shingle")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    meeting = written(meeting.join(sizes, F.col("shingle") == F.col("s_shingle")).drop("s_shingle"), "copy-buckets")
-    large = meeting.where(F.col("size") > WHOLE)
-    pairs = written(_pairs(meeting.where(F.col("size") <= WHOLE), F.col("a.node") < F.col("b.node")), "copy-pairs")
-    wanted = pairs.select("u").union(pairs.select("v")).union(large.select("node")).toDF("w_node").distinct()
-    sets = rows.join(wanted, F.col("place") == F.col("w_node"), "left_semi").select("place", "text")
-    sets = written(sets.mapInArrow(_set_of, "node bigint, shingles array<bigint>"), "copy-sets")
-    links, turn = written(_near(pairs, sets), "copy-links"), 0
-    while True:
-        roots = written(components(links), "copy-roots")
-        roots = roots.select(F.col("node").alias("r_node"), "root")
-        placed = large.join(roots, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("r_node")
-        first = F.min_by(F.struct("node", "n", "at", "root"), F.xxhash64("node", F.lit(turn)))
-        unlinked = placed.groupBy(F.col("shingle").alias("o_shingle")).agg(F.min("root").alias("low"), F.max("root").alias("high"), first.alias("b"))
-        unlinked = unlinked.where("low < high").select("o_shingle", "b")
-        placed = written(placed.join(unlinked, F.col("shingle") == F.col("o_shingle")).drop("o_shingle"), "copy-unlinked")
-        if turn > TURNS or placed.isEmpty():
-            break
-        if turn < TURNS:
-            met = placed.select(F.struct("node", "n", "at", "root").alias("a"), "b").where((F.col("a.root") != F.col("b.root")) & _may_be_near("a", "b"))
-            new = met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-        else:
-            new = _pairs(placed.drop("b"), F.col("a.root") < F.col("b.root"))
-        links = links.unionByName(written(_near(new, sets), "copy-links"))
-        turn += 1
-    texts = nodes.select("digest", "node").join(roots, F.col("node") == F.col("r_node"), "left")
-    texts = texts.select(F.col("digest").alias("t_digest"), F.coalesce("root", "node").alias("root"))
-    return sketches.select("place", "digest").join(texts, F.col("digest") == F.col("t_digest")).select("place", "root")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one of the smallest id (nulls last)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), text.alias("text"))
-    rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "copy-rows")
-    groups = near_copies(rows.select("place", "text"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
-    kept = rows.select("place", "doc_id").join(groups, "place").groupBy("root").agg(first.alias("first"))
+    """``docs`` with one row of each near-duplicate component: the one of the smallest id (nulls last).
+
+    Texts without words (null, empty or white space) have fingerprint zero and are one component
+    like any other, so one row of them stays. Of repeated rows one stays. An empty table gives an
+    empty result, and all columns are carried.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    rows = written(rows.select("row", "id", F.monotonically_increasing_id().alias("place")), "simhash-rows")
+    groups = near_groups(rows.select("place", "row.text"), "place").select(F.col("doc_id").alias("place"), "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place"))
+    kept = rows.select("place", "id").join(groups, "place").groupBy("component_id").agg(first.alias("first"))
     return rows.join(kept.select(F.col("first.place").alias("place")), "place", "left_semi").select("row.*")
 
 
