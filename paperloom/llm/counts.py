@@ -1,13 +1,14 @@
 """Token counts of whole texts: batches go to the tokenizer's library and only lengths come back.
 
-Texts are gathered into batches of about ``BATCH`` bytes, whatever their number. A text of more
-than ``PIECE`` characters is split at safe boundaries, so the library never holds the encoding of
-a long text; the pieces' lengths are added up. A boundary is safe where the vocabulary's own rule
-always starts a new word: before an ASCII white space that follows a letter, digit, mark or sign,
-or between a letter and a punctuation mark of the stable sets below. That rule is the byte-level
-pattern's, which looks at no character before the word; a file with another rule, with a
-normaliser, or a sentencepiece model is given whole texts. A stretch without a boundary stays in
-one piece.
+Texts are split at safe boundaries and the pieces' lengths added up, so the library never holds
+the encoding of a long text, and a piece that a task has met before is not encoded again. The
+other pieces are gathered into batches of about ``BATCH`` bytes, whatever their number. A boundary
+is safe where the vocabulary's own rule always starts a new word: before an ASCII white space that
+follows a letter, digit, mark or sign, or between a letter and a punctuation mark of the stable
+sets below. Texts are cut before every space behind an ASCII sign; a piece that is then longer
+than ``PIECE`` characters is cut at the other boundaries too, and a stretch without any stays in
+one piece. That rule is the byte-level pattern's, which looks at no character before the word; a
+file with another rule, with a normaliser, or a sentencepiece model is given whole texts.
 
 ``.json`` files are read by ``tokenizers``, ``.model`` files by ``sentencepiece``; no begin, end or
 other special tokens are added, special strings inside texts count as the library counts them by
@@ -35,6 +36,7 @@ from paperloom.llm.store import query, table
 
 BATCH = 1 << 20
 PIECE = 1 << 15
+HELD = 1 << 20  # pieces whose lengths a task remembers: some 100 MB
 LIMIT = 512
 
 #: Letters and marks that every version of the character tables agrees on.
@@ -79,7 +81,20 @@ def _lengths(path: str) -> Callable[[list[str]], list[int]]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut before every space behind an ASCII sign, and the text that each part is of."""
+    data, bounds = T.raw(texts)
+    start = np.zeros(len(data), bool)
+    if len(data):
+        start[1:] = (data[1:] == 32) & (data[:-1] > 32) & (data[:-1] < 127)
+        start[bounds[:-1][np.diff(bounds) > 0]] = True
+    starts = np.flatnonzero(start)
+    ends = np.append(starts, len(data)).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return parts, np.searchsorted(bounds, starts, side="right") - 1
 
 
 def _filled(texts: Iterator[tuple[int, str]], batch: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -96,18 +111,42 @@ def _filled(texts: Iterator[tuple[int, str]], batch: int) -> Iterator[tuple[list
         yield owners, held
 
 
+class Counter:
+    """Numbers of tokens of texts; a task's memory of pieces is bounded."""
+
+    def __init__(self, path: str, piece: int, batch: int):
+        self.lengths, self.piece, self.batch = _lengths(path), piece, batch
+        self.split = path.endswith(".json") and splits_safely(path)
+        self.known: dict[str, int] = {}
+
+    def _sums(self, texts: list[str], split: bool) -> np.ndarray:
+        counts = np.zeros(len(texts), np.int64)
+        parts = ((k, p) for k, t in enumerate(texts) for p in (pieces(t, self.piece) if split else (t,)))
+        for owners, held in _filled(parts, self.batch):
+            np.add.at(counts, owners, self.lengths(held))
+        return counts
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        if not self.split:
+            return self._sums(texts.to_pylist(), False)
+        parts, owners = words(texts)
+        distinct, codes = T.coded(parts)
+        distinct = distinct.to_pylist()
+        if len(self.known) + len(distinct) > HELD:
+            self.known.clear()
+        new = [p for p in distinct if p not in self.known]
+        self.known.update(zip(new, self._sums(new, True).tolist(), strict=True))
+        sizes = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        return np.bincount(owners, weights=sizes[codes], minlength=len(texts)).astype(np.int64)
+
+
 def _counted(path: str, piece: int, batch_size: int):
     def run(batches):
-        lengths = _lengths(path)
-        split = path.endswith(".json") and splits_safely(path)
-        for batch in T.slices(batches, 8 * batch_size):
+        counter = Counter(path, piece, batch_size)
+        for batch in T.slices(batches, 4 * batch_size):
             texts = T.column(batch, "text")
-            counts = np.zeros(len(texts), np.int64)
-            parts = ((k, p) for k, t in enumerate(texts) for p in (pieces(t.as_py(), piece) if split else (t.as_py(),)))
-            for owners, held in _filled(parts, batch_size):
-                np.add.at(counts, owners, lengths(held))
             sizes = pc.binary_length(texts).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counter.counts(texts))], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from paperloom.llm import counts
@@ -30,6 +31,18 @@ def test_pieces_add_up_to_whole_texts(whole):
     assert cuts > 3000
 
 
+@pytest.mark.parametrize("held", [counts.HELD, 20])
+def test_words_add_up_to_whole_texts(whole, monkeypatch, held):
+    monkeypatch.setattr(counts, "HELD", held)
+    rng = random.Random(5)
+    counter = counts.Counter(P.path("byte_bpe_50k.json"), 9, 100)
+    for _ in range(60):
+        texts = ["".join(rng.choices([*PARTS, " ", " a"], k=rng.randint(0, 30))) for _ in range(rng.randint(0, 25))]
+        parts, owners = counts.words(pa.array(texts, pa.string()))
+        assert ["".join(p.as_py() for p, o in zip(parts, owners) if o == k) for k in range(len(texts))] == texts
+        assert counter.counts(pa.array(texts, pa.string())).tolist() == list(map(whole, texts))
+
+
 def test_a_stretch_without_a_boundary_stays_whole():
     assert list(counts.pieces("a" * 100 + " b", 10)) == ["a" * 100, " b"]
     assert list(counts.pieces("<|endoftext|>" * 9, 3)) == ["<|endoftext|>" * 9]
