@@ -91,8 +91,13 @@ def event_counts(df: DataFrame, side: str, result: str = "llm_result") -> DataFr
     )
     return (
         rows.where("n > 0")
-        .groupBy("document_id", f"{side}_raw")
-        .agg(F.max("n").cast("long").alias(f"{side}_event_count"), F.sum("v").alias(f"{side}_valid_dates"))
+        .groupBy("document_id", F.md5(f"{side}_raw").alias("_raw"))
+        .agg(
+            F.any_value(f"{side}_raw").alias(f"{side}_raw"),
+            F.max("n").cast("long").alias(f"{side}_event_count"),
+            F.sum("v").alias(f"{side}_valid_dates"),
+        )
+        .drop("_raw")
     )
 
 

@@ -11,6 +11,7 @@ from paperloom import fixed
 from paperloom.functions import dates, json
 from paperloom.functions.metadata import meta_value, modified_or, stored_document_id
 from paperloom.functions.text import (
+    let,
     byte_size_label,
     form_encode,
     last_segment,
@@ -144,6 +145,32 @@ def list_page(
     return rows.orderBy(F.col("publish_date").desc_nulls_last(), "document_id").offset(offset).limit(limit)
 
 
+def list_after(
+    documents: DataFrame,
+    after: tuple[dt.date | str | None, str] | None = None,
+    document_type: str | None = None,
+    start: dt.date | str | None = None,
+    end: dt.date | str | None = None,
+    limit: int = fixed.PAGE_LIMIT,
+) -> DataFrame:
+    """The page that follows the row of ``after`` = (publish_date, document_id); None is the first.
+
+    Same order and pages as ``list_page``, but the rows before are filtered out in the scan, by
+    their date already where the table is kept by date, in place of being sorted and skipped.
+    """
+    rows = documents
+    if after is not None:
+        day, last = after
+        undated = F.col("publish_date").isNull()
+        if day is None:
+            rows = rows.where(undated & (F.col("document_id") > last))
+        else:
+            at = F.lit(day).cast("date")
+            rows = rows.where(undated | (F.col("publish_date") <= at))
+            rows = rows.where(undated | (F.col("publish_date") < at) | (F.col("document_id") > last))
+    return list_page(rows, document_type, start, end, limit=limit)
+
+
 def sort_documents(documents: DataFrame, document_type: str | None = None) -> DataFrame:
     """Publish date descending with undated last; undated ones by update time."""
     rows = documents if document_type is None else documents.where(F.col("document_type") == document_type)
@@ -183,28 +210,48 @@ def event_items(result: Column | str) -> Column:
     return json.objects(result, "events", ["event_date", "event_time", "event_title", "event_description"])
 
 
-def extract_events(generated: DataFrame, extracted_at: Column, result: str = "llm_result") -> DataFrame:
+def _longest_items(items: Column) -> Column:
+    """The valid items of one result, sorted, of items alike in date, clock and title the one of
+    the longest description (ties by the description, null last)."""
+    valid = F.filter(items, lambda e: dates.safe_date(e["event_date"]).isNotNull() & not_blank(e["event_title"]))
+
+    def keyed(e: Column) -> Column:
+        text = e["event_description"]
+        return F.struct(
+            F.struct(e["event_date"].alias("date"), F.coalesce(e["event_time"], F.lit("")).alias("clock"), e["event_title"].alias("title")).alias("key"),
+            (-F.coalesce(F.length(text), F.lit(-1))).alias("shorter"),
+            text.alias("event_description"),
+            e["event_time"].alias("event_time"),
+        )
+
+    def first(rows: Column) -> Column:
+        return F.filter(rows, lambda e, i: ~e["key"].eqNullSafe(F.get(rows, i - 1)["key"]))
+
+    return let(F.array_sort(F.transform(valid, keyed)), first)
+
+
+def extract_events(generated: DataFrame, extracted_at: Column, result: str = "llm_result", unique_ids: bool = False) -> DataFrame:
     """Typed events out of model results, the most detailed of equal events kept.
 
-    Date and title are part of the dedupe key, so dropping bad dates and blank titles first
-    gives the same rows as dropping them afterwards and shuffles less. Equal lengths are
-    settled by the description itself.
+    Equal events of one result are settled inside its array, before it is exploded. With
+    ``unique_ids``, which says that a document has one result, that is all and nothing is
+    shuffled; otherwise what is left of several results meets by document, date, clock and title.
     """
-    events = generated.select("document_id", F.explode(event_items(result)).alias("e")).select(
+    events = generated.select("document_id", F.explode(_longest_items(event_items(result))).alias("e"))
+    longest = events.select(
         "document_id",
-        F.col("e.event_date").alias("event_date_str"),
+        F.col("e.key.date").alias("event_date_str"),
         F.col("e.event_time").alias("event_time_str"),
-        "e.event_title",
+        F.col("e.key.clock").alias("clock"),
+        F.col("e.key.title").alias("event_title"),
         "e.event_description",
     )
-    valid = events.where(dates.safe_date("event_date_str").isNotNull() & not_blank("event_title")).withColumn(
-        "clock", F.coalesce("event_time_str", F.lit(""))
-    )
-    longest = top_per_group(
-        valid,
-        ["document_id", "event_date_str", "clock", "event_title"],
-        [F.length("event_description").desc_nulls_last(), F.col("event_description").asc_nulls_last()],
-    )
+    if not unique_ids:
+        longest = top_per_group(
+            longest,
+            ["document_id", "event_date_str", "clock", "event_title"],
+            [F.length("event_description").desc_nulls_last(), F.col("event_description").asc_nulls_last()],
+        )
     return longest.select(
         "document_id",
         "event_title",

@@ -58,8 +58,17 @@ def row_differences(expected: DataFrame, actual: DataFrame, columns: Sequence[st
 
 @dataclass(frozen=True)
 class Check:
+    """Failing rows under a name. A check of single rows also says of which ``table`` they are and
+    by which ``condition``, so that all checks of one table can be counted together."""
+
     name: str
     failing: DataFrame
+    table: DataFrame | None = None
+    condition: Column | None = None
+
+
+def _row_check(name: str, df: DataFrame, condition: Column) -> Check:
+    return Check(name, df.where(condition), df, condition)
 
 
 def table_checks(
@@ -69,21 +78,38 @@ def table_checks(
     not_null: Sequence[str] = (),
     not_null_where: dict[str, str] | None = None,
     foreign: Sequence[tuple[str, DataFrame, str]] = (),
+    accepted: dict[str, Sequence] | None = None,
 ) -> list[Check]:
     """The checks declared for one table."""
     out = [Check(f"{name}.{c}.unique", duplicate_keys(df, [c])) for c in unique]
-    out += [Check(f"{name}.{c}.not_null", null_rows(df, c)) for c in not_null]
-    out += [Check(f"{name}.{c}.not_null_where", null_rows(df, c, w)) for c, w in (not_null_where or {}).items()]
+    out += [_row_check(f"{name}.{c}.not_null", df, F.col(c).isNull()) for c in not_null]
+    for c, w in (not_null_where or {}).items():
+        out.append(_row_check(f"{name}.{c}.not_null_where", df, F.col(c).isNull() & F.expr(w)))
+    for c, values in (accepted or {}).items():
+        out.append(_row_check(f"{name}.{c}.accepted_values", df, F.col(c).isNotNull() & ~F.col(c).isin(*values)))
     out += [Check(f"{name}.{c}.relationship", orphan_keys(df, c, p, pc)) for c, p, pc in foreign]
     return out
 
 
 def run_checks(checks: Sequence[Check]) -> DataFrame:
-    """One row per check: failing row count and status."""
-    rows = None
+    """One row per check: failing row count and status.
+
+    All checks on single rows of one table are one aggregate over one scan of it; a key that must
+    be unique or known elsewhere takes a scan of its own.
+    """
+    together: dict[int, list[Check]] = {}
+    parts = []
     for c in checks:
-        one = c.failing.agg(F.count("*").alias("failures")).select(F.lit(c.name).alias("check_name"), "failures")
-        rows = one if rows is None else rows.unionByName(one)
+        if c.condition is None:
+            parts.append(c.failing.agg(F.count("*").alias("failures")).select(F.lit(c.name).alias("check_name"), "failures"))
+        else:
+            together.setdefault(id(c.table), []).append(c)
+    for some in together.values():
+        counts = [F.struct(F.lit(c.name).alias("check_name"), F.count_if(c.condition).alias("failures")) for c in some]
+        parts.append(some[0].table.agg(F.array(*counts).alias("found")).selectExpr("inline(found)"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
     status = F.when(F.col("failures") == 0, F.lit("pass")).otherwise(F.lit("fail"))
     return rows.withColumn("status", status)
 

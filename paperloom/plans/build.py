@@ -18,6 +18,7 @@ from paperloom.operators.chunking import chunk_documents
 from paperloom.operators.infer import CLASSIFICATION, EVENTS, EXTRACTION, EmbeddingModel, TextModel
 from paperloom.operators.quality import Check, table_checks
 from paperloom.operators.relational import in_both
+from paperloom.operators.search import keyword_search_many, text_postings
 from paperloom.operators.vectors import ListIndex, build_ivf
 from paperloom.session import stored_copy
 from paperloom.sources import state, tables
@@ -141,6 +142,7 @@ class Build:
         self.events = self._table("events", ["event_id"], "event_date", ["document_id"])
         self.history = KeyedTable(spark, f"{self.root}/sync_history", ["event_id"])
         self.search_chunks = self._table("search_chunks", ["chunk_id"], "publish_date", ["document_id", "document_type"])
+        self.postings = self._table("postings", ["chunk_id", "token"], "publish_date", ["token"])
         self.synced_events = KeyedTable(spark, f"{self.root}/events_with_sync", ["event_id"])
 
     def _table(self, name: str, keys: list[str], day: str, cluster: list[str]) -> KeyedTable | DatedTable:
@@ -205,7 +207,11 @@ class Build:
                 gone_events = keep(old.join(stale, "document_id", "left_semi").select("event_id"), "old-events")
             events = save(self.events, keep(found, "events"), gone_events)
 
-            save(self.search_chunks, changed_search_chunks(embedded, documents, fresh_vectors, fresh_documents), gone)
+            changed = keep(changed_search_chunks(embedded, documents, fresh_vectors, fresh_documents), "search-chunks")
+            save(self.search_chunks, changed, gone)
+            touched = changed.select("chunk_id") if gone is None else changed.select("chunk_id").unionByName(gone)
+            words = text_postings(changed, ["chunk_id", "document_id", "chunk_index", "publish_date"], "chunk_text")
+            save(self.postings, keep(words, "postings"), touched)
             self.synced_events.overwrite(marts.events_with_sync(events, documents, self.sync_history(), as_of))
         for table in vars(self).values():
             if isinstance(table, KeyedTable):
@@ -219,6 +225,10 @@ class Build:
         """Inverted lists over the search chunks, only when there are enough of them."""
         return build_ivf(self.search_chunks.read(), path=path, **options)
 
+    def keyword_search_many(self, queries: DataFrame, **options) -> DataFrame:
+        """Batch search that looks keywords up in the stored postings."""
+        return keyword_search_many(self.search_chunks.read(), queries, postings=self.postings.read(), **options)
+
     def export(self, path: str, **calendar) -> None:
         """The three read-side shard sets."""
         tables.export_ndjson(marts.export_documents(self.documents.read()), f"{path}/documents", marts.DOCUMENT_EXPORT)

@@ -80,9 +80,10 @@ def _minutes(start: str, count: Column) -> Column:
     return F.lit(start).cast("timestamp") + F.make_interval(mins=count.cast("int"))
 
 
-def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File rows with metadata, as an object scan would give them, and their text."""
+def raw_documents(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
+    """File rows with metadata, as an object scan would give them, and their text or another one."""
     d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = d if text is None else d.withColumn("text", text)
     doc = F.col("doc_id").cast("string")
 
     def entry(name: str, value: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.queries import chunking, documents, events, feed, models, searching, tables
+from paperloom.queries import builds, chunking, documents, events, feed, models, searching, tables
 from paperloom.queries.base import ORACLE, QUERIES, Query
 
-__all__ = ["chunking", "documents", "events", "feed", "models", "searching", "tables", "oracle_sql", "queries"]
+__all__ = ["builds", "chunking", "documents", "events", "feed", "models", "searching", "tables", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Query]:

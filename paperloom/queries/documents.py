@@ -21,6 +21,7 @@ from paperloom.operators import marts
 from paperloom.queries import base
 from paperloom.queries.base import STAMP, query, strip_sql, table, with_ctes
 from paperloom.queries.tables import SOURCE_RULES, source_rules
+from paperloom.session import cut_lineage
 
 
 @query(
@@ -96,6 +97,24 @@ def _list_page(spark, sf):
     return page.select("document_id", "title", "document_type", F.col("publish_date").cast("string").alias("publish_date"))
 
 
+@query(
+    "list_after",
+    with_ctes(
+        base.CHUNKS,
+        base.DIM,
+        select="""
+SELECT document_id, title, document_type, strftime(publish_date, '%Y-%m-%d') AS publish_date FROM dim
+ORDER BY dim.publish_date DESC NULLS LAST, document_id LIMIT 20 OFFSET 20""",
+    ),
+)
+def _list_after(spark, sf):
+    """The second page, found from the last row of the first."""
+    documents = cut_lineage(base.documents_dim(spark, sf), "documents")
+    last = marts.list_after(documents).collect()[-1]  # one page
+    page = marts.list_after(documents, (last.publish_date, last.document_id))
+    return page.select("document_id", "title", "document_type", F.col("publish_date").cast("string").alias("publish_date"))
+
+
 @query(
     "sort_nulls_last",
     with_ctes(

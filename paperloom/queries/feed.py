@@ -10,7 +10,7 @@ from paperloom.operators import ingest, quality
 from paperloom.queries import base
 from paperloom.queries.base import STAMP, query, table, with_ctes
 from paperloom.session import scratch_path
-from paperloom.sources.state import KeyedTable
+from paperloom.sources.state import DatedTable
 from paperloom.streaming import jobs
 
 # --- feed: pages as media, their sites as letters ------------------------------------------------
@@ -362,29 +362,62 @@ def _byte_rate(spark, sf):
     return _alert_columns(alert, "event_type")
 
 
+def _event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("rate_alert_stream", _rate_sql("CAST(count(*) AS DOUBLE)", "60 seconds", 60, 0.01))
 def _rate_stream(spark, sf):
     """The same alert computed by a stream over the event file, kept by window."""
-    schema = table(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    alerts = jobs.rate_alert(rows, "ts", threshold=0.01, late="10 minutes")
-    store = KeyedTable(spark, scratch_path(spark, "alerts"), ["window_start"])
-    run = (
-        alerts.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, _: store.merge(batch))
-        .option("checkpointLocation", scratch_path(spark, "alerts-checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    rows = _event_stream(spark, sf)
+    store = DatedTable(spark, scratch_path(spark, "alerts"), ["window_start"], "day")
+    jobs.alert_stream(rows, "ts", store, scratch_path(spark, "alerts-checkpoint"), threshold=0.01).awaitTermination()
+    return _alert_columns(store.read())
+
+
+@query(
+    "closed_alerts",
+    f"""
+SELECT strftime(w, '{STAMP}') AS window_start, total, round(total / 60, 6) AS rate FROM (
+  SELECT time_bucket(INTERVAL '60 seconds', ts) AS w, CAST(count(*) AS DOUBLE) AS total FROM events GROUP BY ALL)
+WHERE total / 60 > 0.01 AND w + INTERVAL 60 SECONDS <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""",
+)
+def _closed_alerts(spark, sf):
+    """Alerts of the windows that the watermark has closed; each is given once and stays."""
+    rows = _event_stream(spark, sf)
+    store = DatedTable(spark, scratch_path(spark, "alerts"), ["window_start"], "day")
+    jobs.alert_stream(rows, "ts", store, scratch_path(spark, "alerts-checkpoint"), threshold=0.01, closed=True).awaitTermination()
     return _alert_columns(store.read())
 
 
+@query(
+    "withdrawn_alerts",
+    f"""
+SELECT strftime(w, '{STAMP}') AS window_start, event_type, round(total, 6) AS total, round(total / 3600, 6) AS rate FROM (
+  SELECT time_bucket(INTERVAL '1 hour', ts) AS w, event_type,
+         sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END) AS total FROM events GROUP BY ALL)
+WHERE total / 3600 > 0.02""",
+)
+def _withdrawn_alerts(spark, sf):
+    """Bytes per event type and hour after a second batch took every third event back: windows that
+    fall under the threshold by it are withdrawn."""
+    events = table(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    path = scratch_path(spark, "corrected-events")
+    events.drop("event_id").coalesce(1).write.parquet(path)
+    events.where("event_id % 3 = 0").withColumn("value", -F.col("value")).drop("event_id").coalesce(1).write.mode("append").parquet(path)
+    rows = spark.readStream.schema("event_type string, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(path)
+    store = DatedTable(spark, scratch_path(spark, "alerts"), ["window_start", "event_type"], "day")
+    run = jobs.alert_stream(rows, "ts", store, scratch_path(spark, "alerts-checkpoint"), "value", 0.02, "1 hour", "3650 days", ("event_type",))
+    run.awaitTermination()
+    return _alert_columns(store.read(), "event_type")
+
+
 @query("ingest_stream", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def _ingest_stream(spark, sf):
     """Order files merged into a keyed table by a stream that takes what is there and stops."""
-    store = KeyedTable(spark, scratch_path(spark, "order-store"), ["o_orderkey"])
+    store = DatedTable(spark, scratch_path(spark, "order-store"), ["o_orderkey"], "o_month")
     run = jobs.ingest_stream(
         spark,
         sf,
@@ -394,6 +427,7 @@ def _ingest_stream(spark, sf):
         pattern="orders.parquet",
         format="parquet",
         newest="o_orderdate",
+        prepare=lambda batch: batch.withColumn("o_month", F.trunc("o_orderdate", "MM")),
     )
     run.awaitTermination()
     return store.read().select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")

@@ -15,7 +15,7 @@ from paperloom.queries.events import results as event_results
 from paperloom.queries.tables import SOURCE_RULES, source_rules
 from paperloom.session import cut_lineage
 
-_WORDS = {"src1": "journal", "src2": "photo_album", "src3": "monthly_announcement", "src4": "monthly_lunch_info"}
+WORDS = {"src1": "journal", "src2": "photo_album", "src3": "monthly_announcement", "src4": "monthly_lunch_info"}
 
 RULES = f"""
 {SOURCE_RULES.strip()},
@@ -90,7 +90,7 @@ def _stage(spark, sf):
     )
 
 
-def _classified(spark, sf, words=_WORDS):
+def _classified(spark, sf, words=WORDS):
     dim = marts.document_dimension(base.chunks(spark, sf), base.staged(spark, sf))
     asked = infer.with_classification_prompt(dim, source_rules(spark, sf))
     return infer.infer_text(asked, "prompt", infer.KeywordClassifier(words), CLASSIFICATION)

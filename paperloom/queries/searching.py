@@ -56,7 +56,7 @@ def _title(spark, sf):
     return search.title_search(*base.stored(spark, sf), ["src7", "2025-0_-11"], limit=25)
 
 
-def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search message per text: two of its words and the name of its source."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("query_id"),
@@ -115,7 +115,7 @@ title_hits AS (
 
 @query("extract_keywords", with_ctes(QUERY_WORDS, select="SELECT query_id, array_to_string(keywords, '|') AS keywords FROM queries"))
 def _extract_keywords(spark, sf):
-    found = search.extract_keywords(_queries(spark, sf))
+    found = search.extract_keywords(messages(spark, sf))
     return found.select("query_id", F.array_join("keywords", "|").alias("keywords"))
 
 
@@ -140,7 +140,7 @@ def _tokenise(spark, sf):
 def _keyword_many(spark, sf):
     chunks = _search_chunks(spark, sf)
     index = cut_lineage(search.text_postings(chunks, ["document_id", "chunk_index"], "chunk_text"), "postings")
-    return search.keyword_search_many(chunks, _queries(spark, sf), postings=index)
+    return search.keyword_search_many(chunks, messages(spark, sf), postings=index)
 
 
 @query(
@@ -152,7 +152,7 @@ def _keyword_many(spark, sf):
 )
 def _semantic(spark, sf):
     """The chunks nearest in meaning to a text made of every document."""
-    found = search.semantic_search(_with_vectors(_search_chunks(spark, sf)), _queries(spark, sf), _MODEL)
+    found = search.semantic_search(_with_vectors(_search_chunks(spark, sf)), messages(spark, sf), _MODEL)
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -168,7 +168,7 @@ SELECT 'document', chunk_id, array_to_string(list_transform(v, lambda x: CAST(x
 )
 def _query_embedding(spark, sf):
     """The vectors themselves, of queries and of chunks, which a model tells apart by the task."""
-    asked = infer.infer_embedding(_queries(spark, sf), "message", _MODEL, fixed.QUERY_TASK, "v").select(F.lit("query").alias("kind"), F.col("query_id").cast("string").alias("id"), "v")
+    asked = infer.infer_embedding(messages(spark, sf), "message", _MODEL, fixed.QUERY_TASK, "v").select(F.lit("query").alias("kind"), F.col("query_id").cast("string").alias("id"), "v")
     held = infer.infer_embedding(base.chunks(spark, sf), "chunk_text", _MODEL, name="v").select(F.lit("document").alias("kind"), F.col("chunk_id").alias("id"), "v")
     numbers = F.transform("v", lambda x: x.cast("int").cast("string"))
     return asked.unionByName(held).select("kind", "id", F.array_join(numbers, ",").alias("vector"))
@@ -182,7 +182,7 @@ def _query_embedding(spark, sf):
     ),
 )
 def _title_many(spark, sf):
-    return search.title_search_many(*base.stored(spark, sf), _queries(spark, sf))
+    return search.title_search_many(*base.stored(spark, sf), messages(spark, sf))
 
 
 def _placed(hits: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _placed(hits: DataFrame) -> DataFrame:
 def _fused(spark, sf):
     """Hits by meaning, by title and by words; tools that are not searches have none."""
     chunks, documents = base.stored(spark, sf)
-    queries = cut_lineage(_queries(spark, sf), "messages")
+    queries = cut_lineage(messages(spark, sf), "messages")
     by_title = _placed(search.title_search_many(chunks, documents, queries))
     stored = _with_vectors(marts.denormalise_chunks(chunks, documents))
     by_text = _placed(search.keyword_search_many(stored, queries))
@@ -259,7 +259,7 @@ FROM queries q LEFT JOIN found f USING (query_id)""",
     ),
 )
 def _summarise(spark, sf):
-    return search.summarise_hits(search.extract_keywords(_queries(spark, sf)), _ranked(spark, sf))
+    return search.summarise_hits(search.extract_keywords(messages(spark, sf)), _ranked(spark, sf))
 
 
 _CONTEXT_SQL = """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates
+from paperloom.functions.metadata import meta_value
 from paperloom.operators import marts
 from paperloom.operators.relational import in_set, not_in
 from paperloom.queries import base
@@ -357,6 +358,27 @@ def _scan_objects(spark, sf):
     )
 
 
+@query(
+    "object_listing",
+    """
+SELECT doc_id % 64 AS shard, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size, 'text/plain' AS content_type,
+       md5(CAST(doc_id % 64 AS VARCHAR)) AS md5_hash, CAST(count(*) AS VARCHAR) AS n_texts
+FROM documents GROUP BY 1""",
+)
+def _object_listing(spark, sf):
+    """Text files written from all documents, listed with the hashes and metadata of a sidecar; none is opened."""
+    rows = table(spark, sf, "documents").select((F.col("doc_id") % 64).alias("shard"), F.coalesce("text", F.lit("")).alias("value"))
+    path = scratch_path(spark, "objects")
+    rows.repartition(64, "shard").write.partitionBy("shard").text(path)
+    shard = F.regexp_extract("uri", r"shard=(\d+)", 1)
+    listed = tables.scan_objects(spark, path, "*.txt", "text/plain", hash_content=False).select("uri", shard.alias("shard"))
+    counts = rows.groupBy(F.col("shard").cast("string").alias("shard")).agg(F.count("*").cast("string").alias("n"))
+    entry = F.array(F.struct(F.lit("n-texts").alias("name"), F.col("n").alias("value")))
+    sidecar = listed.join(counts, "shard").select("uri", F.md5("shard").alias("md5_hash"), entry.alias("metadata"))
+    found = tables.scan_objects(spark, path, "*.txt", "text/plain", sidecar)
+    return found.select(shard.cast("long").alias("shard"), "size", "content_type", "md5_hash", meta_value("metadata", "n-texts").alias("n_texts"))
+
+
 @query(
     "read_document_text",
     with_ctes(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom import fixed
 from paperloom.functions.metadata import modified_or
@@ -217,10 +219,10 @@ class DatedTable:
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, keys: Sequence[str], day: str, cluster: Sequence[str] = (), day_type: str = "date"
+        self, spark: SparkSession, path: str, keys: Sequence[str], day: str, cluster: Sequence[str] = ()
     ):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
-        self.day, self.cluster, self.day_type = day, list(cluster), day_type
+        self.day, self.cluster = day, list(cluster)
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -231,17 +233,20 @@ class DatedTable:
         fs, make = self._fs()
         if not fs.exists(make(f"{self.path}/_SUCCESS")):
             return None
-        rows = self.spark.read.parquet(self.path)
-        # A table of undated rows only has no folder name to infer the type from.
-        typed = rows.schema[self.day].dataType.typeName() == self.day_type
-        return rows if typed else rows.withColumn(self.day, F.col(self.day).cast(self.day_type))
+        # The schema is stored: neither a table without rows nor one of undated rows has files to tell it.
+        kept = self.spark.read.text(f"{self.path}-schema").first()
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(kept[0]))).parquet(self.path)
 
     def overwrite(self, df: DataFrame) -> DataFrame:
         """Replace the whole table. ``df`` may read it: its rows are written aside first."""
+        fields = [f for f in df.schema if f.name != self.day] + [T.StructField(self.day, df.schema[self.day].dataType)]
+        schema = self.spark.createDataFrame([(T.StructType(fields).json(),)], "schema string")
         if self.read() is None:
+            schema.coalesce(1).write.mode("overwrite").text(f"{self.path}-schema")
             self._write(df, "static")
         else:
             with stored_copy(df, "rebuild") as rows:
+                schema.coalesce(1).write.mode("overwrite").text(f"{self.path}-schema")
                 self._write(rows, "static")
         return self.read()
 

@@ -53,12 +53,16 @@ def scan_objects(
     content_type: str = "application/pdf",
     sidecar: DataFrame | None = None,
     content: bool = False,
+    hash_content: bool | None = None,
 ) -> DataFrame:
     """One row per stored file: uri, size, md5, time and the metadata of a sidecar table.
 
-    File bytes are read only inside the scan task, for the hash; they are part of the
-    result only with ``content=True``.
+    Where the sidecar has an ``md5_hash``, as a store keeps one, the files are only listed and none
+    is opened. Without it, or with ``hash_content=True``, the scan tasks read the bytes for the hash;
+    ``hash_content=False`` leaves it null. Bytes are part of the result only with ``content=True``.
     """
+    known = sidecar is not None and "md5_hash" in sidecar.columns
+    hash_content = not known if hash_content is None else hash_content
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -70,7 +74,7 @@ def scan_objects(
         F.unix_micros("modificationTime").alias("generation"),
         F.lit(content_type).alias("content_type"),
         F.col("length").alias("size"),
-        F.md5("content").alias("md5_hash"),
+        (F.md5("content") if hash_content else F.lit(None).cast("string")).alias("md5_hash"),
         F.col("modificationTime").alias("updated"),
     ]
     if content:
@@ -79,7 +83,9 @@ def scan_objects(
     if sidecar is None:
         empty = F.array().cast("array<struct<name:string,value:string>>")
         return rows.withColumn("metadata", empty)
-    return rows.join(sidecar.select("uri", "metadata"), "uri", "left")
+    if not known or hash_content:
+        return rows.join(sidecar.select("uri", "metadata"), "uri", "left")
+    return rows.drop("md5_hash").join(sidecar.select("uri", "md5_hash", "metadata"), "uri", "left").select(*rows.columns, "metadata")
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -12,14 +12,33 @@ from pyspark.sql.streaming import StreamingQuery
 from paperloom import fixed
 from paperloom.functions.text import _col
 from paperloom.operators.relational import top_per_group
-from paperloom.sources.state import KeyedTable
+from paperloom.session import stored_copy
+from paperloom.sources.state import DatedTable, KeyedTable
+
+
+class BatchLedger:
+    """Which micro-batches of a stream are merged: one folder per batch, made after its merge."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def has(self, batch_id: int) -> bool:
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch_id}/_SUCCESS")
+        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
+
+    def add(self, batch_id: int) -> None:
+        row = self.spark.range(1).select(F.current_timestamp().alias("merged_at"))
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema("merged_at timestamp, batch bigint").parquet(self.path)
 
 
 def ingest_stream(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
-    table: KeyedTable,
+    table: KeyedTable | DatedTable,
     checkpoint: str,
     pattern: str = "*.json",
     format: str = "json",
@@ -30,20 +49,27 @@ def ingest_stream(
     """Merge every new file under ``path`` into a keyed table, once, then stop.
 
     Meant to be started by a scheduler every few hours. The checkpoint remembers which files
-    were taken; a batch that is replayed merges to the same table. Several rows per key in a
-    batch are settled by the highest ``newest`` column.
+    were taken, and the ledger beside it which batches are merged: one that is replayed because
+    the run ended before its checkpoint did is recognised and merged no second time. A run that
+    ends between merge and ledger merges again, to the same table. With a ``DatedTable`` only the
+    days that a batch touches are rewritten. Several rows per key in a batch are settled by the
+    highest ``newest`` column.
     """
+    ledger = BatchLedger(spark, f"{checkpoint.rstrip('/')}-ledger")
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = reader.format(format).load(path)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        if ledger.has(batch_id):
+            return
         one = batch if prepare is None else prepare(batch)
         if newest is not None:
             rest = [F.col(c) for c in one.columns if c not in table.keys and c != newest]
             one = top_per_group(one, table.keys, [F.col(newest).desc(), *rest])
         table.merge(one, check=newest is None)
+        ledger.add(batch_id)
 
     return (
         rows.writeStream.foreachBatch(merge)
@@ -100,6 +126,42 @@ def rate_alert(
     return rates(df, ts, value, width, late, by).where(F.col("rate") > threshold)
 
 
+def alert_stream(
+    rows: DataFrame,
+    ts: str,
+    table: KeyedTable | DatedTable,
+    checkpoint: str,
+    value: Column | str | None = None,
+    threshold: float = fixed.REQUESTS_PER_SECOND,
+    width: str = fixed.ALERT_WIDTH,
+    late: str = "10 minutes",
+    by: tuple[str, ...] = (),
+    closed: bool = False,
+) -> StreamingQuery:
+    """Keep the alerts of a stream in ``table`` (keys: window_start and ``by``).
+
+    Every window that a batch changes is looked at anew: one above the threshold is stored with its
+    rate so far, one that fell back is withdrawn. With ``closed`` a window is looked at once, when the
+    watermark has passed its end, so an alert is final. Takes what is there and stops.
+    """
+    seen = rates(rows, ts, value, width, late, by)
+    if isinstance(table, DatedTable):
+        seen = seen.withColumn(table.day, F.to_date("window_start"))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        with stored_copy(batch, "rates") as changed:
+            above = F.coalesce(F.col("rate") > threshold, F.lit(False))
+            table.merge(changed.where(above), drop=changed.where(~above).select("window_start", *by))
+
+    return (
+        seen.writeStream.outputMode("append" if closed else "update")
+        .foreachBatch(keep)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def project_access_log(df: DataFrame, project: str | None = None) -> DataFrame:
     """Log rows with level, severity and trace fields; stateless, batch or stream."""
     level = (
