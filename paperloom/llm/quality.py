@@ -4,14 +4,17 @@ The model is a modified Kneser-Ney model of order 4 over the characters of a wor
 start and end count as characters), one for each language, counted by Spark over every word of
 every text. Each task sends one row per distinct character sequence and language it met; the
 discounts, the probabilities and the back-off weights are joins and sums in Spark. The finished
-model is two arrays, sorted hashes and their values, of ``2 ** SLOT_BITS`` entries at most
-whatever the corpus: sequences whose hashes share a slot share the mean of their values. That
-bound is what allows it to be broadcast.
-
-A text's perplexity is the mean negative log probability of its characters. A text says little
-when it is short, so its mean is drawn to its language's median as if it had ``PRIOR``
-characters more of that. Each language has a lower and an upper band around its median, in
-median absolute deviations; texts outside are rejected.
+model is two arrays, sorted 64-bit hashes of language and sequence and their values, as many as
+there are sequences. They are sent to the tasks for as many languages at a time as have
+``ENTRIES`` sequences; a language with more goes alone, and each text is scored once.
+
+A text's perplexity is the mean negative log probability of its words, each the sum over its
+characters: words with signs grafted onto them and words of another language cost more,
+whatever their length. Each language has a lower and an upper band around the median of its
+distinct texts, in median absolute deviations. A short text says less, so its band is wider by
+``sqrt(1 + PRIOR / words)``, and few texts say less about the deviation, which counts for
+``1 + FEW / texts`` times its size. Texts outside are rejected; a language whose texts all score
+alike has no band.
 
 Nulls: a null text is empty (no words; it fails the base rules), a null language is a language
 of its own, null ids are kept. Rows are never merged: repeated rows give repeated results. An
@@ -34,12 +37,13 @@ from paperloom.llm import texts as T
 from paperloom.llm.store import few, query, table, written
 
 ORDER = 4
-SLOT_BITS = 24
-PRIOR = 400
+#: Sequences whose values are sent to the tasks together, at 12 bytes each.
+ENTRIES = 1 << 24
+BUCKETS = 256  # of languages
+PRIOR = 30
+FEW = 20
 #: Median absolute deviations below and above a language's median.
-BANDS = (8.0, 8.0)
-#: A band is at least this wide, in nats per character.
-LEAST = 1.0
+BANDS = (10.0, 10.0)
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
@@ -107,10 +111,10 @@ def language_salt(lang: str | None) -> np.uint64:
     return np.uint64(zlib.crc32(b"\0" if lang is None else b"1" + lang.encode()))
 
 
-def slots(keys: np.ndarray, order: int, lang: str | None) -> np.ndarray:
-    """Where a sequence's value lies: a hash of the language, the order and the sequence."""
+def hashes(keys: np.ndarray, order: int, lang: str | None) -> np.ndarray:
+    """A sequence's 64-bit hash, with its language and order."""
     salt = T.mix64(np.array([(int(language_salt(lang)) << 8) | order], np.uint64))[0]
-    return (T.mix64(keys.astype(np.uint64) ^ salt) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return T.mix64(keys.astype(np.uint64) ^ salt)
 
 
 def _by_language(langs: pa.Array, words: tuple):
@@ -216,37 +220,35 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     return out
 
 
-def _slotted(batches):
+def _hashed(batches):
     for batch in batches:
         langs, kinds = np.asarray(batch.column(0).to_pylist(), object), np.asarray(batch.column(1))
         keys = np.asarray(batch.column(2)).view(np.uint64)
-        where = np.zeros(len(keys), np.int64)
+        found = np.zeros(len(keys), np.uint64)
         for lang, kind in set(zip(langs.tolist(), kinds.tolist(), strict=True)):
             at = (langs == lang) & (kinds == kind)
-            where[at] = slots(keys[at], kind, lang)
-        yield pa.RecordBatch.from_arrays([pa.array(where), batch.column(3), batch.column(4)], ["slot", "value", "weight"])
+            found[at] = hashes(keys[at], kind, lang)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(3).cast(pa.float32())], ["hash", "value"])
 
 
 def hash_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots and their values; never more than ``2 ** SLOT_BITS`` of them."""
-    placed = model.mapInArrow(_slotted, "slot bigint, value double, weight bigint")
-    mean = F.sum(F.col("value") * F.col("weight")) / F.sum("weight")
-    rows = placed.groupBy("slot").agg(mean.cast("float").alias("value")).toArrow()
-    slot, value = rows.column("slot").to_numpy(), rows.column("value").to_numpy()
-    order = np.argsort(slot)
-    return slot[order].astype(np.int32), value[order]
+    """Sorted hashes of all sequences and their values."""
+    rows = model.select("lang", "kind", "key", "value").mapInArrow(_hashed, "hash bigint, value float").toArrow()
+    found, value = rows.column("hash").to_numpy().view(np.uint64), rows.column("value").to_numpy()
+    order = np.argsort(found)
+    return found[order], value[order]
 
 
 def log_probability(keys: np.ndarray, lang: str | None, arrays: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Natural log of each character's probability after the three before it."""
-    slot, value = arrays
+    known_hashes, value = arrays
 
     def look(k, order):
-        where = slots(k, order, lang)
-        at = np.minimum(np.searchsorted(slot, where), max(len(slot) - 1, 0))
-        if not len(slot):
+        own = hashes(k, order, lang)
+        at = np.minimum(np.searchsorted(known_hashes, own), max(len(known_hashes) - 1, 0))
+        if not len(known_hashes):
             return np.zeros(len(k), bool), np.zeros(len(k))
-        return slot[at] == where, value[at].astype(np.float64)
+        return known_hashes[at] == own, value[at].astype(np.float64)
 
     out, open_at, paid = np.zeros(len(keys)), np.arange(len(keys)), np.zeros(len(keys))
     for order in range(ORDER, 0, -1):
@@ -264,7 +266,7 @@ def log_probability(keys: np.ndarray, lang: str | None, arrays: tuple[np.ndarray
 
 # --- the rules ---------------------------------------------------------------------------
 
-_MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, nats double, n_scored bigint"
+_MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, nats double"
 
 
 def _measured(model):
@@ -272,49 +274,71 @@ def _measured(model):
         for batch in T.slices(batches):
             counts, words = base_counts(T.column(batch, "text"))
             langs = batch.column(batch.schema.get_field_index("lang")).cast(pa.string())
-            nats, scored = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            nats = np.zeros(batch.num_rows)
             for lang, _, distinct, back, text in _by_language(langs, words):
                 if not len(distinct):
                     continue
                 keys, own = sequences(distinct)
                 cost = np.bincount(own, weights=-log_probability(keys, lang, model.value), minlength=len(distinct))
                 nats += np.bincount(text, weights=cost[back], minlength=batch.num_rows)
-                scored += np.bincount(text, weights=np.bincount(own, minlength=len(distinct))[back], minlength=batch.num_rows).astype(np.int64)
             rest = [i for i, n in enumerate(batch.schema.names) if n != "text"]
-            arrays = [batch.column(i) for i in rest] + [pa.array(v.astype(np.int64)) for v in counts.values()] + [pa.array(nats), pa.array(scored)]
-            yield pa.RecordBatch.from_arrays(arrays, [batch.schema.names[i] for i in rest] + [*counts, "nats", "n_scored"])
+            arrays = [batch.column(i) for i in rest] + [pa.array(v.astype(np.int64)) for v in counts.values()] + [pa.array(nats)]
+            yield pa.RecordBatch.from_arrays(arrays, [batch.schema.names[i] for i in rest] + [*counts, "nats"])
 
     return run
 
 
-_VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nats_per_char", "lower", "upper", "base_failed", "kept"]
+_VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nats_per_word", "lower", "upper", "base_failed", "kept"]
 
 
 def judge(docs: DataFrame, carried: Column, bands: tuple[float, float] = BANDS) -> DataFrame:
     """One row per row of ``docs``: the carried column, the counts, the perplexity (nats per
-    character), its language's band, ``base_failed`` and ``kept``."""
+    word), its band, ``base_failed`` and ``kept``."""
     texts = docs.select(carried.alias("carried"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    arrays = hash_arrays(kneser_ney(written(gram_counts(texts.select("lang", "text")), "kn-grams")))
-    model = docs.sparkSession.sparkContext.broadcast(arrays)
+    model = kneser_ney(written(gram_counts(texts.select("lang", "text")), "kn-grams"))
     schema = StructType([texts.schema["carried"], texts.schema["lang"], *StructType.fromDDL(_MEASURES).fields])
+    measured = None
+    for inside in _together(model):
+        arrays = docs.sparkSession.sparkContext.broadcast(hash_arrays(model.where(inside)))
+        some = texts.where(inside).mapInArrow(_measured(arrays), schema)
+        measured = some if measured is None else measured.unionByName(some)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    mean = F.col("nats") / F.greatest(F.col("n_scored"), F.lit(1))
-    measured = texts.mapInArrow(_measured(model), schema).withColumn("base_failed", failed).withColumn("mean", mean)
-    measured = written(measured, "quality")
-    good = measured.where("NOT base_failed").select("lang", "mean")
-    middle = good.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10000).alias("median"))
-    middle = few(middle.select(F.col("lang").alias("m_lang"), "median"), "quality-medians")
+    mean = F.col("nats") / F.greatest(F.col("n_words"), F.lit(1))
+    measured = written(measured.withColumn("base_failed", failed).withColumn("nats_per_word", mean), "quality")
+    # Copies score alike: however many there are, they count once.
+    good = measured.where("NOT base_failed").select("lang", "n_words", F.col("nats_per_word").alias("mean")).distinct()
+    good = written(good, "quality-scores")
+    middle = good.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10000).alias("median"), F.count(F.lit(1)).alias("n_texts"))
+    middle = few(middle.withColumnRenamed("lang", "m_lang"), "quality-medians")
     spread = (
         good.join(middle, F.col("lang").eqNullSafe(F.col("m_lang")))
-        .groupBy("lang", "median")
+        .groupBy(F.col("lang").alias("b_lang"), "median", "n_texts")
         .agg(F.percentile_approx(F.abs(F.col("mean") - F.col("median")), 0.5, 10000).alias("mad"))
     )
-    low, high = (F.greatest(F.lit(b) * F.col("mad"), F.lit(LEAST)) for b in bands)
-    edges = spread.select(F.col("lang").alias("b_lang"), "median", (F.col("median") - low).alias("lower"), (F.col("median") + high).alias("upper"))
-    drawn = (F.col("nats") + PRIOR * F.col("median")) / (F.col("n_scored") + PRIOR)
-    out = measured.join(few(edges, "quality-bands"), F.col("lang").eqNullSafe(F.col("b_lang")), "left").withColumn("nats_per_char", drawn)
-    inside = F.coalesce((F.col("nats_per_char") >= F.col("lower")) & (F.col("nats_per_char") <= F.col("upper")), F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & inside).select("carried", *_VERDICT)
+    spread = few(spread.select("b_lang", "median", (F.col("mad") * (1 + FEW / F.col("n_texts"))).alias("mad")), "quality-bands")
+    out = measured.join(spread, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
+    wide = F.col("mad") * F.sqrt(1 + PRIOR / F.greatest(F.col("n_words"), F.lit(1)))
+    out = out.withColumn("lower", F.col("median") - bands[0] * wide).withColumn("upper", F.col("median") + bands[1] * wide)
+    fits = (F.col("mad") == 0) | F.col("nats_per_word").between(F.col("lower"), F.col("upper"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).select("carried", *_VERDICT)
+
+
+def _together(model: DataFrame) -> list[Column]:
+    """Conditions on ``lang`` that part all languages into groups of about ``ENTRIES`` sequences."""
+    bucket = F.pmod(F.xxhash64(F.coalesce("lang", F.lit("\0"))), F.lit(BUCKETS))
+    sizes = model.groupBy(bucket.alias("bucket")).count().collect()  # BUCKETS rows at most
+    groups: list[list[int]] = [[]]
+    held = 0
+    for b, n in sorted(map(tuple, sizes)):
+        if groups[-1] and held + n > ENTRIES:
+            groups.append([])
+            held = 0
+        groups[-1].append(b)
+        held += n
+    # Texts of a language without any word are in no bucket of the model: they go with the first.
+    rest = [b for b in range(BUCKETS) if all(b not in g for g in groups)]
+    groups[0] += rest
+    return [F.lit(True)] if len(groups) == 1 else [bucket.isin(g) for g in groups]
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
