@@ -91,13 +91,13 @@ def _formatted(path: str):
 
 
 def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """(conv_id, turn, tie, ids, loss) of every row of (conv_id, turn, role, text); ``tie``
-    orders turns alike in number."""
+    """(conv_id, turn, tie, ids, loss) of every row of (conv_id, turn, role, text); ``tie``,
+    its role and text, orders turns alike in number."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    rows = turns.select("conv_id", "turn", F.concat_ws("\n", role, text).alias("tie"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("tie", F.concat(F.hex(F.substring(F.col("tie").cast("binary"), 1, 64)), F.md5("tie")))
+    tie = F.struct(role.alias("role"), text.alias("text")).alias("tie")
+    rows = turns.select("conv_id", "turn", tie, role.alias("role"), text.alias("text"))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
-    return rows.mapInArrow(_formatted(tokenizer), f"conv_id {kinds[0]}, turn {kinds[1]}, tie string, ids array<int>, loss array<boolean>")
+    return rows.mapInArrow(_formatted(tokenizer), f"conv_id {kinds[0]}, turn {kinds[1]}, tie struct<role:string,text:string>, ids array<int>, loss array<boolean>")
 
 
 # --- reading back ------------------------------------------------------------------------

@@ -54,3 +54,13 @@ def test_ties_nulls_and_none(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"user\na\nuser\na\nuser\nb\n").hexdigest()
     assert (got[None].n_turns, got[None].turns_sha256) == (1, hashlib.sha256(b"\n\n").hexdigest())
     assert chat.read_back(chat.format_turns(df.limit(0), PATH), PATH).collect() == []
+
+
+def test_ties_of_long_texts_and_clashing_columns(spark):
+    same = "x" * 5000
+    rows = [(1, 0, "user", same + end, "z", 3) for end in ("b", "a", "", "\u00e9", "a")] + [(1, 0, "assistant", "word " * 40_000, "z", 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tie string, ids int").repartition(3)
+    r = chat.read_back(chat.format_turns(df, PATH), PATH).collect()[0]
+    want = sorted((x[2], x[3]) for x in rows)
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in want).encode()).hexdigest()
+    assert (r.n_turns, r.loss_chars) == (6, 200_000)
