@@ -7,6 +7,7 @@ key; ``refresh_changed`` goes by content hash instead, so edited files flow thro
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from contextlib import ExitStack
 from dataclasses import dataclass
 
@@ -135,19 +136,19 @@ class Build:
     ):
         self.spark, self.root, self.rules, self.models, self.workers = spark, root.rstrip("/"), rules, models, workers
         self.dated = dated
-        self.staged = self._table("staged", ["uri"], "updated_day", ["uri"])
-        self.chunks = self._table("chunks", ["document_id", "chunk_index"], "updated_day", ["document_id"])
+        self.staged = self._table("staged", ["uri"], "updated_day", ["uri"], ["document_id"])
+        self.chunks = self._table("chunks", ["document_id", "chunk_index"], "updated_day", ["document_id"], ["document_id"])
         self.embedded = self._table("embedded", ["chunk_id"], "updated_day", ["document_id"])
         self.documents = self._table("documents", ["document_id"], "publish_date", ["document_type"])
         self.events = self._table("events", ["event_id"], "event_date", ["document_id"])
         self.history = KeyedTable(spark, f"{self.root}/sync_history", ["event_id"])
         self.search_chunks = self._table("search_chunks", ["chunk_id"], "publish_date", ["document_id", "document_type"])
-        self.postings = self._table("postings", ["chunk_id", "token"], "publish_date", ["token"])
+        self.postings = self._table("postings", ["chunk_id", "token"], "publish_date", ["token"], ["token"])
         self.synced_events = KeyedTable(spark, f"{self.root}/events_with_sync", ["event_id"])
 
-    def _table(self, name: str, keys: list[str], day: str, cluster: list[str]) -> KeyedTable | DatedTable:
+    def _table(self, name: str, keys: list[str], day: str, cluster: list[str], lookup: Sequence[str] = ()) -> KeyedTable | DatedTable:
         path = f"{self.root}/{name}"
-        return DatedTable(self.spark, path, keys, day, cluster) if self.dated else KeyedTable(self.spark, path, keys)
+        return DatedTable(self.spark, path, keys, day, cluster, lookup) if self.dated else KeyedTable(self.spark, path, keys)
 
     def _dated(self, df: DataFrame) -> DataFrame:
         return df.withColumn("updated_day", F.to_date("updated_at")) if self.dated else df

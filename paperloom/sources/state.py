@@ -6,7 +6,7 @@ import datetime as dt
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,6 +204,14 @@ class KeyedTable:
             fs.delete(make(self._folder(version)), True)
 
 
+def with_lookup(writer: DataFrameWriter, columns: Sequence[str]) -> DataFrameWriter:
+    """Bloom filters on ``columns`` in Parquet files: a search for one value skips the row groups
+    without it, in files that are sorted by something else too."""
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+    return writer
+
+
 def _without(target: DataFrame | None, drop: DataFrame | None) -> DataFrame | None:
     return target if target is None or drop is None else without_pairs(target, drop, drop.columns)
 
@@ -215,14 +223,15 @@ class DatedTable:
     Touched are the days of the new rows and the days that hold an older copy of one, or a
     row to drop; they are found on the key columns alone. The merged rows are written to the
     shared folder first and from there over the touched days, so nothing is read while it is
-    replaced and a repeated merge ends in the same table. One writer at a time.
+    replaced and a repeated merge ends in the same table. One writer at a time. Columns of
+    ``lookup`` get filters by which a point read passes over row groups.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, keys: Sequence[str], day: str, cluster: Sequence[str] = ()
+        self, spark: SparkSession, path: str, keys: Sequence[str], day: str, cluster: Sequence[str] = (), lookup: Sequence[str] = ()
     ):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
-        self.day, self.cluster = day, list(cluster)
+        self.day, self.cluster, self.lookup = day, list(cluster), list(lookup)
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -278,4 +287,5 @@ class DatedTable:
 
     def _write(self, df: DataFrame, mode: str) -> None:
         rows = df.hint("rebalance", F.col(self.day)).sortWithinPartitions(self.day, *self.cluster)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(self.day).parquet(self.path)
+        writer = with_lookup(rows.write.mode("overwrite"), self.lookup).option("partitionOverwriteMode", mode)
+        writer.partitionBy(self.day).parquet(self.path)

@@ -130,3 +130,37 @@ def test_stage_texts(table):
     )
     got = marts.stage_texts(rows).collect()
     assert [(r.uri, r.document_id, r.original_filename, r.extracted_markdown) for r in got] == [("u1", "7", "園.pdf", "# a")]
+
+
+def test_pages_by_seeking(table):
+    days = ["2026-01-02", "2026-01-01", None]
+    rows = [(f"d{k:02d}", "journal" if k % 4 else "other", dt.date.fromisoformat(days[k % 3]) if days[k % 3] else None) for k in range(30)]
+    df = table(rows, "document_id string, document_type string, publish_date date")
+    for kind in (None, "journal"):
+        last, walked = None, []
+        while True:
+            page = marts.list_after(df, last, kind, limit=4).collect()
+            if not page:
+                break
+            walked += [r.document_id for r in page]
+            last = page[-1].publish_date, page[-1].document_id
+        assert walked == [r.document_id for r in marts.list_page(df, kind, limit=100).collect()]
+
+
+def test_longest_events_without_a_shuffle(spark, table):
+    from pyspark.sql import functions as F
+
+    def event(day, clock, title, text):
+        return {"event_date": day, "event_time": clock, "event_title": title, "event_description": text}
+
+    one = [event("2026-04-01", None, "a", "x"), event("2026-04-01", "", "a", "longer"), event("2026-04-01", "9:00", "a", None), event("2026-04-01", "9:00", "a", ""),
+           event("bad", None, "a", "x"), event("2026-04-02", None, " ", "x"), event("2026-04-02", None, "b", "same2"), event("2026-04-02", None, "b", "same1")]
+    rows = table([("d1", json.dumps({"events": one})), ("d2", json.dumps({"events": one[:1]})), ("d3", "{}"), ("d4", None)], "document_id string, llm_result string")
+    at = F.lit("2026-01-01").cast("timestamp")
+    got = marts.extract_events(rows, at, unique_ids=True)
+    key = lambda r: (r.document_id, str(r.event_date), r.event_title, r.event_time or "", r.event_description or "")
+    want = [("d1", "2026-04-01", "a", "", "longer"), ("d1", "2026-04-01", "a", "09:00", ""), ("d1", "2026-04-02", "b", "", "same1"), ("d2", "2026-04-01", "a", "", "x")]
+    assert sorted(map(key, got.collect())) == sorted(want) == sorted(map(key, marts.extract_events(rows, at).collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    twice = rows.unionByName(table([("d1", json.dumps({"events": [event("2026-04-01", None, "a", "the longest")]}))], "document_id string, llm_result string"))
+    assert "the longest" in {r.event_description for r in marts.extract_events(twice, at).collect()}

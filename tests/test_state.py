@@ -174,3 +174,36 @@ def test_skip_unchanged(table):
     target = table([(1, "a"), (1, "a"), (2, "old")], "k int, h string")
     got = state.skip_unchanged(source, target, ["k", "h"])
     assert sorted((str(r.k), r.h) for r in got.collect()) == [("2", "b"), ("3", "d"), ("None", "c")]
+
+
+def test_point_reads_skip_row_groups(spark, tmp_path):
+    rows = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("document_id"), F.col("id"), F.lit("2026-01-01").cast("date").alias("day"))
+    wanted = rows.where("id = 31234").first().document_id
+    read = {}
+    for lookup in ((), ("document_id",)):
+        store = state.DatedTable(spark, str(tmp_path / f"t{len(lookup)}"), ["id"], "day", ["id"], lookup)
+        spark.conf.set("parquet.block.size", str(256 * 1024))
+        store.overwrite(rows.coalesce(1))
+        spark.conf.unset("parquet.block.size")
+        found = store.read().where(F.col("document_id") == wanted).select("id")
+        assert [r.id for r in found.collect()] == [31234]
+        read[lookup] = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert read["document_id",] < read[()] / 3
+
+
+def test_tables_without_rows(spark, tmp_path):
+    store = state.DatedTable(spark, str(tmp_path / "t"), ["k"], "day")
+    empty = spark.createDataFrame([], "k int, day date, v string")
+    assert store.merge(empty).collect() == [] and store.merge(empty).schema == store.read().schema
+    assert [r.v for r in store.merge(spark.createDataFrame([(1, None, "x")], "k int, day date, v string")).collect()] == ["x"]
+
+
+def test_listing_opens_no_file(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"12345")
+    sidecar = spark.createDataFrame([(f"file:{tmp_path}/a.pdf", "known", [("n", "v")])], "uri string, md5_hash string, metadata array<struct<name:string,value:string>>")
+    listed = tables.scan_objects(spark, str(tmp_path), sidecar=sidecar)
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert [(r.size, r.md5_hash) for r in listed.collect()] == [(5, "known")]
+    read = tables.scan_objects(spark, str(tmp_path), sidecar=sidecar, hash_content=True).first()
+    assert read.md5_hash == "827ccb0eea8a706c4c34a16891f84e7b" and read.metadata[0].value == "v"
