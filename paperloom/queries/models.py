@@ -326,15 +326,19 @@ def _compare_length(spark, sf):
 @query(
     "compare_events",
     """
-SELECT 'doc-' || event_id AS document_id, 4 AS a_event_count, 3 AS b_event_count, 1 AS count_diff, 3 AS a_valid_dates,
-       CASE WHEN event_type = 'click' THEN 3 ELSE 2 END AS b_valid_dates, true AS count_ok,
-       event_type = 'click' AS all_dates_valid
+SELECT 'doc-' || event_id AS document_id, 4 AS a_event_count, CASE WHEN event_type = 'error' THEN 1 ELSE 3 END AS b_event_count,
+       CASE WHEN event_type = 'error' THEN 3 ELSE 1 END AS count_diff, 3 AS a_valid_dates,
+       CASE event_type WHEN 'click' THEN 3 WHEN 'error' THEN 1 ELSE 2 END AS b_valid_dates, event_type <> 'error' AS count_ok,
+       event_type IN ('click', 'error') AS all_dates_valid
 FROM events""",
 )
 def _compare_events(spark, sf):
-    """Results against a run that lost the first event, and for clicks fixed the bad date."""
+    """Results against a run that lost the first event, of errors all but the last one, and that for
+    clicks fixed the bad date."""
     a = event_results(spark, sf)
-    shorter = F.regexp_replace("llm_result", r'^\{"events": \[\{[^}]*\}, ', '{"events": [')
+    lost = lambda c: F.regexp_replace(c, r'^\{"events": \[\{[^}]*\}, ', '{"events": [')
+    shorter = lost("llm_result")
+    shorter = F.when(F.contains("llm_result", F.lit('"event_title": "error"')), lost(lost(shorter))).otherwise(shorter)
     fixed_date = F.replace(shorter, F.lit("2024-02-30"), F.lit("2024-02-28"))
     b = a.withColumn(
         "llm_result", F.when(F.contains("llm_result", F.lit('"event_title": "click"')), fixed_date).otherwise(shorter)

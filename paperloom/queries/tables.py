@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import dates
 from paperloom.functions.metadata import meta_value
+from paperloom.functions.text import random_id
 from paperloom.operators import marts
 from paperloom.operators.relational import in_set, not_in
 from paperloom.queries import base
@@ -404,3 +405,29 @@ FROM staged ORDER BY staged.updated DESC, uri LIMIT 100""",
 )
 def _list_recent(spark, sf):
     return marts.list_recent(base.raw_documents(spark, sf))
+
+
+@query(
+    "literal_rows",
+    """
+WITH expected AS (
+  SELECT 'en' AS lang, 'English' AS name UNION ALL SELECT 'fr', 'French' UNION ALL SELECT 'de', 'German'
+  UNION ALL SELECT 'es', 'Spanish' UNION ALL SELECT 'xx', NULL)
+SELECT e.lang, e.name, (SELECT count(*) FROM documents d WHERE d.lang = e.lang) AS n_documents FROM expected e""",
+)
+def _literal_rows(spark, sf):
+    """Rows given in the query itself, one after the other, against the table."""
+    rows = [("en", "English"), ("fr", "French"), ("de", "German"), ("es", "Spanish"), ("xx", None)]
+    counts = table(spark, sf, "documents").groupBy(F.col("lang").alias("d_lang")).agg(F.count("*").alias("n"))
+    expected = tables.literal_rows(spark, rows, "lang string, name string")
+    found = expected.join(counts, F.col("lang") == F.col("d_lang"), "left")
+    return found.select("lang", "name", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
+@query("surrogate_ids", "SELECT source, count(*) AS n_rows, count(*) AS n_ids, true AS well_formed FROM documents GROUP BY source")
+def _surrogate_ids(spark, sf):
+    """A random id per row: as many as rows, all of the usual form."""
+    rows = table(spark, sf, "documents").select("source", random_id().alias("id"))
+    form = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    grouped = rows.groupBy("source", "id").agg(F.count("*").alias("n"), F.bool_and(F.col("id").rlike(form)).alias("fine"))
+    return grouped.groupBy("source").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_ids"), F.bool_and("fine").alias("well_formed"))

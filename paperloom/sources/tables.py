@@ -130,6 +130,11 @@ def rebuild(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """``SELECT ... UNION ALL SELECT ...`` of rows that stand in the query."""
+    return spark.createDataFrame(list(rows), schema)
+
+
 def empty_table(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
