@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_PATHS: list[str] = []
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def folder(spark: SparkSession, label: str) -> str:
     """A new folder in the shared one."""
-    _PATHS.append(scratch_path(spark, label))
-    return _PATHS[-1]
+    path = scratch_path(spark, label)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -49,20 +52,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The folders made inside the block, for ``remove`` once nothing reads them any more."""
-    start = len(_PATHS)
+    """The folders made inside the block by this thread, for ``remove`` once nothing reads them."""
     made: list[str] = []
-    yield made
-    made.extend(_PATHS[start:])
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    paths.clear()
-
-
 
 
 def few(df: DataFrame, label: str, limit: int = 100_000) -> DataFrame:

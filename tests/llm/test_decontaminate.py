@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from paperloom.llm import decontaminate as d
 
@@ -60,6 +61,25 @@ def test_planted_copies(spark):
     assert clean == set(range(400)) - {k for k, _ in planted}
 
 
+def test_every_pair_aligned_whole(spark):
+    """Seeds lose no pair that aligning every text with every item finds."""
+    docs, items, _ = corpus(spark, random.Random(9))
+    texts = {r.doc_id: d.item_words(pa.array([r.text]))[0].to_pylist() for r in docs.limit(120).collect()}
+    wanted = {r.item_id: d.item_words(pa.array([r.text]))[0].to_pylist() for r in items.collect()}
+    code = {w: k for k, w in enumerate(sorted({w for v in [*texts.values(), *wanted.values()] for w in v}))}
+    found = set()
+    for k, words in texts.items():
+        sizes = np.array([len(v) for v in wanted.values()])
+        passages = np.tile([code[w] for w in words], (len(wanted), 1))
+        rows = np.full((len(wanted), sizes.max()), -3)
+        for r, v in enumerate(wanted.values()):
+            rows[r, : len(v)] = [code[w] for w in v]
+        score, _, _ = d.align(passages, rows, sizes)
+        found |= {(k, item) for item, ok in zip(wanted, score >= d.THRESHOLD * 2 * sizes) if ok}
+    got = d.with_matches(docs.where(docs.doc_id.isin(list(texts))), items).selectExpr("doc_id", "explode(matches) AS m").select("doc_id", "m.item_id").collect()
+    assert {tuple(r) for r in got} == found and len(found) >= 20
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     docs, items, planted = corpus(spark, random.Random(8))
     monkeypatch.setattr(d, "BLOCK_WORDS", 300)

@@ -27,7 +27,9 @@ def test_stages(spark, tmp_path, odd_docs):
     assert 102 not in kept[2] and len(kept[2]) == len(kept[1]) - 1
     assert set(kept[3]) <= set(kept[2]) and kept[4] == kept[3]
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, docs.collect()))
+    runs = [corpus_pipeline.run(spark, folder), corpus_pipeline.run(spark, folder)]  # side by side in one process
+    for rows in runs:
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_odd_rows(spark, tmp_path, odd_docs, no_docs):
