@@ -1,67 +1,33 @@
-"""The corpus pipeline: five operators in turn, each over all that the one before it kept.
-
-A stage's result is written before the next stage starts, as ``run`` does; the next stage then
-removes the tables that the one before it left in the shared folder.
-"""
+"""The corpus pipeline: five operators in turn, each over all that the one before it kept."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import decontaminate, mix, quality, simhash, tokens
 from paperloom.llm.store import folder, recorded, remove, table
-from paperloom.session import cut_lineage
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-_LEFT: dict[int, list[str]] = {}
-
 
-def _in_place(place: int) -> Callable[[Stage], Stage]:
-    """The stage of this place: it removes what the one before it left."""
 
-    def put(stage: Stage) -> Stage:
-        @wraps(stage)
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            remove(spark, _LEFT.get(place - 1, []))
-            with recorded() as made:
-                out = stage(spark, docs, sf_dir)
-            _LEFT[place] = made
-            return out
-
-        return run_stage
-
-    return put
-
-
-@_in_place(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that fail the base rules or their language's perplexity band go."""
     return quality.keep_good(docs)
 
 
-@_in_place(1)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each near-duplicate component stays."""
     return simhash.keep_one(docs)
 
 
-@_in_place(2)
 def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a test item go."""
     return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
-@_in_place(3)
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's budget takes them."""
     return mix.copies(docs)
 
 
-@_in_place(4)
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the token files."""
     import public_tokenizers
@@ -83,8 +49,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's rows are written and read again.
+
+    Once they are written, the tables behind them and the stage's own input copy go. Those of the
+    last stage stay, as its rows are still to be read.
+    """
+    docs, old = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with recorded() as made:
+            rows = stage(spark, docs, sf_dir)
+        path = folder(spark, f"pipeline-{name}")
+        rows.write.parquet(path)
+        remove(spark, made + old)
+        docs, old = spark.read.schema(rows.schema).parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
