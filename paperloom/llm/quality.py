@@ -13,8 +13,8 @@ characters: words with signs grafted onto them and words of another language cos
 whatever their length. Each language has a lower and an upper band around the median of its
 distinct texts, in median absolute deviations. A short text says less, so its band is wider by
 ``sqrt(1 + PRIOR / words)``, and few texts say less about the deviation, which counts for
-``1 + FEW / texts`` times its size. Texts outside are rejected; a language whose texts all score
-alike has no band.
+``1 + FEW / texts`` times its size and for ``LEAST`` of the median at least, as texts that are all
+but alike differ by what happens to be copied. Texts outside are rejected.
 
 Nulls: a null text is empty (no words; it fails the base rules), a null language is a language
 of its own, null ids are kept. Rows are never merged: repeated rows give repeated results. An
@@ -42,6 +42,7 @@ ENTRIES = 1 << 24
 BUCKETS = 256  # of languages
 PRIOR = 30
 FEW = 20
+LEAST = 0.01
 #: Median absolute deviations below and above a language's median.
 BANDS = (10.0, 10.0)
 MIN_WORDS = 10
@@ -315,11 +316,11 @@ def judge(docs: DataFrame, carried: Column, bands: tuple[float, float] = BANDS)
         .groupBy(F.col("lang").alias("b_lang"), "median", "n_texts")
         .agg(F.percentile_approx(F.abs(F.col("mean") - F.col("median")), 0.5, 10000).alias("mad"))
     )
-    spread = few(spread.select("b_lang", "median", (F.col("mad") * (1 + FEW / F.col("n_texts"))).alias("mad")), "quality-bands")
+    spread = few(spread.select("b_lang", "median", F.greatest(F.col("mad"), LEAST * F.col("median")).alias("mad"), "n_texts"), "quality-bands")
     out = measured.join(spread, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
-    wide = F.col("mad") * F.sqrt(1 + PRIOR / F.greatest(F.col("n_words"), F.lit(1)))
+    wide = F.col("mad") * (1 + FEW / F.col("n_texts")) * F.sqrt(1 + PRIOR / F.greatest(F.col("n_words"), F.lit(1)))
     out = out.withColumn("lower", F.col("median") - bands[0] * wide).withColumn("upper", F.col("median") + bands[1] * wide)
-    fits = (F.col("mad") == 0) | F.col("nats_per_word").between(F.col("lower"), F.col("upper"))
+    fits = F.col("nats_per_word").between(F.col("lower"), F.col("upper"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).select("carried", *_VERDICT)
 
 

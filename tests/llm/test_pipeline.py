@@ -14,7 +14,7 @@ def test_stages(spark, tmp_path, odd_docs):
     leak = " ".join(f"item{k}" for k in range(20))
     rows = [(k, f"{text} own{k} {' '.join(f'u{k}x{j}' for j in range(200))}", "en", f"s{k % 3}", 1) for k in range(30)]
     rows += [(100, rows[4][1], "en", "s1", 1), (101, f"{rows[4][1]} more", "en", "s1", 1)]
-    rows += [(102, " ".join(f"q{k}" for k in range(40)) + " " + leak, "en", "s1", 1), (103, "short", "en", "s1", 1)]
+    rows += [(102, f"{text} {' '.join(f'u102x{j}' for j in range(200))} {leak}", "en", "s1", 1), (103, "short", "en", "s1", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     docs = table(spark, folder, "documents")
