@@ -38,6 +38,7 @@ HEADLINE = (
     "keyword_search",
     "keyword_search_many",
     "title_search_many",
+    "semantic_search",
     "fuse_sources",
     "recent_context",
     "vector_topk",

@@ -105,3 +105,24 @@ def test_vector_search_moves_only_winners(spark):
 def test_rates_combine_before_the_shuffle(spark):
     rows = spark.range(10).select(F.timestamp_seconds("id").alias("ts"))
     assert "partial_count" in plan(jobs.rates(rows, "ts"))
+
+
+def test_checks_of_one_table_scan_it_once(spark, tmp_path):
+    from paperloom.operators import quality
+
+    spark.range(10).selectExpr("id", "id + 1 AS a", "id + 2 AS b").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    checks = quality.table_checks("t", rows, ["id"], ["id", "a", "b"], {"a": "b > 3"}, accepted={"b": [2, 3, 4]})
+    found = quality.run_checks(checks)
+    assert plan(found).count("Scan parquet") == 2  # one for the rows, one for the unique key
+    failures = {r.check_name: (r.failures, r.status) for r in found.collect()}
+    assert failures["t.b.accepted_values"] == (7, "fail") and failures["t.a.not_null_where"] == (0, "pass") and len(failures) == 6
+
+
+def test_batch_search_cuts_before_it_shuffles_pairs(spark, table):
+    from paperloom.operators import search
+
+    chunks = table([("d", 0, "t", "some words")], "document_id string, chunk_index bigint, title string, chunk_text string")
+    text = plan(search.keyword_search_many(chunks, table([(1, "some wo%s")], "query_id int, message string")))
+    assert "CartesianProduct" not in text and "Python" not in text
+    assert text.count("WindowGroupLimit") >= 6  # each cut has a part inside the tasks
