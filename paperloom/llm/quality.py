@@ -298,14 +298,17 @@ def judge(docs: DataFrame, carried: Column, bands: tuple[float, float] = BANDS)
     texts = docs.select(carried.alias("carried"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     model = kneser_ney(written(gram_counts(texts.select("lang", "text")), "kn-grams"))
     schema = StructType([texts.schema["carried"], texts.schema["lang"], *StructType.fromDDL(_MEASURES).fields])
-    measured = None
+    measured, sent = None, []
     for inside in _together(model):
         arrays = docs.sparkSession.sparkContext.broadcast(hash_arrays(model.where(inside)))
+        sent.append(arrays)
         some = texts.where(inside).mapInArrow(_measured(arrays), schema)
         measured = some if measured is None else measured.unionByName(some)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     mean = F.col("nats") / F.greatest(F.col("n_words"), F.lit(1))
     measured = written(measured.withColumn("base_failed", failed).withColumn("nats_per_word", mean), "quality")
+    for arrays in sent:  # the scores are written: workers need not hold the model any more
+        arrays.destroy()
     # Copies score alike: however many there are, they count once.
     good = measured.where("NOT base_failed").select("lang", "n_words", F.col("nats_per_word").alias("mean")).distinct()
     good = written(good, "quality-scores")

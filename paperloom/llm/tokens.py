@@ -34,7 +34,7 @@ from paperloom.llm.store import query, table, written
 
 END_ID = 0
 SEGMENT = 1 << 21
-HELD = 1 << 18  # pieces that a task remembers
+HELD = 1 << 17  # pieces that a task remembers
 
 
 def _alphabet() -> dict[str, int]:
