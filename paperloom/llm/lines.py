@@ -1,15 +1,20 @@
 """Removal of repeated multi-line chunks whose edges the content chooses.
 
-A text's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes ends a chunk after
-every line where it is divisible by ``EVERY``. Edges depend on the lines around them only, so the
-same passage is cut alike wherever it stands, but for the chunks at its ends. Chunks of two or
-more lines whose hash occurs more than once in the corpus are compared byte by byte, by grouping
-on their text; of equal ones the first stays (smallest id, nulls last, then the text's hash and
-the place) and the others go. Chunks without a word stay.
+Every line with a word is hashed, and the hash alone puts it into one of ``CUTS`` classes. Two
+neighbouring lines of one class, with all that stands between them, are a chunk: each class cuts
+the whole text in its own way, and lines without a word never cut. Edges depend on nothing but the
+edge lines themselves, so a passage is cut alike wherever it stands, and by two classes any three
+lines with words hold a whole chunk. A chunk whose hash occurs more than once in the corpus is
+also taken with the next line with a word before it, and with the one after it, which are the
+lines that a repeated passage may have beyond its chunks. All of these are compared byte by byte,
+by grouping on their text; of equal ones the first stays (smallest id, nulls last, then the
+text's hash and the place) and the lines of the others go. So each line that goes stands in the
+same surroundings at an earlier place, and the first of them stays.
 
 Rows alike in id and text are one document: what stays in one of them stays in all. A null text
-is empty and comes back null. An empty table gives an empty result. Other columns are carried by
-``drop_repeated``. Only DataFrame functions are used; no step groups the copies of a chunk.
+is empty and comes back null; a text whose lines all go comes back empty. An empty table gives an
+empty result. Other columns are carried by ``drop_repeated``. Only DataFrame functions are used;
+no step groups the copies of a chunk.
 """
 
 from __future__ import annotations
@@ -22,9 +27,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.shard import row_key
 from paperloom.llm.store import query, table, written
 
-WINDOW = 3
-EVERY = 4
-FACTORS = (1, 48271, 69621)  # of the line itself and the two before it
+CUTS = 2
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,48 +36,80 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _joined(lines: Column, first: Column, n: Column) -> Column:
+    return F.array_join(F.slice(lines, first + 1, n), "\n")
+
+
+def _class(line: Column) -> Column:
+    return F.pmod(F.shiftright(F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long"), 4), F.lit(CUTS)).cast("int")
+
+
 def chunk_array(text: Column) -> Column:
-    """array<struct<first, n, lines>>: a text's chunks with their first line's number."""
+    """array<struct<first, n, before, after, hash>>: a text's chunks by their first line's number and
+    their lines, and how many lines it is to the next lines with a word around them (0: none)."""
 
     def cut(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long"))
-        return _let(hashes, lambda h: _let(ends(lines, h), lambda e: pieces(lines, e)))
+        worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD))
+        return _let(worded, lambda w: _let(F.transform(w, lambda i: _class(F.get(lines, i))), lambda k: every_class(lines, w, k)))
+
+    def every_class(lines: Column, w: Column, classes: Column) -> Column:
+        def own(c: int) -> Column:
+            places = F.filter(F.sequence(F.lit(0), F.size(classes) - 1), lambda j: F.get(classes, j) == c)
+            return _let(places, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda end, j: chunk(lines, w, F.get(p, j), end)))
+
+        return F.flatten(F.array(*[own(c) for c in range(CUTS)]))
 
-    def ends(lines: Column, h: Column) -> Column:
-        def rolled(i: Column) -> Column:
-            total = h[i]
-            for k in range(1, WINDOW):
-                total = total + F.when(i >= k, h[F.greatest(i - k, F.lit(0))] * FACTORS[k]).otherwise(0)
-            return total
+    def chunk(lines: Column, w: Column, a: Column, b: Column) -> Column:
+        first, last = F.get(w, a), F.get(w, b)
+        n = last - first + 1
+        return F.struct(
+            first.alias("first"),
+            n.alias("n"),
+            F.coalesce(first - F.get(w, a - 1), F.lit(0)).alias("before"),
+            F.coalesce(F.get(w, b + 1) - last, F.lit(0)).alias("after"),
+            F.xxhash64(_joined(lines, first, n)).alias("hash"),
+        )
 
-        last = F.size(lines) - 1
-        return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.shiftright(rolled(i), 4), F.lit(EVERY)) == 0))
+    return _let(_lines(text), cut)
 
-    def pieces(lines: Column, e: Column) -> Column:
-        def piece(end: Column, k: Column) -> Column:
-            first = F.when(k > 0, e[F.greatest(k - 1, F.lit(0))] + 1).otherwise(0)
-            part = F.slice(lines, first + 1, end - first + 1)
-            return F.struct(first.alias("first"), (end - first + 1).alias("n"), F.array_join(part, "\n").alias("lines"))
 
-        return F.transform(e, piece)
+def _extended(chunks: Column) -> Column:
+    """Each chunk's lines, and those with the line before or after."""
 
-    return _let(F.split(F.coalesce(text, F.lit("")), "\n", -1), cut)
+    def spans(c: Column) -> Column:
+        def span(first: Column, n: Column) -> Column:
+            return F.struct(first.alias("first"), n.alias("n"))
 
+        before = F.when(c["before"] > 0, span(c["first"] - c["before"], c["n"] + c["before"]))
+        after = F.when(c["after"] > 0, span(c["first"], c["n"] + c["after"]))
+        return F.array_compact(F.array(span(c["first"], c["n"]), before, after))
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    rows = docs.select("key", "doc_id", F.explode(chunk_array(F.col("text"))).alias("c")).select("key", "doc_id", "c.*")
-    return rows.where((F.col("n") > 1) & F.col("lines").rlike(r"[^\x20\x09-\x0D]"))
+    return F.flatten(F.transform(chunks, spans))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(key, first): the chunks to remove from (key, doc_id, text)."""
-    chunks = _chunks(docs).withColumn("hash", F.xxhash64("lines"))
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(key, first, n): the runs of lines to remove from (key, doc_id, text)."""
+    chunks = written(docs.select("key", F.explode(chunk_array(F.col("text"))).alias("c")).select("key", "c.*"), "line-hashes")
     twice = chunks.groupBy(F.col("hash").alias("t_hash")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("t_hash")
-    again = chunks.join(written(twice, "line-hashes"), F.col("hash") == F.col("t_hash"), "left_semi")
-    again = written(again.select("lines", "key", "doc_id", "first").distinct(), "line-chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "first")
-    kept = again.groupBy("lines").agg(F.min(place).alias("p")).select(F.col("p.key").alias("key"), F.col("p.first").alias("first"))
-    return again.select("key", "first").join(kept, ["key", "first"], "left_anti")
+    again = chunks.join(written(twice, "line-twice"), F.col("hash") == F.col("t_hash"), "left_semi")
+    again = again.groupBy(F.col("key").alias("a_key")).agg(F.collect_set(F.struct("first", "n", "before", "after")).alias("chunks"))  # of one text
+    found = docs.join(written(again, "line-places"), F.col("key") == F.col("a_key"))
+
+    def with_lines(lines: Column) -> Column:
+        return F.transform(
+            _extended(F.col("chunks")),
+            lambda s: F.struct(s["first"].alias("first"), s["n"].alias("n"), _joined(lines, s["first"], s["n"]).alias("lines")),
+        )
+
+    spans = found.select("key", "doc_id", F.explode(_let(_lines(F.col("text")), with_lines)).alias("s"))
+    spans = written(spans.select("key", "doc_id", "s.*"), "line-chunks")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "first", "n")
+    kept = spans.groupBy("lines").agg(F.min(place).alias("p")).select("p.key", "p.first", "p.n")
+    return spans.select("key", "first", "n").join(kept, ["key", "first", "n"], "left_anti")
 
 
 def drop_repeated(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -81,47 +117,49 @@ def drop_repeated(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     its lines and how many of them went."""
     text = F.col("text").cast("string")
     rows = docs.select(F.struct("*").alias("row"), row_key(id_column).alias("key"), F.col(id_column).alias("doc_id"), text.alias("text"))
-    gone = repeated_chunks(rows.select("key", "doc_id", "text"))
-    gone = gone.groupBy(F.col("key").alias("g_key")).agg(F.collect_list("first").alias("gone"))  # of one text
+    gone = repeated_spans(rows.select("key", "doc_id", "text"))
+    gone = gone.groupBy(F.col("key").alias("g_key")).agg(F.collect_set(F.struct("first", "n")).alias("gone"))  # of one text
     found = rows.join(gone, F.col("key") == F.col("g_key"), "left")
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
 
-    def kept(chunks: Column) -> Column:
-        stay = F.filter(chunks, lambda c: ~F.array_contains("gone", c["first"]))
-        lines = F.aggregate(stay, F.lit(0), lambda a, c: a + c["n"])
-        return F.struct(F.array_join(F.transform(stay, lambda c: c["lines"]), "\n").alias("text"), lines.alias("n"))
+    def kept(lines: Column) -> Column:
+        out = F.flatten(F.transform("gone", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
+        return _let(stay, lambda i: F.struct(F.array_join(F.transform(i, lambda k: F.get(lines, k)), "\n").alias("text"), F.size(i).alias("n")))
 
-    done = F.when(F.col("gone").isNull(), F.struct(F.col("text").alias("text"), n_lines.alias("n"))).otherwise(_let(chunk_array(F.col("text")), kept))
+    n_lines = F.size(_lines(F.col("text")))
+    whole = F.struct(F.col("text").alias("text"), n_lines.alias("n"))
+    done = F.when(F.col("gone").isNull(), whole).otherwise(_let(_lines(F.col("text")), kept))
     found = found.select("row", n_lines.alias("n_lines"), done.alias("done"))
     return found.select("row", "done.text", F.col("n_lines").cast("long"), (F.col("n_lines") - F.col("done.n")).cast("long").alias("n_removed"))
 
 
 _ORACLE = f"""
 WITH docs AS (
-  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines,
+  SELECT DISTINCT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines,
     md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS key
   FROM documents),
 line AS (
-  SELECT doc_id, key, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i, len(lines) AS n_lines FROM docs),
-hashed AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM line),
-rolled AS (
-  SELECT *, h + {FACTORS[1]} * lag(h, 1, 0) OVER w + {FACTORS[2]} * lag(h, 2, 0) OVER w AS r
-  FROM hashed WINDOW w AS (PARTITION BY key ORDER BY i)),
-placed AS (
-  SELECT *, coalesce(sum(CASE WHEN (r >> 4) % {EVERY} = 0 THEN 1 ELSE 0 END)
-    OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-  FROM rolled),
-chunks AS (
-  SELECT doc_id, key, chunk, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS lines
-  FROM placed GROUP BY doc_id, key, chunk),
+  SELECT doc_id, key, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM docs),
+worded AS (
+  SELECT doc_id, key, i, (CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) >> 4) % {CUTS} AS class,
+    lag(i) OVER (PARTITION BY key ORDER BY i) AS before, lead(i) OVER (PARTITION BY key ORDER BY i) AS after
+  FROM line WHERE regexp_matches(line, '{WORD}')),
+cut AS (
+  SELECT doc_id, key, lag(i) OVER w AS first, i AS last, lag(before) OVER w AS before, after
+  FROM worded WINDOW w AS (PARTITION BY key, class ORDER BY i)),
+span AS (
+  SELECT doc_id, key, first, last FROM cut WHERE first IS NOT NULL
+  UNION SELECT doc_id, key, before, last FROM cut WHERE before IS NOT NULL AND first IS NOT NULL
+  UNION SELECT doc_id, key, first, after FROM cut WHERE first IS NOT NULL AND after IS NOT NULL),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id NULLS LAST, key, first) > 1
-    AND n > 1 AND regexp_matches(lines, '[^\\x20\\x09-\\x0D]') AS gone
-  FROM chunks)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed,
-  coalesce(string_agg(lines, chr(10) ORDER BY first) FILTER (WHERE NOT gone), '') AS text
-FROM ranked GROUP BY doc_id
+  SELECT s.key, s.first, s.last, row_number() OVER (
+    PARTITION BY array_to_string(d.lines[s.first + 1 : s.last + 1], chr(10)) ORDER BY s.doc_id NULLS LAST, s.key, s.first) AS place
+  FROM span s JOIN docs d ON d.key = s.key),
+gone AS (
+  SELECT DISTINCT key, unnest(range(first, last + 1)) AS i FROM ranked WHERE place > 1)
+SELECT l.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(g.i) AS BIGINT) AS n_removed,
+  coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text
+FROM line l LEFT JOIN gone g ON g.key = l.key AND g.i = l.i GROUP BY l.doc_id
 """
 
 
