@@ -115,20 +115,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def drop_repeated(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(row, text, n_lines, n_removed): every row of ``docs``, its text without repeated chunks,
     its lines and how many of them went."""
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct("*").alias("row"), row_key(id_column).alias("key"), F.col(id_column).alias("doc_id"), text.alias("text"))
-    gone = repeated_spans(rows.select("key", "doc_id", "text"))
+    key = F.unhex(row_key(id_column))
+    gone = repeated_spans(docs.select(key.alias("key"), F.col(id_column).alias("doc_id"), F.col("text").cast("string").alias("text")))
     gone = gone.groupBy(F.col("key").alias("g_key")).agg(F.collect_set(F.struct("first", "n")).alias("gone"))  # of one text
-    found = rows.join(gone, F.col("key") == F.col("g_key"), "left")
+    text = F.col("row.text").cast("string")  # carried once
+    found = docs.select(F.struct("*").alias("row"), key.alias("key")).join(gone, F.col("key") == F.col("g_key"), "left")
 
     def kept(lines: Column) -> Column:
         out = F.flatten(F.transform("gone", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
         return _let(stay, lambda i: F.struct(F.array_join(F.transform(i, lambda k: F.get(lines, k)), "\n").alias("text"), F.size(i).alias("n")))
 
-    n_lines = F.size(_lines(F.col("text")))
-    whole = F.struct(F.col("text").alias("text"), n_lines.alias("n"))
-    done = F.when(F.col("gone").isNull(), whole).otherwise(_let(_lines(F.col("text")), kept))
+    n_lines = F.size(_lines(text))
+    whole = F.struct(text.alias("text"), n_lines.alias("n"))
+    done = F.when(F.col("gone").isNull(), whole).otherwise(_let(_lines(text), kept))
     found = found.select("row", n_lines.alias("n_lines"), done.alias("done"))
     return found.select("row", "done.text", F.col("n_lines").cast("long"), (F.col("n_lines") - F.col("done.n")).cast("long").alias("n_removed"))
 
