@@ -160,10 +160,9 @@ def with_event_prompt(staged: DataFrame, documents: DataFrame) -> DataFrame:
 
 def result_problem(result: Column | str, spec: ResultSpec) -> Column:
     """NULL for a result that follows ``spec``, else what is wrong with it."""
-    result = _col(result)
-    names = list(dict.fromkeys([*spec.required, *spec.enums])) or ["_"]
+    names = list(dict.fromkeys([*spec.required, *spec.enums]))
 
-    def check(body: Column, values: Column) -> Column:
+    def check(body: Column, values: Column | None) -> Column:
         found = F.when(body.isNull(), F.lit("malformed"))
         for name in spec.required:
             found = found.when(values[name].isNull(), F.lit(f"missing {name}"))
@@ -174,8 +173,13 @@ def result_problem(result: Column | str, spec: ResultSpec) -> Column:
             found = found.when(present & json.items(body, f"$.{name}").isNull(), F.lit(f"no array {name}"))
         return found
 
-    pair = F.struct(json.parse(result).alias("body"), json.scalars(result, names).alias("values"))
-    return let(pair, lambda p: check(p["body"], p["values"]))
+    def checked(text: Column) -> Column:
+        if not names:
+            return let(json.parse(text), lambda body: check(body, None))
+        pair = F.struct(json.parse(text).alias("body"), json.scalars(text, names).alias("values"))
+        return let(pair, lambda p: check(p["body"], p["values"]))
+
+    return let(_col(result), checked)
 
 
 def validate_result(df: DataFrame, spec: ResultSpec, result: str = "llm_result") -> DataFrame:

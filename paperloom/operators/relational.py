@@ -99,12 +99,22 @@ def numbered(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return found.withColumn("number", F.col("_start") + place).drop("_row", "_part", "_start"), starts[-1]
 
 
+#: Rows of a task after ``spread``, where they fill more tasks than there are cores.
+SPREAD_ROWS = 100_000
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores when a scan yields fewer partitions than there are.
+    """Use all cores when the rows of a scan lie in fewer partitions than there are.
 
-    Costs one small shuffle on inputs of a few files and is a no-op on large ones.
+    Files are cut by bytes, but a row group is read whole by one task, so a file of few row groups
+    leaves most of its partitions without rows. The rows of each partition are counted, which opens
+    no column; a scan whose fullest partition has two cores' shares at most is left as it is, others
+    cost one small shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    parts = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    total, most = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if df.rdd.getNumPartitions() >= cores and most * cores <= 2 * total:
         return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+    n = max(cores, -(-total // SPREAD_ROWS))
+    return df.repartition(n, *keys) if keys else df.repartition(n)

@@ -230,10 +230,10 @@ def _validate_events(spark, sf):
     """Every item of every event result carries its required fields."""
     from paperloom.functions import json
 
-    ids = event_results(spark, sf).where(infer.result_problem("llm_result", EVENTS).isNull())
-    exploded = ids.select(marts.event_items("llm_result").alias("items")).select(
-        F.get("items", 0)["event_title"].alias("event_type"), F.explode("items").alias("e")
-    )
+    # As columns of a generator the checks are made once a row and stay behind the spreading of the rows.
+    checks = F.struct(infer.result_problem("llm_result", EVENTS).alias("problem"), marts.event_items("llm_result").alias("items"))
+    ids = json.expand(event_results(spark, sf).select("llm_result"), checks).where("problem is null")
+    exploded = ids.select(F.get("items", 0)["event_title"].alias("event_type"), F.explode("items").alias("e"))
     faulty = infer.result_problem(F.to_json("e"), EVENT_ITEM).isNotNull()
     return exploded.groupBy("event_type").agg(F.count("*").alias("n_items"), F.count_if(faulty).alias("n_faulty"))
 

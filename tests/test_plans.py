@@ -126,3 +126,36 @@ def test_batch_search_cuts_before_it_shuffles_pairs(spark, table):
     text = plan(search.keyword_search_many(chunks, table([(1, "some wo%s")], "query_id int, message string")))
     assert "CartesianProduct" not in text and "Python" not in text
     assert text.count("WindowGroupLimit") >= 6  # each cut has a part inside the tasks
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file is cut by bytes into more partitions than it has row groups; all rows lie in one of them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from paperloom.operators.relational import spread
+
+    path, before = str(tmp_path / "rows.parquet"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    pq.write_table(pa.table({"k": range(40_000), "v": [str(i * 7919) for i in range(40_000)]}), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [len(p) for p in spread(rows, "k").rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000
+    even = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism)
+    assert spread(even, "id") is even
+
+
+def test_results_are_checked_after_their_rows_are_spread(spark, tmp_path):
+    from paperloom.queries import catalog
+
+    rows = [(i, "click", i) for i in range(10)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, user_id long")
+    events.selectExpr("*", "timestamp'2024-01-02 03:04:05' AS ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.queries()["validate_events"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse" in plan and "parse" not in plan[plan.index("RepartitionByExpression") :].lower()
+    assert [tuple(r) for r in found.collect()] == [("click", 40, 0)]
