@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,22 @@ class EmbeddingModel(Protocol):
 
 # --- calls -----------------------------------------------------------------------------
 
+#: Bytes of prompts that a model gets, and a task holds results of, at a time.
+CALL_BYTES = 4 << 20
+
+
+def _calls(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """Texts in lists of ``CALL_BYTES`` bytes at most, or of one longer text."""
+    for texts in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
+        start = 0
+        while start < len(texts):
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + CALL_BYTES, side="right")))
+            yield texts.slice(start, stop - start).to_pylist()
+            start = stop
+
+
 _RESULT = T.StructType([T.StructField("result", T.StringType()), T.StructField("status", T.StringType())])
 
 
@@ -78,11 +95,12 @@ def infer_text(
 ) -> DataFrame:
     """Add result and status columns; ``workers`` bounds the concurrent calls."""
 
-    @F.pandas_udf(_RESULT)
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for prompts in batches:
-            pairs = model.generate([None if pd.isna(p) else p for p in prompts], spec)
-            yield pd.DataFrame(pairs, columns=["result", "status"])
+    @F.arrow_udf(_RESULT)
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for prompts in _calls(batches):
+            pairs = model.generate(prompts, spec)
+            parts = [pa.array([p[k] for p in pairs], pa.string()) for k in range(2)]
+            yield pa.StructArray.from_arrays(parts, ["result", "status"])
 
     rows = df if workers is None else df.repartition(workers)
     return (
@@ -103,11 +121,11 @@ def infer_embedding(
 ) -> DataFrame:
     """Add one vector per row. A failed call leaves NULL; search drops such rows."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            vectors = model.embed([None if pd.isna(t) else t for t in texts], task_type)
-            yield pd.Series([None if v is None else np.asarray(v, dtype=np.float32) for v in vectors], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _calls(batches):
+            vectors = model.embed(texts, task_type)
+            yield pa.array([None if v is None else np.asarray(v, dtype=np.float32) for v in vectors], pa.list_(pa.float32()))
 
     rows = df if workers is None else df.repartition(workers)
     return rows.withColumn(name, call.asNondeterministic()(_col(content)))
