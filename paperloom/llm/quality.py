@@ -40,6 +40,7 @@ ORDER = 4
 #: Sequences whose values are sent to the tasks together, at 12 bytes each.
 ENTRIES = 1 << 24
 BUCKETS = 256  # of languages
+HELD = 1 << 19  # sequences that a task counts before it merges them
 PRIOR = 30
 FEW = 20
 LEAST = 0.01
@@ -135,16 +136,21 @@ def _counted(id_free_batches):
     held: dict[str | None, list] = {}
     rows = 0
 
-    def flush():
-        for lang, parts in held.items():
+    def merge() -> int:
+        """Equal sequences become one; how many are left."""
+        for parts in held.values():
             keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]
-            )
+            parts[:] = [(keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts])))]
+        return sum(len(parts[0][0]) for parts in held.values())
+
+    def flush():
+        merge()
+        for lang, [(keys, n)] in held.items():
+            langs = pa.repeat(pa.scalar(lang, pa.string()), len(keys))
+            yield pa.RecordBatch.from_arrays([langs, pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
         held.clear()
 
-    for batch in T.slices(id_free_batches):
+    for batch in T.slices(id_free_batches, 2 << 20):
         flat, bounds = T.words(T.column(batch, "text"))
         distinct, codes = T.coded(flat)
         langs = batch.column(batch.schema.get_field_index("lang")).cast(pa.string())
@@ -156,9 +162,11 @@ def _counted(id_free_batches):
             keys, places = np.unique(keys, return_inverse=True)
             held.setdefault(lang, []).append((keys, np.bincount(places, weights=times)))
             rows += len(keys)
-        if rows > 4_000_000:
-            yield from flush()
-            rows = 0
+        if rows > HELD:
+            rows = merge()
+            if rows > HELD // 2:
+                yield from flush()
+                rows = 0
     yield from flush()
 
 
@@ -272,7 +280,7 @@ _MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bi
 
 def _measured(model):
     def run(batches):
-        for batch in T.slices(batches, 4 << 20):
+        for batch in T.slices(batches, 1 << 20):
             counts, words = base_counts(T.column(batch, "text"))
             langs = batch.column(batch.schema.get_field_index("lang")).cast(pa.string())
             nats = np.zeros(batch.num_rows)

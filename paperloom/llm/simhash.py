@@ -66,7 +66,7 @@ def shingle_hashes(texts: pa.Array, size: int, seed: int = SEED) -> tuple[np.nda
     return hashes, np.searchsorted(own, np.arange(len(counts) + 1))
 
 
-def majority(hashes: np.ndarray, bounds: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+def majority(hashes: np.ndarray, bounds: np.ndarray, step: int = 1 << 15) -> np.ndarray:
     """Fingerprints: the bits set in over half of each text's hashes."""
     counts = np.zeros((len(bounds) - 1, BITS), np.int64)
     own = T.owners(bounds)
@@ -80,7 +80,7 @@ def majority(hashes: np.ndarray, bounds: np.ndarray, step: int = 1 << 18) -> np.
 
 def _printed(shingle: int):
     def run(batches):
-        for batch in T.slices(batches, 4 << 20):
+        for batch in T.slices(batches, 1 << 20):
             prints = majority(*shingle_hashes(T.column(batch, "text"), shingle))
             rest = [i for i, n in enumerate(batch.schema.names) if n != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [pa.array(prints.view(np.int64))], [batch.schema.names[i] for i in rest] + ["fp"])

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -153,3 +154,29 @@ def test_odd_rows(odd_docs, no_docs):
     assert {r.carried for r in got if r.kept} == {2, 3}
     kept = quality.keep_good(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == 3
+
+
+@pytest.mark.parametrize("held", [quality.HELD, 3000])
+def test_a_task_holds_the_sequences_of_few_texts(monkeypatch, held):
+    """One batch of 6 MB of new words: sequences are merged as they are met, and none is lost."""
+    monkeypatch.setattr(quality, "HELD", held)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(1000)) for _ in range(600)]
+    langs = ["en", None] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], ["lang", "text"])
+    tracemalloc.start()
+    try:
+        rows = pa.Table.from_batches(quality._counted(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150e6, peak
+    got = collections.Counter()
+    for lang, gram, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
+        got[lang, gram] += n
+    want = collections.Counter()
+    for lang in ("en", None):
+        words = [w for text, x in zip(texts, langs, strict=True) if x == lang for w in text.split(" ")]
+        keys, n = np.unique(quality.sequences(pa.array(words))[0].view(np.int64), return_counts=True)
+        want.update({(lang, k): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)})
+    assert got == want

@@ -2,7 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -32,6 +35,22 @@ def grouped(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
+def test_a_task_holds_the_shingles_of_few_texts():
+    """One batch of 6 MB of text: a task's memory does not follow the batch."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefgh", k=5000)) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        got = pa.Table.from_batches(simhash._printed(3)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6, peak
+    prints = got.column("fp").to_numpy().view(np.uint64)
+    assert got.column("doc_id").to_pylist() == list(range(600)) and prints[:9].tolist() == [fingerprint(t) for t in texts[:9]]
+
+
 def test_masks_cover_every_choice():
     rng = random.Random(1)
     held = [0, simhash.covering_masks(0)[3], simhash.covering_masks(simhash.covering_masks(0)[3])[5]]
