@@ -6,11 +6,14 @@ coded by itself; the blocks advance together, one id each, as the lanes of numpy
 Three models predict the next id. Order 2 and order 1 remember, in a hashed table of the block,
 the id that last followed the same two ids or one id, and how often it proved right since; their
 weights adapt to their success at each level of confidence. Order 0 is the segment's table of id
-frequencies. The mixture lays out the coder's interval as the order-2 guess, the order-1 guess
-and, for the rest, the order-0 table; one step of a 64-bit carry-less range coder codes the id.
+frequencies. An id is the order-2 guess, the order-1 guess or, for the rest of 4096, a place in
+the order-0 table: two steps of a 64-bit range coder of the asymmetric kind (rANS), the second
+one open to the rest only. Its state is a stack: the shares are found front to back and coded
+back to front, so that decoding goes front to back, by shifts and products alone.
 
 Bytes of a block, all little endian: number of ids (u32), CRC-32 of the ids as u32 (u32), code
-words (u32 each). A segment's order-0 table: ids (u16) and frequencies minus one (u16).
+words (u32 each), of which the first two are the state. A segment's order-0 table: ids (u16) and
+frequencies minus one (u16).
 """
 
 from __future__ import annotations
@@ -23,10 +26,9 @@ import numpy as np
 LANES = 1024
 LEAST_BLOCK = 512
 _TABLE_BITS = 11
-_SCALE = 28  # of the mixture: 12 bits for the weights, 16 for the order-0 table
 _MASK = (1 << _TABLE_BITS) - 1
-_NONE = 4 << 16
-_LEAST = 40  # of a weight, so that every guess has a share
+_NONE = 4 << 16 | 0xFFFF
+_LEAST, _MOST = 40, 3944  # of a weight, so that every guess and the rest have a share
 _U = np.uint64
 _WORD = _U(32)
 _LOW = _U(0xFFFFFFFF)
@@ -48,145 +50,144 @@ def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
-    """The state of all lanes, the same in both directions.
+    """The state of all lanes, the same in both directions: order 2's entries, then order 1's.
 
     An entry of a table is an id with its confidence, 0 to 3, above bit 16; ``_NONE`` has
     confidence 4. A lane has eight weights for each order, by confidence, and those from 4 stay 0.
     """
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) << _TABLE_BITS
-        self.row = np.arange(lanes, dtype=np.int64) << 3
-        self.tables = [np.full(lanes << _TABLE_BITS, _NONE, np.int32) for _ in range(2)]
+        self.lanes = lanes
+        self.base = np.arange(2 * lanes, dtype=np.int64) << _TABLE_BITS
+        self.row = np.arange(2 * lanes, dtype=np.int64) << 3
+        self.table = np.full(2 * lanes << _TABLE_BITS, _NONE, np.int32)
         # By confidence: order 2's share of 4096, and order 1's of what order 2 leaves.
-        self.weights = [np.tile(np.array([*w, 0, 0, 0, 0], np.int64), lanes) for w in ((300, 1500, 2500, 3000), (150, 800, 1500, 2500))]
+        self.weight = np.concatenate([np.tile(np.array([*w, 0, 0, 0, 0], np.int32), lanes) for w in ((300, 1500, 2500, 3000), (150, 800, 1500, 2500))])
+        self.unknown = self.weight.reshape(-1, 8)[:, 4]
+        self.key = np.zeros(2 * lanes, np.int64)
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The shares of order 2 and order 1 of 4096; 0 where there is no guess."""
+        n = self.lanes
         one = self.last * 0x9E3779B1
-        two = (self.before * 0x85EBCA6B ^ one) >> 13
-        self.at = [(two & _MASK) + self.base, (one >> 15 & _MASK) + self.base]
-        self.entries = [t.take(i, mode="clip") for t, i in zip(self.tables, self.at, strict=True)]
-        self.guess = [e & 0xFFFF for e in self.entries]
-        self.slot = [self.row + (e >> 16) for e in self.entries]
-        self.own = [w.take(i, mode="clip") for w, i in zip(self.weights, self.slot, strict=True)]
-        share = (4096 - self.own[0]) * self.own[1] >> 12
-        return self.own[0], share * (self.guess[0] != self.guess[1])
-
-    def learn(self, ids: np.ndarray, hits: list[np.ndarray]) -> None:
-        """``hits``: the lanes coded by order 2 and by order 1."""
-        for k in range(2):
-            e = self.entries[k]
-            right = np.flatnonzero((ids == self.guess[k]) & (e < _NONE))
-            new = ids.astype(np.int32)
-            new[right] = np.minimum(e[right] + 65536, new[right] | 3 << 16)
-            self.tables[k][self.at[k]] = new
-            own = self.own[k]
-            moved = own - ((own - _LEAST) >> 5) * (own > 0)
-            moved[hits[k]] += 122
-            self.weights[k][self.slot[k]] = moved
-        self.before, self.last = self.last, ids
-
-
-class _Layout:
-    """Where each id lies in the mixture's interval."""
-
-    def __init__(self, seen: np.ndarray, freq: np.ndarray):
-        self.sizes, self.starts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.sizes[seen], self.starts[seen] = freq, np.cumsum(freq) - freq
-
-    def place(self, ids, w2, w1, hits):
+        np.right_shift(self.before * 0x85EBCA6B ^ one, 13, out=self.key[:n])
+        np.right_shift(one, 15, out=self.key[n:])
+        self.at = (self.key & _MASK) + self.base
+        entries = self.table.take(self.at, mode="clip")
+        self.guess, self.sure = entries & 0xFFFF, entries >> 16
+        self.slot = self.row + self.sure
+        self.own = self.weight.take(self.slot, mode="clip")
+        two = self.own[:n]
+        return two, ((4096 - two) * self.own[n:] >> 12) * (self.guess[:n] != self.guess[n:])
+
+    def learn(self, ids: np.ndarray, hits: np.ndarray) -> None:
+        """``hits``: whether order 2 coded the lane's id, and whether order 1 did."""
+        both = np.concatenate([ids, ids])
+        self.table[self.at] = both | (np.minimum(self.sure + 1, 3) * (both == self.guess)) << 16
+        self.weight[self.slot] = self.own + ((hits * np.int32(_MOST - _LEAST) + np.int32(_LEAST) - self.own) >> 5)
+        self.unknown[:] = 0
+        self.before, self.last = self.last, ids.astype(np.int64)
+
+
+def _shares(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each id's share of 4096; that of the rest ends at 4096, others do not."""
+    lanes = rows.shape[1]
+    model, hits = _Model(lanes), np.zeros(2 * lanes, bool)
+    starts, sizes = np.empty(rows.shape, np.uint16), np.empty(rows.shape, np.uint16)
+    for t, x in enumerate(rows):
+        w2, w1 = model.predict()
+        two = np.logical_and(x == model.guess[:lanes], w2 > 0, out=hits[:lanes])
+        one = np.logical_and(x == model.guess[lanes:], w1 > 0, out=hits[lanes:])
         taken = w2 + w1
-        rest = 4096 - taken
-        start = self.starts.take(ids, mode="clip") * rest + (taken << 16)
-        size = self.sizes.take(ids, mode="clip") * rest
-        two, one = hits
-        start[two], size[two] = 0, w2[two] << 16
-        start[one], size[one] = w2[one] << 16, w1[one] << 16
-        return start.view(_U), size.view(_U)
+        starts[t] = np.where(two, 0, np.where(one, w2, taken))
+        sizes[t] = np.where(two, w2, np.where(one, w1, 4096 - taken))
+        model.learn(x, hits)
+    return starts, sizes
 
 
 def encode(ids: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], list[bytes]]:
     """A segment's order-0 table and its blocks."""
-    ids = ids.astype(np.int64)
     seen, freq = order0(ids)
     if not len(ids):
         return (seen, freq), []
     lanes = max(1, min(LANES, len(ids) // LEAST_BLOCK))
     steps = -(-len(ids) // lanes)
     lanes = -(-len(ids) // steps)
-    padded = np.full(lanes * steps, seen[0], np.int64)
+    padded = np.full(lanes * steps, seen[0], np.int32)
     padded[: len(ids)] = ids
+    checks = [zlib.crc32(padded[a : min(a + steps, len(ids))].astype("<u4").tobytes()) for a in range(0, lanes * steps, steps)]
     rows = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    layout, model = _Layout(seen, freq), _Model(lanes)
-    low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
+    del padded
+    starts, sizes = _shares(rows)
+    of_id = np.zeros((2, 1 << 16), _U)
+    of_id[0, seen], of_id[1, seen] = np.cumsum(freq) - freq, freq
+    state = np.full(lanes, 1 << 32, _U)
     words = np.zeros((steps // 2 + 64, lanes), np.uint32)
     used = np.zeros(lanes, np.int64)
-    for x in rows:
-        w2, w1 = model.predict()
-        hits = [np.flatnonzero((x == g) & (w > 0)) for g, w in zip(model.guess, (w2, w1), strict=True)]
-        start, size = layout.place(x, w2, w1, hits)
-        unit = span >> _U(_SCALE)
-        low += unit * start
-        span = unit * size
-        at = np.flatnonzero(span <= _LOW)
+    for t in range(steps - 1, -1, -1):
+        start, size = starts[t].astype(_U), sizes[t].astype(_U)
+        rest = start + size == _U(4096)
+        place = of_id[0].take(rows[t], mode="clip") * rest
+        wide = np.where(rest, of_id[1].take(rows[t], mode="clip"), _U(1 << 16))
+        at = np.flatnonzero(state >> _U(36) >= size * wide)
         if len(at):
-            l, s = low[at], span[at]
-            s = np.where((l ^ (l + s)) >> _WORD != 0, (~l + _U(1)) & _LOW, s)
             if used.max() + 3 >= len(words):
                 words = np.concatenate([words, np.zeros_like(words)])
-            words[used[at], at] = l >> _WORD
+            x = state[at]
+            words[used[at], at] = x & _LOW
             used[at] += 1
-            low[at], span[at] = l << _WORD, s << _WORD
-        model.learn(x, hits)
+            state[at] = x >> _WORD
+        for first, n, bits in ((place, wide, _U(16)), (start, size, _U(12))):
+            whole = state // n
+            state = (whole << bits) + (state - whole * n) + first
     lane = np.arange(lanes)
-    words[used, lane], words[used + 1, lane] = low >> _WORD, low & _LOW
+    words[used, lane], words[used + 1, lane] = state & _LOW, state >> _WORD
     used += 2
     blocks = []
     for k in range(lanes):
-        own = ids[k * steps : (k + 1) * steps]
-        blocks.append(struct.pack(_HEADER, len(own), zlib.crc32(own.astype("<u4").tobytes())) + words[: used[k], k].astype("<u4").tobytes())
+        blocks.append(struct.pack(_HEADER, min(steps, len(ids) - k * steps), checks[k]) + words[: used[k], k][::-1].astype("<u4").tobytes())
     return (seen, freq), blocks
 
 
 def decode(table: tuple[np.ndarray, np.ndarray], blocks: list[bytes]) -> np.ndarray:
     """The ids of a segment; a block whose checksum differs raises."""
     if not blocks:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     seen, freq = table
-    id_at = np.repeat(seen, freq)
+    id_at, size_at = np.repeat(seen, freq).astype(np.int32), np.repeat(freq, freq).astype(_U)
+    within = np.arange(1 << 16, dtype=_U) - np.repeat(np.cumsum(freq) - freq, freq).astype(_U)
     heads = [struct.unpack_from(_HEADER, b) for b in blocks]
     lanes, steps = len(blocks), max(n for n, _ in heads)
     counts = np.array([len(b) // 4 - 2 for b in blocks])
-    words = np.frombuffer(b"".join(b[8:] for b in blocks) + b"\0" * 16, "<u4").astype(_U)
+    words = np.frombuffer(b"".join(b[8:] for b in blocks) + b"\0" * 16, "<u4")
     next_at = np.cumsum(counts) - counts
-    layout, model = _Layout(seen, freq), _Model(lanes)
-    code = words[next_at] << _WORD | words[next_at + 1]
+    model, hits = _Model(lanes), np.zeros(2 * lanes, bool)
+    state = words[next_at].astype(_U) << _WORD | words[next_at + 1]
     next_at += 2
-    low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-    out = np.empty((steps, lanes), np.int64)
+    out = np.empty((steps, lanes), np.int32)
     for t in range(steps):
         w2, w1 = model.predict()
         taken = w2 + w1
-        unit = span >> _U(_SCALE)
-        value = np.minimum((code - low) // unit, _U((1 << _SCALE) - 1)).view(np.int64)
-        part = value >> 16
-        x = id_at.take((value - (taken << 16)) // (4096 - taken), mode="clip")
-        hits = [np.flatnonzero(part < w2), np.flatnonzero((part < taken) & (part >= w2))]
-        for k, at in enumerate(hits):
-            x[at] = model.guess[k][at]
-        start, size = layout.place(x, w2, w1, hits)
-        low += unit * start
-        span = unit * size
-        at = np.flatnonzero(span <= _LOW)
+        part = (state & _U(4095)).astype(np.int32)
+        two = np.less(part, w2, out=hits[:lanes])
+        known = part < taken
+        one = np.not_equal(known, two, out=hits[lanes:])
+        size = np.where(two, w2, np.where(one, w1, 4096 - taken))
+        part -= np.where(two, 0, np.where(one, w2, taken))
+        state = (state >> _U(12)) * size.astype(_U) + part.astype(_U)
+        x = np.where(two, model.guess[:lanes], model.guess[lanes:])
+        rest = np.flatnonzero(~known)
+        own = state[rest]
+        place = (own & _U(0xFFFF)).view(np.int64)
+        x[rest] = id_at.take(place, mode="clip")
+        state[rest] = (own >> _U(16)) * size_at.take(place, mode="clip") + within.take(place, mode="clip")
+        at = np.flatnonzero(state <= _LOW)
         if len(at):
-            l, s = low[at], span[at]
-            s = np.where((l ^ (l + s)) >> _WORD != 0, (~l + _U(1)) & _LOW, s)
-            code[at] = code[at] << _WORD | words[np.minimum(next_at[at], len(words) - 1)]
-            next_at[at] += 1
-            low[at], span[at] = l << _WORD, s << _WORD
+            place = next_at[at]
+            state[at] = state[at] << _WORD | words.take(place, mode="clip")
+            next_at[at] = place + 1
         out[t] = x
         model.learn(x, hits)
     parts = [np.ascontiguousarray(out[:n, k]) for k, (n, _) in enumerate(heads)]

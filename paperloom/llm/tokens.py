@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,9 @@ from paperloom.llm.store import query, table, written
 
 END_ID = 0
 SEGMENT = 1 << 21
-HELD = 1 << 17  # pieces that a task remembers
+HELD = 1 << 19  # pieces that a task remembers, at about 40 bytes each
+BATCH = 4096  # pieces that the library gets at once
+JOINED = 64  # of them in one string
 
 
 def _alphabet() -> dict[str, int]:
@@ -62,7 +64,12 @@ def joining(vocabulary: list[str]) -> list[bytes]:
 
 
 class PieceEncoder:
-    """Ids of texts by way of their pieces; a task's memory of pieces is bounded."""
+    """Ids of texts by way of their pieces; a task's memory of pieces is bounded.
+
+    The memory is an Arrow array of pieces and a flat array of their ids. New pieces that start
+    with a space go to the library many in one string: no token crosses the space between two of
+    them, so the tokens' widths in bytes tell where each piece ends.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,28 +77,64 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = joining(list(self.tokenizer.get_vocab())) + [t.encode() for t in special]
+        vocabulary = self.tokenizer.get_vocab()
+        self.whole = joining(list(vocabulary)) + [t.encode() for t in special]
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(_token_bytes(token))
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.starts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        known = list(map(self.place.get, pieces))
-        missing = list(dict.fromkeys(p for p, k in zip(pieces, known, strict=True) if k is None))
-        for a in range(0, len(missing), 20_000):
-            some = missing[a : a + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            n = len(self.place)
-            self.place.update(zip(some, range(n, n + len(some)), strict=True))
-            self.ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
-            self.starts.append(self.starts[-1][-1] + np.cumsum(sizes))
-        if missing:
-            self.ids, self.starts = [np.concatenate(self.ids)], [np.concatenate(self.starts)]
-            known = map(self.place.__getitem__, pieces)
-        return np.fromiter(known, np.int64, len(pieces))
+        self.pieces = pa.array([], pa.string())
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are encoded one by one, and how many each has."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(pieces), BATCH):
+            found = self._lists(pieces.slice(a, BATCH).to_pylist())
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_alone``, for pieces that start with a space and go on after it."""
+        data, bounds = T.raw(pieces)
+        data, cuts, ids = data.tobytes(), [*range(0, len(pieces), JOINED), len(pieces)], [np.zeros(0, np.int32)]
+        places = [bounds[c] for c in cuts]
+        texts = [data[a:b] for a, b in pairwise(places)]
+        if any(string in text for string in self.whole for text in texts):  # made by joining
+            return self._alone(pieces)
+        for a in range(0, len(texts), BATCH // JOINED):
+            found = self._lists([t.decode() for t in texts[a : a + BATCH // JOINED]])
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found))))
+        ids = np.concatenate(ids)
+        ends = np.concatenate([[0], np.cumsum(self.width[ids])])
+        at = np.searchsorted(ends, bounds)
+        if ends[-1] != bounds[-1] or (ends[at] != bounds).any():
+            return self._alone(pieces)
+        return ids, np.diff(at)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the memory holds each of the distinct ``pieces``; it learns those it does not."""
+        known = pc.index_in(pieces, value_set=self.pieces)
+        missing = pieces.filter(known.is_null())
+        if not len(missing):
+            return np.asarray(known).astype(np.int64)
+        at, n = np.flatnonzero(known.is_null()), len(self.pieces)
+        joins = pc.and_(pc.starts_with(missing, " "), pc.greater(pc.binary_length(missing), 1))
+        alone, together = missing.filter(pc.invert(joins)), missing.filter(joins)
+        parts = [self._alone(alone), self._joined(together)]
+        self.pieces = pa.concat_arrays([self.pieces, alone, together])
+        self.ids = np.concatenate([self.ids, *[ids for ids, _ in parts]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([sizes for _, sizes in parts]))])
+        places, joins = np.asarray(known.fill_null(0)).astype(np.int64), np.asarray(joins).astype(bool)
+        places[at[~joins]] = np.arange(n, n + len(alone))
+        places[at[joins]] = np.arange(n + len(alone), n + len(missing))
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and each text's bounds in them."""
@@ -111,24 +154,24 @@ class PieceEncoder:
         first = np.zeros(len(flat), bool)
         first[at[:-1]] = True
         # A piece after a space takes the space along.
-        spaced = pc.binary_join_element_wise("", pieces, " ").to_pylist()
+        spaced = pc.binary_join_element_wise("", pieces, " ")
         used = np.unique(codes[first])
-        if len(self.place) + len(spaced) + len(used) > HELD:
+        if len(self.pieces) + len(spaced) + len(used) > HELD:
             self.forget()
-        places = self._places(spaced + pieces.take(pa.array(used)).to_pylist())
+        places = self._places(pa.concat_arrays([spaced, pieces.take(pa.array(used))]))
         own = places[: len(spaced)][codes]
         starting = np.zeros(len(spaced), np.int64)
         starting[used] = places[len(spaced) :]
         own[first] = starting[codes[first]]
-        begin = self.starts[0][own]
-        size = self.starts[0][own + 1] - begin
+        begin = self.starts[own]
+        size = self.starts[own + 1] - begin
         ends = np.cumsum(size)
-        ids = self.ids[0].take(np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0), mode="clip")
+        ids = self.ids.take(np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0), mode="clip")
         return ids, np.concatenate([[0], ends])[at]
 
     def _mixed(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rest, rest_at = self.encode(texts.filter(pa.array(~whole)))
-        alone = iter([e.ids for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)])
+        alone = iter(self._lists(texts.filter(pa.array(whole)).to_pylist()))
         parts, k = [], 0
         for w in whole.tolist():
             if w:
@@ -149,7 +192,10 @@ def _segments(path: str, end_id: int):
         docs, sizes, held, waiting = [], [], [], 0
 
         def segment():
-            (seen, freq), blocks = rangecoder.encode(np.concatenate(held))
+            ids = np.concatenate(held)
+            held.clear()
+            T.give_back()
+            (seen, freq), blocks = rangecoder.encode(ids)
             row = [
                 pa.array([part], pa.int32()),
                 pa.array([number], pa.int64()),
@@ -171,7 +217,7 @@ def _segments(path: str, end_id: int):
             if waiting >= SEGMENT:
                 yield segment()
                 number, waiting = number + 1, 0
-                docs.clear(), sizes.clear(), held.clear()
+                docs.clear(), sizes.clear()
         if docs:
             yield segment()
 

@@ -43,6 +43,38 @@ def test_tokens_across_a_space(tokenizer):
         assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.n = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.n += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_known_pieces_are_not_encoded_again():
+    encoder = tokens.PieceEncoder(PATH)
+    encoder.tokenizer = library = Counting(encoder.tokenizer)
+    texts = pa.array([" ".join(f"w{k}" for k in range(a, a + 1000)) for a in range(0, 100_000, 1000)])
+    first = encoder.encode(texts)[0]
+    seen, library.n = library.n, 0
+    assert (encoder.encode(texts)[0] == first).all()
+    assert seen < 2_000_000 and library.n == 0
+
+
+def test_pieces_that_do_not_part_at_their_edges_are_encoded_alone(tokenizer):
+    encoder = tokens.PieceEncoder(PATH)
+    pieces = [f" {p}" for p in ("a", "bé", "\n", "\t", "\u00a0", "\u00a0\u00a0", "'s", "\u4e2d")]
+    want = [i for p in pieces for i in tokenizer.encode(p, add_special_tokens=False).ids]
+    for broken in (False, True):  # no widths: every piece alone
+        encoder.width *= not broken
+        ids, sizes = encoder._joined(pa.array(pieces * 40))
+        assert ids.tolist() == want * 40 and len(sizes) == len(pieces) * 40
+        assert [i for i in np.split(ids, np.cumsum(sizes))[6].tolist()] == tokenizer.encode(" 's", add_special_tokens=False).ids
+
+
 def test_coder_round_trips():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 511, 513, 3000, 40_000):
@@ -61,6 +93,12 @@ def test_coder_gains_from_context():
     assert sum(map(len, blocks)) < len(ids)  # under 8 bits an id, where order 0 needs over 6.6
 
 
+def test_coder_of_ids_that_are_all_but_sure():
+    for ids in (np.zeros(5000, np.int64), np.tile([65535, 0], 3000), np.full(1, 65535)):
+        table, blocks = rangecoder.encode(ids)
+        assert (rangecoder.decode(table, blocks) == ids).all()
+
+
 def test_blocks_are_independent_and_checked():
     ids = np.random.default_rng(3).integers(0, 300, 5000)
     table, blocks = rangecoder.encode(ids)
