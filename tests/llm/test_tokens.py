@@ -75,6 +75,52 @@ def test_pieces_that_do_not_part_at_their_edges_are_encoded_alone(tokenizer):
         assert [i for i in np.split(ids, np.cumsum(sizes))[6].tolist()] == tokenizer.encode(" 's", add_special_tokens=False).ids
 
 
+def test_words_are_cut_where_the_library_parts_them(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "HELD", 500)
+    monkeypatch.setattr(tokens, "PAIRS", 7)
+    encoder, rng = tokens.PieceEncoder(PATH), random.Random(4)
+    parts = list("abls19.,;!?#$%&*(<_'-\"\n\n\n\t\r\x00\x1c\x7f   éßàÅ×÷\u00a0\u0085\u2028\u3000«中") + ["'ll", "'re", "'s", ".\n", "\n\n", "the", "!'", "''", " '", "12", "(a)"]
+    for _ in range(300):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(40)]
+        ids, at = encoder.encode(pa.array(texts, pa.string()))
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_are_encoded_once_whatever_stands_beside_them():
+    encoder = tokens.PieceEncoder(PATH)
+    encoder.tokenizer = library = Counting(encoder.tokenizer)
+    words = [f"word{k}" for k in range(3000)]
+    for end in (".", ",", "!", ".\nThe", "###"):
+        encoder.encode(pa.array([" ".join(w + end for w in words)]))
+    assert library.n < 2 * sum(map(len, words))
+
+
+def test_a_worker_keeps_the_words_from_task_to_task(monkeypatch):
+    made = []
+    monkeypatch.setattr(tokens, "PieceEncoder", lambda path, kind=tokens.PieceEncoder: made.append(kind(path)) or made[-1])
+
+    class Shared:
+        value = tokens._Worker(PATH)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a few words", "a few more"]), pa.array([0, 0], pa.int32())], ["doc_id", "text", "part"])
+    rows = [list(tokens._segments(Shared, 0)(iter([batch]))) for _ in range(3)]
+    assert len(made) == 1 and len(made[0].pieces) and all(r[0].equals(rows[0][0]) for r in rows)
+
+
+def test_the_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "HELD", 1000)
+    encoder = tokens.PieceEncoder(PATH)
+    for k in range(40):
+        encoder.encode(pa.array([" ".join(["often", *(f"w{k}x{j}" for j in range(300))])]))
+        assert len(encoder.pieces) <= 1000
+    assert "often" in encoder.pieces.to_pylist()  # what is met often stays
+    monkeypatch.setattr(tokens, "HELD_BYTES", 1000)
+    encoder.encode(pa.array(["y" * 900 + " " + "z" * 900]))
+    encoder.encode(pa.array(["x"]))
+    assert encoder.pieces.nbytes < 1000
+
+
 def test_coder_round_trips():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 511, 513, 3000, 40_000):
