@@ -78,11 +78,11 @@ def cut_lineage(df, label: str):
 
 
 @contextmanager
-def stored_copy(df, label: str):
+def stored_copy(df, label: str, by=(), codec: str = "zstd"):
     """``cut_lineage`` for the length of a block; the copy stays behind when the block fails."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).partitionBy(*by).parquet(path)
     yield spark.read.schema(df.schema).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions.text import last_segment
+from paperloom.sources import hashing
 
 RULES_SCHEMA = T.StructType(
     [
@@ -54,32 +55,41 @@ def scan_objects(
     sidecar: DataFrame | None = None,
     content: bool = False,
     hash_content: bool | None = None,
+    slice_bytes: int = hashing.SLICE,
 ) -> DataFrame:
     """One row per stored file: uri, size, md5, time and the metadata of a sidecar table.
 
     Where the sidecar has an ``md5_hash``, as a store keeps one, the files are only listed and none
     is opened. Without it, or with ``hash_content=True``, the scan tasks read the bytes for the hash;
     ``hash_content=False`` leaves it null. Bytes are part of the result only with ``content=True``.
+    Files over ``slice_bytes`` are read in splits and hashed by the slice before this returns, so a file may
+    have any size; with ``content=True``, and where a name says that a file is packed, one task reads a file.
     """
     known = sidecar is not None and "md5_hash" in sidecar.columns
     hash_content = not known if hash_content is None else hash_content
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
-    columns = [
-        F.col("path").alias("uri"),
-        F.unix_micros("modificationTime").alias("generation"),
-        F.lit(content_type).alias("content_type"),
-        F.col("length").alias("size"),
-        (F.md5("content") if hash_content else F.lit(None).cast("string")).alias("md5_hash"),
-        F.col("modificationTime").alias("updated"),
-    ]
-    if content:
-        columns.append(F.col("content"))
-    rows = files.select(*columns)
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
+    files = spark.read.format("binaryFile").options(**options).load(path)
+
+    def listed(some: DataFrame, md5_hash: Column) -> DataFrame:
+        return some.select(
+            F.col("path").alias("uri"),
+            F.unix_micros("modificationTime").alias("generation"),
+            F.lit(content_type).alias("content_type"),
+            F.col("length").alias("size"),
+            md5_hash.alias("md5_hash"),
+            F.col("modificationTime").alias("updated"),
+            *(["content"] if content else []),
+        )
+
+    sliced = (F.col("_metadata.file_size") > slice_bytes) & ~F.col("_metadata.file_path").rlike(hashing.PACKED)
+    large = files.where(sliced).select("*", F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"))
+    counts = hashing.slice_counts(large.select("size"), slice_bytes) if hash_content and not content else []
+    if counts:
+        texts = spark.read.options(**options).option("lineSep", "\n").text(path).where(sliced)
+        hashes = hashing.file_hashes(large.select("file", "size"), texts, counts, slice_bytes)
+        rows = listed(files.where(~sliced), F.md5("content")).unionByName(listed(large.join(hashes, "file"), F.col("hash")))
+    else:
+        rows = listed(files, F.md5("content") if hash_content else F.lit(None).cast("string"))
     if sidecar is None:
         empty = F.array().cast("array<struct<name:string,value:string>>")
         return rows.withColumn("metadata", empty)
