@@ -102,3 +102,23 @@ def test_window_and_exports(spark, build, table, tmp_path):
     detail = marts.document_detail(b.documents.read(), b.chunks.read()).where("document_id = '3'").first()
     assert [c.chunk_index for c in detail.chunks] == [0, 1]
     assert tables.read_document_text(b.staged.read(), "3").first().extracted_markdown == text(3)
+
+
+@pytest.mark.parametrize("dated", [True, False])
+def test_postings_follow_the_chunks_and_older_versions_go(build, table, dated):
+    import os
+
+    from paperloom.operators.search import text_postings
+
+    docs = {i: text(i) for i in range(1, 5)}
+    b = build(dated=dated)
+    run(b, raw(table, docs))
+    edited = dict(docs) | {2: "まったく新しい文章 になりました", 3: docs[3] + "\n\n●さらに 長くなりました"}
+    run(b, raw(table, edited, "v2"), refresh_changed=True)
+    places = ["document_id", "chunk_index", "publish_date"]
+    expected = text_postings(b.search_chunks.read(), places, "chunk_text")
+    rows = lambda df: sorted(str(r) for r in df.select("token", *places).collect())
+    assert rows(b.postings.read()) == rows(expected) and b.postings.read().count() > 8
+    assert set(b.postings.read().columns) == {"token", *places}  # an id of 32 characters a word is more than the texts
+    if not dated:
+        assert all(len(t._versions()) == 1 for t in (b.staged, b.chunks, b.embedded, b.search_chunks, b.postings))

@@ -207,3 +207,48 @@ def test_listing_opens_no_file(spark, tmp_path):
     assert [(r.size, r.md5_hash) for r in listed.collect()] == [(5, "known")]
     read = tables.scan_objects(spark, str(tmp_path), sidecar=sidecar, hash_content=True).first()
     assert read.md5_hash == "827ccb0eea8a706c4c34a16891f84e7b" and read.metadata[0].value == "v"
+
+
+def test_lookup_filters_are_as_small_as_their_days(spark, tmp_path):
+    """A filter of its full size took 1 MB a day, whatever the day held."""
+    import os
+
+    rows = spark.range(4_000).select(F.md5(F.col("id").cast("string")).alias("token"), F.expr("date_add(DATE '2026-01-01', int(id % 5))").alias("day"))
+    store = DatedTable(spark, str(tmp_path / "t"), ["token"], "day", ["token"], ["token"])
+    store.merge(rows)
+    sizes = [os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(store.path) for f in files if f.endswith(".parquet")]
+    assert len(sizes) == 5 and max(sizes) < 100_000
+
+
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_rows_with_texts_are_told_apart_by_their_keys(table, few):
+    from paperloom.operators.relational import near_keys, without_pairs, without_wide
+
+    df = table([(i % 40, None if i % 7 == 0 else f"k{i % 9}", f"text {i}") for i in range(80)], "a int, b string, t string")
+    other = table([(i, None if i % 5 == 0 else f"k{i % 4}") for i in range(0, 40, 3)], "a int, b string")
+    expected = pairs(without_pairs(df, other, ["a", "b"]).na.fill("-"))
+    assert pairs(without_wide(df, other, ["a", "b"], few=few).na.fill("-")) == expected and len(expected) < 80
+    assert pairs(without_wide(df, other.selectExpr("cast(a AS bigint) a", "b"), ["a", "b"], few=few).na.fill("-")) == expected
+    assert pairs(without_wide(df, other.where("a > 99"), ["a", "b"], few=few).na.fill("-")) == pairs(df.na.fill("-"))
+    near = near_keys(df, other, ["a", "b"], few)
+    assert pairs(near.na.fill("-")) == (pairs(df.na.fill("-")) if few < 14 else pairs(df.join(other, (df.a == other.a) & df.b.eqNullSafe(other.b), "left_semi").na.fill("-")))
+
+
+def test_known_texts_follow_not_in(table):
+    source = table([(1, "x"), (2, "y"), (None, "z")], "k int, t string")
+    for known in ([1], [1, None], [], [5]):
+        target = table([(k, "old") for k in known], "k int, t string")
+        assert sorted(map(str, state.skip_known_texts(source, target, "k").collect())) == sorted(map(str, state.skip_known(source, target, "k").collect()))
+
+
+def test_slices_of_a_merge_end_in_the_same_table(spark, table, monkeypatch):
+    schema, d = "k int, v string, day date", dt.date
+    first = table([(k, "a", None if k % 6 == 5 else d(2026, 1, 1 + k % 6)) for k in range(30)], schema)
+    change = table([(k, "B", d(2026, 1, 1 + k % 4)) for k in range(0, 40, 3)], schema)
+    got = []
+    for size in (1, 1 << 30):
+        monkeypatch.setattr(state, "SLICE_BYTES", size)
+        store = DatedTable(spark, scratch_path(spark, "sliced"), ["k"], "day", ["k"])
+        store.merge(first)
+        got.append(sorted(map(str, store.merge(change, drop=table([(1,), (7,)], "k int")).collect())))
+    assert got[0] == got[1] and len(got[0]) == 32
